@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import language_scores
 from .quality_qda import quality_scores
 from .quality_rules import quality_rules
 
@@ -18,12 +19,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op9_quality_qda)}
+    return {f.__name__: f for f in (op3_quality_rules, op6_language_id, op9_quality_qda)}
 
 
 def oracle_sql() -> dict[str, str]:
