@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .language_id import language_scores
+from .pieces import MODEL, encode
 from .quality_qda import quality_scores
 from .quality_rules import quality_rules
 
@@ -23,12 +25,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(_table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the three best segmentations of every document, and whether decoding gives the text back."""
+    out = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL, 3, with_ids=False)
+    return out.select("doc_id", "n_pieces", "score", F.get("losses", F.lit(0)).alias("loss_2"), F.get("losses", F.lit(1)).alias("loss_3"), "ids_sha1", "round_trip")
+
+
 def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op6_language_id, op9_quality_qda)}
+    return {f.__name__: f for f in (op3_quality_rules, op6_language_id, op8_sentencepiece, op9_quality_qda)}
 
 
 def oracle_sql() -> dict[str, str]:
