@@ -29,7 +29,7 @@ from .common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_PENALTY = 10.0  # a character spelled in bytes scores this much less than the lowest ordinary piece
-CACHE = 150_000  # segments per generation of a worker's cache; there are two generations
+CACHE = 250_000  # segments per generation of a worker's cache; there are two generations
 
 
 @dataclass(frozen=True)
@@ -74,6 +74,9 @@ class Segmenter:
         crossed = any(a != " " and b == " " for p in vocabulary.ids for a, b in zip(p, p[1:]))
         self.split = re.compile(r".+" if crossed else f" *{letter}+| *{other}+| +", re.S).findall
         self.words = re.compile(r".+" if crossed else " *[^ ]+| +", re.S).findall
+        self.arcs: dict[str, tuple] = {p: () for p in self.starts}  # () marks the mere beginning of a piece
+        self.arcs |= {p: (vocabulary.scores[p], (i,)) for p, i in vocabulary.ids.items()}
+        self.others: dict[str, tuple] = {}
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
@@ -117,22 +120,71 @@ class Segmenter:
                 heapq.heappush(heap, (-(best[i] + score + behind), order, i, behind + score, (own, path)))
         return out
 
-    def _segment(self, s: str) -> tuple[bytes, int, float, tuple]:
-        """Best ids (as bytes), their count, the score, and the alternatives' (loss, ids, count)."""
-        found = self.segment_nbest(s, self.n)
-        score, ids = found[0]
-        return array("i", ids).tobytes(), len(ids), score, tuple((score - x, array("i", y).tobytes()) for x, y in found[1:])
-
-    def _word(self, s: str) -> tuple:
-        """As a segment, for a run of spaces and what follows; alternatives say which bytes they replace."""
-        body, score, alternatives, at = [], 0.0, [], 0
-        for k, part in enumerate(self.split(s)):
-            hit = self._cached("\0" + part, self._segment, part)
-            body.append(hit[0])
-            score += hit[2]
-            alternatives += [(loss, k, at, at + len(hit[0]), ids) for loss, ids in hit[3]]
-            at += len(hit[0])
-        return b"".join(body), score, tuple(heapq.nsmallest(self.n - 1, alternatives))
+    def best_and_loss(self, s: str) -> tuple[bytes, float, float]:
+        """Viterbi only: best ids and score, and how much the second best loses (inf if there is none).
+
+        The second best leaves the best path somewhere, so its loss is the least loss of a best path
+        through an arc that is not on the chosen one.
+        """
+        arc, n = self.arcs.get, len(s)
+        best, back = [0.0] + [-1e300] * n, [None] * (n + 1)
+        arcs, high = [], 0.0
+        for i in range(n):
+            high, one = best[i], False
+            for j in range(i + 1, n + 1):
+                e = arc(s[i:j])
+                if e is None:
+                    break
+                if e:
+                    x = high + e[0]
+                    a = (i, j, e)
+                    arcs.append(a)
+                    one |= j == i + 1
+                    if x > best[j]:
+                        best[j], back[j] = x, a
+            if not one:
+                a = (i, i + 1, (self.v.byte_score, tuple(self.v.byte_ids[b] for b in s[i].encode("utf-8", "surrogatepass"))))
+                arcs.append(a)
+                if high + a[2][0] > best[i + 1]:
+                    best[i + 1], back[i + 1] = high + a[2][0], a
+        path, at = [], n
+        while at:
+            path.append(back[at])
+            at = back[at][0]
+        path.reverse()
+        behind, second, chosen = [-1e300] * n + [0.0], -1e300, {id(a) for a in path}
+        for a in reversed(arcs):
+            i, j, e = a
+            x = behind[j] + e[0]
+            if x > behind[i]:
+                behind[i] = x
+            x += best[i]
+            if x > second and (back[j] is not a or id(a) not in chosen):
+                second = x
+        return array("i", [k for a in path for k in a[2][1]]).tobytes(), best[n], best[n] - second if second > -1e299 else float("inf")
+
+    def _word(self, s: str) -> tuple[bytes, float, float]:
+        """As one segment, for a run of spaces and what follows."""
+        parts = self.split(s)
+        if len(parts) == 1:
+            return self.best_and_loss(s)
+        hits = [self._cached("\0" + part, self.best_and_loss, part) for part in parts]
+        return b"".join([h[0] for h in hits]), sum(h[1] for h in hits), min(h[2] for h in hits)
+
+    def _alternatives(self, s: str) -> tuple:
+        """(loss, segment, the bytes replaced, other ids) of a word's best alternatives, by A*."""
+        hit = self.others.get(s)
+        if hit is None:
+            found, at = [], 0
+            for k, part in enumerate(self.split(s)):
+                (score, ids), *rest = self.segment_nbest(part, self.n)
+                size = 4 * len(ids)
+                found += [(score - x, k, at, at + size, array("i", y).tobytes()) for x, y in rest]
+                at += size
+            hit = tuple(heapq.nsmallest(self.n - 1, found))
+            if len(self.others) < CACHE:
+                self.others[s] = hit
+        return hit
 
     def _cached(self, key: str, make, s: str) -> tuple:
         hit = self.new.get(key)
@@ -150,17 +202,18 @@ class Segmenter:
         """Best ids of a whole text, its score, and the ``n - 1`` smallest losses of single alternatives."""
         if not text:
             return b"", 0.0, []
-        get, body, score, low, at = self.new.get, [], 0.0, [], 0
+        get, body, score, low, limit, at = self.new.get, [], 0.0, [], float("inf"), 0
         for w in self.words(" " + text):  # the model's own habit: a text begins with a space
             hit = get(w)
             if hit is None:
                 hit = self._cached(w, self._word, w)
                 get = self.new.get
-            ids = hit[0]
+            ids, own, loss = hit
             body.append(ids)
-            score += hit[1]
-            if hit[2] and (len(low) < self.n - 1 or hit[2][0][0] < low[-1][0]):
-                low = sorted(low + [(loss, (at, k), at + a, at + b, alt) for loss, k, a, b, alt in hit[2]])[: self.n - 1]
+            score += own
+            if loss < limit:
+                low = sorted(low + [(x, (at, k), at + a, at + b, alt) for x, k, a, b, alt in self._alternatives(w)])[: self.n - 1]
+                limit = low[-1][0] if len(low) == self.n - 1 else limit
             at += len(ids)
         return b"".join(body), score, low
 
@@ -193,6 +246,18 @@ class Segmenter:
         return self.decode_bytes(array("i", ids).tobytes())
 
 
+_kept: dict[tuple, Segmenter] = {}
+
+
+def _segmenter(held, n: int) -> Segmenter:
+    """A worker's segmenter for a broadcast vocabulary; its cache outlives a task."""
+    key = (held.value.byte_score, len(held.value.texts), hash(frozenset(held.value.ids.items())), n)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Segmenter(held.value, n)
+    return _kept[key]
+
+
 def _letter(c: str) -> bool:
     return re.match(r"[^\W\d_]", c) is not None
 
@@ -212,7 +277,7 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = 3, text_col: str = "text
     held, column = docs.sparkSession.sparkContext.broadcast(load(path)), docs.columns.index(text_col)  # bounded by the model file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = Segmenter(held.value, n)
+        seg = _segmenter(held, n)
         for batch in batches:
             for part in slices(batch, column):
                 made: list[list] = [[] for _ in own]
@@ -238,7 +303,7 @@ def decode(rows: DataFrame, path: str = MODEL, ids_col: str = "ids") -> DataFram
     held, column = rows.sparkSession.sparkContext.broadcast(load(path)), rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = Segmenter(held.value)
+        seg = _segmenter(held, 3)
         for part in batches:
             out = [None if ids is None else seg.decode(ids) for ids in part.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, "decoded"])

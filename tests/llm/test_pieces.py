@@ -38,3 +38,14 @@ def test_dataframe_round_trip_and_edge_rows(spark):
     assert [r.round_trip for r in out] == [None] + [True] * 7
     assert out[1].n_pieces == 0 and out[3].ids == out[4].ids
     assert encode(df.limit(0)).count() == 0
+
+
+def test_viterbi_and_loss_match_the_search():
+    r = random.Random(9)
+    seg = Segmenter(load(MODEL), 3)
+    for _ in range(300):
+        s = "".join(r.choice("  etaéx,日\nb") for _ in range(r.randint(1, 9)))
+        found = seg.segment_nbest(s, 2)
+        ids, score, loss = seg.best_and_loss(s)
+        assert score == found[0][0]
+        assert loss == (found[0][0] - found[1][0] if len(found) > 1 else float("inf")), s
