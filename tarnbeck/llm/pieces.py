@@ -29,7 +29,7 @@ from .common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_PENALTY = 10.0  # a character spelled in bytes scores this much less than the lowest ordinary piece
-CACHE = 250_000  # segments per generation of a worker's cache; there are two generations
+CACHE = 400_000  # segments per generation of a worker's cache; there are two generations
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,6 @@ class Segmenter:
         other = "(?:(?!" + letter + ")[^ ])"
         crossed = any(a != " " and b == " " for p in vocabulary.ids for a, b in zip(p, p[1:]))
         self.split = re.compile(r".+" if crossed else f" *{letter}+| *{other}+| +", re.S).findall
-        self.words = re.compile(r".+" if crossed else " *[^ ]+| +", re.S).findall
         self.arcs: dict[str, tuple] = {p: () for p in self.starts}  # () marks the mere beginning of a piece
         self.arcs |= {p: (vocabulary.scores[p], (i,)) for p, i in vocabulary.ids.items()}
         self.others: dict[str, tuple] = {}
@@ -121,81 +120,56 @@ class Segmenter:
         return out
 
     def best_and_loss(self, s: str) -> tuple[bytes, float, float]:
-        """Viterbi only: best ids and score, and how much the second best loses (inf if there is none).
-
-        The second best leaves the best path somewhere, so its loss is the least loss of a best path
-        through an arc that is not on the chosen one.
-        """
+        """Viterbi only: best ids and score, and how much the second best loses (inf if there is none)."""
         arc, n = self.arcs.get, len(s)
-        best, back = [0.0] + [-1e300] * n, [None] * (n + 1)
-        arcs, high = [], 0.0
+        best, second, back = [0.0] + [-1e300] * n, [-1e300] * (n + 1), [None] * (n + 1)
         for i in range(n):
-            high, one = best[i], False
+            high, next_high, one = best[i], second[i], False
             for j in range(i + 1, n + 1):
                 e = arc(s[i:j])
                 if e is None:
                     break
                 if e:
-                    x = high + e[0]
-                    a = (i, j, e)
-                    arcs.append(a)
-                    one |= j == i + 1
-                    if x > best[j]:
-                        best[j], back[j] = x, a
+                    x, old = high + e[0], best[j]
+                    if x > old:
+                        y = next_high + e[0]
+                        best[j], back[j], second[j] = x, (i, e[1]), old if old > y else y
+                    elif x > second[j]:
+                        second[j] = x
+                    if j == i + 1:
+                        one = True
             if not one:
-                a = (i, i + 1, (self.v.byte_score, tuple(self.v.byte_ids[b] for b in s[i].encode("utf-8", "surrogatepass"))))
-                arcs.append(a)
-                if high + a[2][0] > best[i + 1]:
-                    best[i + 1], back[i + 1] = high + a[2][0], a
-        path, at = [], n
+                x, j, old = high + self.v.byte_score, i + 1, best[i + 1]
+                if x > old:
+                    y = next_high + self.v.byte_score
+                    best[j], back[j], second[j] = x, (i, [self.v.byte_ids[b] for b in s[i].encode("utf-8", "surrogatepass")]), old if old > y else y
+                elif x > second[j]:
+                    second[j] = x
+        ids, at = [], n
         while at:
-            path.append(back[at])
-            at = back[at][0]
-        path.reverse()
-        behind, second, chosen = [-1e300] * n + [0.0], -1e300, {id(a) for a in path}
-        for a in reversed(arcs):
-            i, j, e = a
-            x = behind[j] + e[0]
-            if x > behind[i]:
-                behind[i] = x
-            x += best[i]
-            if x > second and (back[j] is not a or id(a) not in chosen):
-                second = x
-        return array("i", [k for a in path for k in a[2][1]]).tobytes(), best[n], best[n] - second if second > -1e299 else float("inf")
-
-    def _word(self, s: str) -> tuple[bytes, float, float]:
-        """As one segment, for a run of spaces and what follows."""
-        parts = self.split(s)
-        if len(parts) == 1:
-            return self.best_and_loss(s)
-        hits = [self._cached("\0" + part, self.best_and_loss, part) for part in parts]
-        return b"".join([h[0] for h in hits]), sum(h[1] for h in hits), min(h[2] for h in hits)
+            at, own = back[at]
+            ids.extend(own if type(own) is tuple else own[::-1])
+        ids.reverse()
+        return array("i", ids).tobytes(), best[n], best[n] - second[n] if second[n] > -1e299 else float("inf")
 
     def _alternatives(self, s: str) -> tuple:
-        """(loss, segment, the bytes replaced, other ids) of a word's best alternatives, by A*."""
+        """(loss, ids) of a segment's next best segmentations, by A*."""
         hit = self.others.get(s)
         if hit is None:
-            found, at = [], 0
-            for k, part in enumerate(self.split(s)):
-                (score, ids), *rest = self.segment_nbest(part, self.n)
-                size = 4 * len(ids)
-                found += [(score - x, k, at, at + size, array("i", y).tobytes()) for x, y in rest]
-                at += size
-            hit = tuple(heapq.nsmallest(self.n - 1, found))
+            (score, _), *rest = self.segment_nbest(s, self.n)
+            hit = tuple((score - x, array("i", y).tobytes()) for x, y in rest)
             if len(self.others) < CACHE:
                 self.others[s] = hit
         return hit
 
-    def _cached(self, key: str, make, s: str) -> tuple:
-        hit = self.new.get(key)
+    def _cached(self, s: str) -> tuple[bytes, float, float]:
+        hit = self.old.get(s)
         if hit is None:
-            hit = self.old.get(key)
-            if hit is None:
-                hit = make(s)
-            if len(key) < 100:
-                if len(self.new) >= CACHE:
-                    self.old, self.new = self.new, {}
-                self.new[key] = hit
+            hit = self.best_and_loss(s)
+        if len(s) < 100:
+            if len(self.new) >= CACHE:
+                self.old, self.new = self.new, {}
+            self.new[s] = hit
         return hit
 
     def solve(self, text: str) -> tuple[bytes, float, list[tuple]]:
@@ -203,16 +177,16 @@ class Segmenter:
         if not text:
             return b"", 0.0, []
         get, body, score, low, limit, at = self.new.get, [], 0.0, [], float("inf"), 0
-        for w in self.words(" " + text):  # the model's own habit: a text begins with a space
+        for k, w in enumerate(self.split(" " + text)):  # the model's own habit: a text begins with a space
             hit = get(w)
             if hit is None:
-                hit = self._cached(w, self._word, w)
+                hit = self._cached(w)
                 get = self.new.get
             ids, own, loss = hit
             body.append(ids)
             score += own
             if loss < limit:
-                low = sorted(low + [(x, (at, k), at + a, at + b, alt) for x, k, a, b, alt in self._alternatives(w)])[: self.n - 1]
+                low = sorted(low + [(x, k, at, at + len(ids), alt) for x, alt in self._alternatives(w)])[: self.n - 1]
                 limit = low[-1][0] if len(low) == self.n - 1 else limit
             at += len(ids)
         return b"".join(body), score, low
