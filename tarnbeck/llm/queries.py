@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_leaks
 from .language_id import language_scores
+from .line_dedup import duplicate_lines
 from .pieces import MODEL, encode
 from .quality_qda import quality_scores
 from .quality_rules import quality_rules
@@ -27,6 +28,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line that goes, with the earlier line that it repeats."""
+    return duplicate_lines(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +48,7 @@ def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_template_decontamination, op3_quality_rules, op6_language_id, op8_sentencepiece, op9_quality_qda)}
+    return {f.__name__: f for f in (op2_template_decontamination, op3_quality_rules, op4_line_dedup, op6_language_id, op8_sentencepiece, op9_quality_qda)}
 
 
 def oracle_sql() -> dict[str, str]:
