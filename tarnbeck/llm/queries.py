@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_leaks
+from .jaccard import jaccard_components
 from .language_id import language_scores
 from .line_dedup import duplicate_lines
 from .pieces import MODEL, encode
@@ -47,8 +48,12 @@ def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_template_decontamination, op3_quality_rules, op4_line_dedup, op6_language_id, op8_sentencepiece, op9_quality_qda)}
+    return {f.__name__: f for f in (op2_template_decontamination, op3_quality_rules, op4_line_dedup, op6_language_id, op8_sentencepiece, op9_quality_qda, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
