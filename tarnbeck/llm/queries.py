@@ -14,12 +14,18 @@ from .line_dedup import duplicate_lines
 from .pieces import MODEL, encode
 from .quality_qda import quality_scores
 from .quality_rules import quality_rules
+from .warc import OP1_SQL, archive_and_read_back
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived, found through the index, and read back."""
+    return archive_and_read_back(_table(spark, sf_dir, "pages"))
+
+
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item that it leaks."""
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -53,8 +59,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_template_decontamination, op3_quality_rules, op4_line_dedup, op6_language_id, op8_sentencepiece, op9_quality_qda, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_warc_index, op2_template_decontamination, op3_quality_rules, op4_line_dedup, op6_language_id, op8_sentencepiece, op9_quality_qda, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_index": OP1_SQL}
