@@ -29,6 +29,7 @@ from .components import components
 from .line_dedup import FILTER_BITS, _bloom, _inside
 
 WORDS, PERCENT = 5, 75
+SLACK = 2  # two shingles of one row may fall together by their shortened hashes and count once
 SMALL, CHUNK, FREQUENT, BLOCK = 16, 4096, 64, 250_000
 MOST_FREQUENT = 1 << 21  # shingles that are kept as frequent: with more than entries / MOST_FREQUENT rows each, there are no more than so many
 _U = np.uint64
@@ -62,12 +63,18 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _frequent(g: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    return hot[np.searchsorted(hot, g).clip(0, len(hot) - 1)] == g if len(hot) else np.zeros(len(g), bool)
+def _key(g: np.ndarray, bits: int) -> np.ndarray:
+    """A shingle's block (``bits`` bits) and 32 more bits of its hash: enough to count and to propose by."""
+    return g >> _U(32 - bits)
 
 
-def _prefix(g: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
-    late = _frequent(g, hot)
+def _frequent(g: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
+    k = _key(g, bits)
+    return hot[np.searchsorted(hot, k).clip(0, len(hot) - 1)] == k if len(hot) else np.zeros(len(g), bool)
+
+
+def _prefix(g: np.ndarray, hot: np.ndarray, percent: int, bits: int) -> np.ndarray:
+    late = _frequent(g, hot, bits)
     ordered = np.concatenate([g[~late], g[late]]) if late.any() else g
     return ordered[: prefix_length(len(g), percent)]
 
@@ -107,7 +114,7 @@ def _distinct(parts, seen: set[int]):
 
 
 def frequent(docs: DataFrame, bits: int, least: int, percent: int, hot: np.ndarray | None = None) -> DataFrame:
-    """``gram, df``: shingles in more than ``least`` rows.
+    """``gram, df``: shingles (by ``_key``) in more than ``least`` rows.
 
     Without ``hot``, of the prefixes in hash order; with it, of all shingles of the rows whose prefix has
     one of ``hot``.  Rows of one class that a task sees count once.
@@ -117,20 +124,20 @@ def frequent(docs: DataFrame, bits: int, least: int, percent: int, hot: np.ndarr
         held, size = [], 0
 
         def flush():
-            g, n = np.unique(np.concatenate(held), return_counts=True)
-            cut = np.searchsorted(g, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits))
+            g, n = np.unique(_key(np.concatenate(held), bits), return_counts=True)
+            cut = np.searchsorted(g, np.arange(1, 1 << bits, dtype=_U) << _U(32))
             edges = np.concatenate([[0], cut, [len(g)]])
             some = np.flatnonzero(np.diff(edges))
             many = [n[edges[k] : edges[k + 1]] for k in some]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([g[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary()), pa.array([b"" if m.max() == 1 else m.astype(np.int32).tobytes() for m in many], pa.binary())],
+                [pa.array(some, pa.int32()), pa.array([g[edges[k] : edges[k + 1]].astype(np.uint32).tobytes() for k in some], pa.binary()), pa.array([b"" if m.max() == 1 else m.astype(np.int32).tobytes() for m in many], pa.binary())],
                 ["block", "grams", "counts"],
             )
 
         for _, g in _distinct(parts, set()):
             p = g[: prefix_length(len(g), percent)]
             if hot is not None:
-                p = g if _frequent(p, hot).any() else g[:0]
+                p = g if _frequent(p, hot, bits).any() else g[:0]
             held.append(p)
             size += len(p)
             if size > 2_000_000:
@@ -140,11 +147,11 @@ def frequent(docs: DataFrame, bits: int, least: int, percent: int, hot: np.ndarr
             yield from flush()
 
     def add(table: pa.Table) -> pa.Table:
-        g = np.concatenate([np.frombuffer(x, _U) for x in table.column("grams").to_pylist()])
-        n = np.concatenate([np.frombuffer(c, np.int32) if c else np.ones(len(x) // 8, np.int32) for x, c in zip(table.column("grams").to_pylist(), table.column("counts").to_pylist(), strict=True)])
+        g = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("grams").to_pylist()])
+        n = np.concatenate([np.frombuffer(c, np.int32) if c else np.ones(len(x) // 4, np.int32) for x, c in zip(table.column("grams").to_pylist(), table.column("counts").to_pylist(), strict=True)])
         own, at = np.unique(g, return_inverse=True)
         df = np.bincount(at, n).astype(np.int64)
-        return pa.table({"gram": signed(own[df > least]), "df": df[df > least]})
+        return pa.table({"gram": own[df > least].astype(np.int64) + (table.column("block")[0].as_py() << 32), "df": df[df > least]})
 
     return _rows(docs, f, "block int, grams binary, counts binary").groupBy("block").applyInArrow(add, "gram long, df long")
 
@@ -163,26 +170,29 @@ def lists(docs: DataFrame, bits: int, percent: int, hot: np.ndarray, df: np.ndar
         held, size = [], 0
 
         def flush():
-            g = np.concatenate([p for _, _, p in held])
+            k = _key(np.concatenate([p for _, _, p in held]), bits)
             rows = np.repeat(np.array([c for c, _, _ in held], np.int64), [len(p) for _, _, p in held])
-            sizes = np.repeat(np.array([n for _, n, _ in held], np.int32), [len(p) for _, _, p in held])
-            dealt = np.zeros(len(g), bool)
+            sizes = np.repeat(np.array([min(n, 65535) for _, n, _ in held], np.uint16), [len(p) for _, _, p in held])
+            sub = np.zeros(len(k), _U)
             if len(hot):
-                at = np.searchsorted(hot, g).clip(0, len(hot) - 1)
-                dealt = (hot[at] == g) & (parts_of[at] > 1)
-                sub = (mix(rows[dealt].view(_U)) % parts_of[at[dealt]].astype(_U)).astype(_U)
-                g = g.copy()
-                g[dealt] = (g[dealt] >> _U(16) << _U(16)) | sub
-            block = (mix(g) >> _U(64 - bits)).astype(np.int64) * 2 + dealt
-            order = np.lexsort((g, block))
-            g, rows, sizes, block = (x[order] for x in (g, rows, sizes, block))
+                at = np.searchsorted(hot, k).clip(0, len(hot) - 1)
+                parts_here = np.where(hot[at] == k, parts_of[at], 1)
+                sub = np.where(parts_here > 1, mix(rows.view(_U)) % parts_here.astype(_U) + _U(1), _U(0))
+            dealt = sub > 0
+            block = np.where(dealt, mix(k + sub * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits), k >> _U(32)).astype(np.int64) * 2 + dealt
+            order = np.lexsort((sub, k, block))
+            k, rows, sizes, block, sub = (x[order] for x in (k, rows, sizes, block, sub))
             own, first = np.unique(block, return_index=True)
-            edges = np.append(first, len(g))
-            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), cut(g), cut(rows), cut(sizes)], ["block", "grams", "rows", "sizes"])
+            edges = list(zip(first.tolist(), [*first[1:].tolist(), len(k)], own.tolist(), strict=True))
+            packed = [
+                pa.array([(k[a:b] if o % 2 else k[a:b].astype(np.uint32)).tobytes() for a, b, o in edges], pa.binary()),
+                pa.array([(sub[a:b] - _U(1)).astype(np.uint16).tobytes() if o % 2 else b"" for a, b, o in edges], pa.binary()),
+                *(pa.array([x[a:b].tobytes() for a, b, _ in edges], pa.binary()) for x in (rows, sizes)),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *packed], ["block", "grams", "subs", "rows", "sizes"])
 
         for c, g in _distinct(parts, set()):
-            p = _prefix(g, hot, percent)
+            p = _prefix(g, hot, percent, bits)
             held.append((c, len(g), p))
             size += len(p)
             if size > 1_000_000:
@@ -192,17 +202,20 @@ def lists(docs: DataFrame, bits: int, percent: int, hot: np.ndarray, df: np.ndar
             yield from flush()
 
     def multiply(table: pa.Table) -> pa.Table:
-        g, rows, sizes = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("grams", _U), ("rows", np.int64), ("sizes", np.int32)))
         dealt = table.column("block")[0].as_py() % 2 == 1
-        order = np.lexsort((rows, sizes, g))
-        g, rows, sizes = g[order], rows[order], sizes[order]
-        fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (rows[1:] != rows[:-1])])
-        g, rows, sizes = g[fresh], rows[fresh], sizes[fresh]
-        edges = np.append(np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), len(g))
+        whole = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+        g, rows, sizes = whole("grams", _U if dealt else np.uint32), whole("rows", np.int64), whole("sizes", np.uint16)
+        sub = whole("subs", np.uint16) if dealt else np.zeros(len(g), np.uint16)
+        order = np.lexsort((rows, sizes, sub, g))
+        g, rows, sizes, sub = g[order], rows[order], sizes[order], sub[order]
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (sub[1:] != sub[:-1])])
+        fresh = new | np.concatenate([[True], rows[1:] != rows[:-1]])
+        g, rows, sizes, sub, new = g[fresh], rows[fresh], sizes[fresh], sub[fresh], new[fresh]
+        edges = np.append(np.flatnonzero(new), len(g))
         out: dict = {}
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if dealt:
-                out[(a,)] = [int(g[a] >> _U(16)), int(g[a] & _U(0xFFFF)), b - a, 1, 0, rows[a:b].tobytes(), sizes[a:b].tobytes()]
+                out[(a,)] = [int(g[a]), int(sub[a]), b - a, 1, 0, rows[a:b].tobytes(), sizes[a:b].tobytes()]
             elif b - a > 1:
                 key = rows[a:b].tobytes()
                 if key in out:
@@ -213,17 +226,18 @@ def lists(docs: DataFrame, bits: int, percent: int, hot: np.ndarray, df: np.ndar
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array([r[k] for r in out.values()], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in LISTS.split(", ")])
 
-    return _rows(docs, f, "block long, grams binary, rows binary, sizes binary").groupBy("block").applyInArrow(multiply, LISTS)
+    return _rows(docs, f, "block long, grams binary, subs binary, rows binary, sizes binary").groupBy("block").applyInArrow(multiply, LISTS)
 
 
 def _pairs(found: DataFrame, percent: int) -> DataFrame:
-    """``a, b, shared``: pairs of rows of the lists with the number of shared prefix shingles found."""
+    """``a, b, shared``: pairs of rows of the lists, and the prefix shingles that they share in lists of
+    up to ``SMALL`` rows.  (Sizes over 65535 count as 65535 here, which only lets more pairs through.)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, w = [], [], []
             for k, weight, rows, sizes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                rows, sizes = np.frombuffer(rows, np.int64), np.frombuffer(sizes, np.int32)
+                rows, sizes = np.frombuffer(rows, np.int64), np.frombuffer(sizes, np.uint16)
                 if k <= SMALL:
                     i, j = np.triu_indices(k, 1)
                 else:
@@ -233,7 +247,7 @@ def _pairs(found: DataFrame, percent: int) -> DataFrame:
                 i, j = i[ok], j[ok]
                 a.append(np.minimum(rows[i], rows[j]))
                 b.append(np.maximum(rows[i], rows[j]))
-                w.append(np.full(len(i), weight))
+                w.append(np.full(len(i), weight if k <= SMALL else 0))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, w)], ["a", "b", "shared"])
 
@@ -257,21 +271,21 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _members(found: DataFrame, heads: bool = False) -> DataFrame:
-    """``list, dealt, sub, cls, size``: the rows of the lists one by one (or of each part only the first)."""
+    """``list, dealt, sub, cls, size, weight``: the rows of the lists one by one (or of each part only the first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.asarray(batch.column(2), np.int64)
             rows = [np.frombuffer(x, np.int64) for x in batch.column(4).to_pylist()]
-            sizes = [np.frombuffer(x, np.int32) for x in batch.column(5).to_pylist()]
+            sizes = [np.frombuffer(x, np.uint16).astype(np.int32) for x in batch.column(5).to_pylist()]
             if heads:
                 n, rows, sizes = np.ones_like(n), [x[:1] for x in rows], [x[:1] for x in sizes]
             sub = np.asarray(batch.column(1), np.int32)
             name = np.where(sub < 0, np.asarray(batch.column(3), np.int64), np.asarray(batch.column(0), np.int64))
             if len(n):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(name, n), np.repeat(sub >= 0, n), np.repeat(sub, n), np.concatenate(rows), np.concatenate(sizes))], ["list", "dealt", "sub", "cls", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(name, n), np.repeat(sub >= 0, n), np.repeat(sub, n), np.concatenate(rows), np.concatenate(sizes), np.repeat(np.asarray(batch.column(6), np.int64), n))], ["list", "dealt", "sub", "cls", "size", "weight"])
 
-    return found.select("gram", "sub", "k", "list_hash", "rows", "sizes").mapInArrow(run, "list long, dealt boolean, sub int, cls long, size int")
+    return found.select("gram", "sub", "k", "list_hash", "rows", "sizes", "weight").mapInArrow(run, "list long, dealt boolean, sub int, cls long, size int, weight long")
 
 
 def _head_pairs(found: DataFrame, percent: int) -> DataFrame:
@@ -279,7 +293,7 @@ def _head_pairs(found: DataFrame, percent: int) -> DataFrame:
     heads = _members(found.where("sub >= 0"), heads=True)
     least = heads.groupBy("list").agg(F.min(F.struct("size", "cls")).alias("m"))
     both = heads.join(least, "list").where((F.col("cls") != F.col("m.cls")) & (100 * F.col("m.size") >= percent * F.col("size")))
-    return both.select(F.least("cls", "m.cls").alias("a"), F.greatest("cls", "m.cls").alias("b")).distinct().withColumn("shared", F.lit(1).cast("long"))
+    return both.select(F.least("cls", "m.cls").alias("a"), F.greatest("cls", "m.cls").alias("b")).distinct().withColumn("shared", F.lit(0).cast("long"))
 
 
 def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
@@ -289,27 +303,66 @@ def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _need(na, nb, percent: int):
+    """Shared prefix shingles without which a pair of these sizes cannot reach the threshold.
+
+    The pair shares ``o`` shingles at least.  Those up to where the first of the two prefixes ends are
+    in both prefixes; the others are in that row's remainder.
+    """
+    rest = lambda n: F.ceil(n * percent / 100) - 1
+    return F.ceil((na + nb) * percent / (100 + percent)) - F.greatest(rest(na), rest(nb)) - SLACK
+
+
+def _possible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (of classes) that the counts do not rule out, by their ids."""
+    one = rows.select(F.col("cls").alias("a"), F.col("rep").alias("x"), F.col("n").alias("na"), F.col("in_long").alias("la"))
+    two = rows.select(F.col("cls").alias("b"), F.col("rep").alias("y"), F.col("n").alias("nb"), F.col("in_long").alias("lb"))
+    joined = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(one, "a").join(two, "b")
+    return joined.where(F.col("shared") + F.least("la", "lb") >= _need(F.col("na"), F.col("nb"), percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
+
+
+def _sets(spark, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``doc_id, grams`` of the documents in the pairs: one more pass over the texts, behind a Bloom filter."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    wanted = _bloom(ids.select(F.xxhash64("doc_id").alias("h")), "h")
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(_inside(wanted, np.asarray(batch.column(2), np.int64).view(_U))))
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in shingle_sets(part.column(1))], pa.binary())], ["doc_id", "grams"])
+
+    sets = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(full, "doc_id long, grams binary")
+    return materialise(spark, sets.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("grams").alias("grams")), "sets")
+
+
 def _rest_of_lists(found: DataFrame, of: DataFrame, group: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: pairs across components within the longer lists that hold several."""
-    rows = _members(found.where(f"sub >= 0 or k > {SMALL}")).join(of, "cls").join(group.toDF("rep", "component"), "rep", "left")
-    rows = rows.select("list", "dealt", "sub", "rep", "size", F.coalesce("component", "rep").alias("component"))
+    """``a, b``: pairs across components within the longer lists that hold several.
+
+    A pair that shorter lists do not propose shares prefix shingles in longer ones alone, so a row with
+    too few of them there for any partner is left out, and so is a pair.
+    """
+    rows = _members(found).select("list", "dealt", "sub", "cls").join(of, "cls").join(group.toDF("rep", "component"), "rep", "left")
+    rows = rows.select("list", "dealt", "sub", "rep", F.col("n").alias("size"), "in_long", F.coalesce("component", "rep").alias("component"))
     several = rows.groupBy("list", "dealt").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list", "dealt")
-    part = rows.join(several, ["list", "dealt"], "left_semi").groupBy("list", "dealt", "sub").agg(F.collect_list(F.struct("rep", "size", "component")).alias("p"))
-    cut = lambda t: part.select("list", "dealt", F.col("sub").alias(f"sub{t}"), *[F.col(f"p.{c}").alias(f"{c}{t}") for c in ("rep", "size", "component")])
+    part = rows.join(several, ["list", "dealt"], "left_semi").groupBy("list", "dealt", "sub").agg(F.collect_list(F.struct("rep", "size", "in_long", "component")).alias("p"))
+    names = ("rep", "size", "in_long", "component")
+    cut = lambda t: part.select("list", "dealt", F.col("sub").alias(f"sub{t}"), *[F.col(f"p.{c}").alias(f"{c}{t}") for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                r1, s1, c1, r2, s2, c2 = (np.array(x[k], np.int64) for k in ("rep1", "size1", "component1", "rep2", "size2", "component2"))
+                r1, s1, l1, c1, r2, s2, l2, c2 = (np.array(x[f"{c}{t}"], np.int64) for t in (1, 2) for c in names)
                 for at in range(0, len(r1), 256):  # a block of rows against the other part
-                    i, j = slice(at, at + 256), slice(None)
-                    small, large = np.minimum.outer(s1[i], s2[j]), np.maximum.outer(s1[i], s2[j])
-                    p, q = np.nonzero((100 * small >= percent * large) & np.not_equal.outer(c1[i], c2[j]))
+                    i = slice(at, at + 256)
+                    small, large = np.minimum.outer(s1[i], s2), np.maximum.outer(s1[i], s2)
+                    need = -(-(small + large) * percent // (100 + percent)) - (-(-large * percent // 100) - 1) - SLACK
+                    p, q = np.nonzero((100 * small >= percent * large) & (np.minimum.outer(l1[i], l2) >= need) & np.not_equal.outer(c1[i], c2))
                     p = p + at
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(r1[p], r2[q])), pa.array(np.maximum(r1[p], r2[q]))], ["a", "b"])
 
     both = cut(1).join(cut(2), ["list", "dealt"]).where("sub1 <= sub2")
-    return both.select("rep1", "size1", "component1", "rep2", "size2", "component2").mapInArrow(run, "a long, b long").distinct()
+    return both.select(*[f"{c}{t}" for t in (1, 2) for c in names]).mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, least: int = FREQUENT) -> DataFrame:
@@ -325,18 +378,18 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, chunk: int = CHU
     linked = docs.where("doc_id is not null and text is not null")
     reps = materialise(spark, every.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "reps")
     entries = int(reps.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0)
-    bits = max(4, (entries // BLOCK).bit_length())
+    bits = min(24, max(4, (entries // BLOCK).bit_length()))
 
     def gather(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         t = found.toArrow()  # at most MOST_FREQUENT rows, by the choice of the least count
-        g = t.column("gram").to_numpy().view(_U)
+        g = t.column("gram").to_numpy().astype(_U)
         order = np.argsort(g)
         return g[order], t.column("df").to_numpy()[order]
 
     hot, df = gather(frequent(linked, bits, max(least, entries // MOST_FREQUENT), percent))
     if len(hot):
         total = int(reps.agg(F.sum("n")).first()[0])
-        more, more_df = gather(frequent(linked, bits + 2, max(least, total // MOST_FREQUENT), percent, hot))
+        more, more_df = gather(frequent(linked, bits, max(least, total // MOST_FREQUENT), percent, hot))
         own, at = np.unique(np.concatenate([hot, more]), return_inverse=True)
         most = np.zeros(len(own), np.int64)
         np.maximum.at(most, at, np.concatenate([df, more_df]))
@@ -347,35 +400,29 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, chunk: int = CHU
     found = materialise(spark, whole.select(*[x.split()[0] for x in LISTS.split(", ")]).unionByName(found.where("sub >= 0")), "lists")
 
     # candidate pairs: within lists, and between the least rows of the parts of one dealt-out list
-    of = reps.select("cls", "rep")
+    long_lists = found.where(f"sub >= 0 or k > {SMALL}")
+    in_long = _members(long_lists).groupBy("cls").agg(F.sum("weight").alias("in_long"))
+    rows = materialise(spark, reps.join(in_long, "cls", "left").select("cls", "rep", "n", F.coalesce("in_long", F.lit(0)).alias("in_long")), "rows")
     pairs = _pairs(found, percent).unionByName(_head_pairs(found, percent))
-    pairs = pairs.join(of.select(F.col("cls").alias("a"), F.col("rep").alias("x")), "a").join(of.select(F.col("cls").alias("b"), F.col("rep").alias("y")), "b")
-    pairs = materialise(spark, pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared").where("a <> b"), "pairs")
-
-    rows = _members(found).select("cls").distinct().join(of, "cls").select(F.col("rep").alias("doc_id"), F.xxhash64("rep").alias("h"))
-    wanted = _bloom(rows, "h")
+    pairs = materialise(spark, _possible(pairs, rows, percent), "pairs")
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(_inside(wanted, np.asarray(batch.column(2), np.int64).view(_U))))
-            for part in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in shingle_sets(part.column(1))], pa.binary())], ["doc_id", "grams"])
-
-    sets = materialise(spark, linked.withColumn("h", F.xxhash64("doc_id")).mapInArrow(full, "doc_id long, grams binary").join(rows.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
-
-    # each row's best candidate first; then what is not yet connected
+    # each row's best candidate first; then what is not yet connected; then what only long lists propose
     both = pairs.union(pairs.select("b", "a", "shared"))
     best = both.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("other"))).alias("m")).select(F.least("a", -F.col("m.other")).alias("a"), F.greatest("a", -F.col("m.other")).alias("b")).distinct()
+    sets = _sets(spark, linked, pairs)
     links = materialise(spark, _verify(best, sets, percent), "links")
     group = components(links)
-    rest = _apart(pairs.join(best, ["a", "b"], "left_anti"), group)
-    links = materialise(spark, links.union(_verify(rest, sets, percent)), "links")
-    group = components(links)
-    late = materialise(spark, _rest_of_lists(found, of, group, percent).join(pairs, ["a", "b"], "left_anti"), "late-pairs")
-    more = materialise(spark, _verify(late, sets, percent), "links")
+    more = materialise(spark, _verify(_apart(pairs.join(best, ["a", "b"], "left_anti"), group), sets, percent), "links")
     if not more.isEmpty():
-        group = components(links.union(more))
+        links = links.union(more)
+        group = components(links)
+    late = _rest_of_lists(long_lists, rows, group, percent).join(pairs, ["a", "b"], "left_anti")
+    late = materialise(spark, late, "late-pairs")
+    if not late.isEmpty():
+        more = materialise(spark, _verify(late, _sets(spark, linked, late), percent), "links")
+        group = group if more.isEmpty() else components(links.union(more))
 
+    of = reps.select("cls", "rep")
     to_rep = every.join(of, "cls", "left").withColumn("rep", F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     out = to_rep.join(group.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
