@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .compaction import compact_arrivals
 from .decontaminate import find_leaks
 from .jaccard import jaccard_components
 from .language_id import language_scores
@@ -14,6 +15,7 @@ from .line_dedup import duplicate_lines
 from .pieces import MODEL, encode
 from .quality_qda import quality_scores
 from .quality_rules import quality_rules
+from .quoting import OP5_SQL, link_quotes
 from .warc import OP1_SQL, archive_and_read_back
 
 
@@ -40,10 +42,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_lines(_table(spark, sf_dir, "documents"))
 
 
+def op5_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message with its parent and its text without quotes."""
+    return link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(_table(spark, sf_dir, "documents"))
 
 
+def op7_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the shard that holds it once all arrivals are appended and compacted."""
+    return compact_arrivals(_table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the three best segmentations of every document, and whether decoding gives the text back."""
     out = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL, 3, with_ids=False)
@@ -59,8 +71,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_index, op2_template_decontamination, op3_quality_rules, op4_line_dedup, op6_language_id, op8_sentencepiece, op9_quality_qda, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_warc_index, op2_template_decontamination, op3_quality_rules, op4_line_dedup, op5_quote_linking, op6_language_id, op7_compaction, op8_sentencepiece, op9_quality_qda, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL}
+    return {"op1_warc_index": OP1_SQL, "op5_quote_linking": OP5_SQL}
