@@ -1,6 +1,74 @@
-"""Corpus pipeline over ``documents``."""
+"""Corpus pipeline over ``documents``: language, repeated lines, near-duplicates, benchmark leaks, pieces.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's ``docs``.  All but the last keep the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnbeck.llm.common import work_path
+from tarnbeck.llm.decontaminate import without_leaks
+from tarnbeck.llm.jaccard import jaccard_components
+from tarnbeck.llm.language_id import UNKNOWN, identify, train
+from tarnbeck.llm.line_dedup import dedup_lines
+from tarnbeck.llm.pieces import MODEL, encode
+
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6.  Documents without a letter, or that no language codes clearly shortest, go.
+
+    Where nothing can be learnt (no labelled text), every document goes.
+    """
+    trees = train(docs.select("doc_id", "text", "lang").where("not coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"))
+    kept = identify(docs, trees).where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select(*docs.columns)
+
+
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4.  Lines that an earlier line matches go; a document that loses all its words goes too."""
+    lean = dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return lean.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10.  Of each component the document with the smallest id stays (and those without an id)."""
+    first = jaccard_components(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").select(*docs.columns)
+
+
+def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2.  Documents that hold a benchmark item, or one asked again with other values, go."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8.  ``doc_id, lang, source, n_pieces, score, ids, round_trip`` of each whole text."""
+    out = encode(docs.select("doc_id", "lang", "source", "text"), MODEL, 3)
+    return out.select("doc_id", "lang", "source", "n_pieces", "score", "ids", "round_trip")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("line_dedup", remove_repeated_lines),
+    ("ngram_jaccard", keep_one_of_near_copies),
+    ("decontamination", remove_leaks),
+    ("sentencepiece", to_pieces),
+]
+#: The language model, the edit distances and the piece lattice are beyond SQL; see the tests.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        made, path = stage(spark, docs, sf_dir), work_path(spark, name)
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -70,8 +70,15 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline, one after another."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_index, op2_template_decontamination, op3_quality_rules, op4_line_dedup, op5_quote_linking, op6_language_id, op7_compaction, op8_sentencepiece, op9_quality_qda, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_warc_index, op2_template_decontamination, op3_quality_rules, op4_line_dedup, op5_quote_linking, op6_language_id, op7_compaction, op8_sentencepiece, op9_quality_qda, op10_ngram_jaccard, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
