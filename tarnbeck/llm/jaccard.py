@@ -8,8 +8,8 @@ are added up over the blocks, and pairs whose sizes alone rule the threshold out
 The order puts frequent shingles last, so a passage that many documents share is multiplied only for
 documents that consist of little else.  The counts behind it cover all rows.
 
-Lists of up to ``SMALL`` rows give all their pairs.  Longer ones first give pairs with their least row
-and between neighbours in size order; once these are verified and grouped, a list whose rows are all
+Lists of up to ``SMALL`` rows give all their pairs.  Longer ones first give the pairs of each row with
+the list's hub; once these are verified and grouped, a list whose rows are all
 connected is done, and of another one the pairs between different groups follow, block by block, so
 no link between different groups is lost.  Lists over ``CHUNK`` rows are dealt out to several blocks.
 Every candidate pair is verified on the full sets.
@@ -230,24 +230,19 @@ def lists(docs: DataFrame, bits: int, percent: int, hot: np.ndarray, df: np.ndar
 
 
 def _pairs(found: DataFrame, percent: int) -> DataFrame:
-    """``a, b, shared``: pairs of rows of the lists, and the prefix shingles that they share in lists of
-    up to ``SMALL`` rows.  (Sizes over 65535 count as 65535 here, which only lets more pairs through.)"""
+    """``a, b, shared``: the pairs of the shorter lists with the prefix shingles they share there.  (Sizes over 65535 count as 65535 here, which only lets more pairs through.)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, w = [], [], []
             for k, weight, rows, sizes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 rows, sizes = np.frombuffer(rows, np.int64), np.frombuffer(sizes, np.uint16)
-                if k <= SMALL:
-                    i, j = np.triu_indices(k, 1)
-                else:
-                    i = np.concatenate([np.zeros(k - 1, np.int64), np.arange(1, k - 1)])
-                    j = np.concatenate([np.arange(1, k), np.arange(2, k)])
+                i, j = np.triu_indices(k, 1)
                 ok = 100 * sizes[i].astype(np.int64) >= percent * sizes[j].astype(np.int64)
                 i, j = i[ok], j[ok]
                 a.append(np.minimum(rows[i], rows[j]))
                 b.append(np.maximum(rows[i], rows[j]))
-                w.append(np.full(len(i), weight if k <= SMALL else 0))
+                w.append(np.full(len(i), weight))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, w)], ["a", "b", "shared"])
 
@@ -270,16 +265,14 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _members(found: DataFrame, heads: bool = False) -> DataFrame:
-    """``list, dealt, sub, cls, size, weight``: the rows of the lists one by one (or of each part only the first)."""
+def _members(found: DataFrame) -> DataFrame:
+    """``list, dealt, sub, cls, size, weight``: the rows of the lists one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.asarray(batch.column(2), np.int64)
             rows = [np.frombuffer(x, np.int64) for x in batch.column(4).to_pylist()]
             sizes = [np.frombuffer(x, np.uint16).astype(np.int32) for x in batch.column(5).to_pylist()]
-            if heads:
-                n, rows, sizes = np.ones_like(n), [x[:1] for x in rows], [x[:1] for x in sizes]
             sub = np.asarray(batch.column(1), np.int32)
             name = np.where(sub < 0, np.asarray(batch.column(3), np.int64), np.asarray(batch.column(0), np.int64))
             if len(n):
@@ -288,12 +281,15 @@ def _members(found: DataFrame, heads: bool = False) -> DataFrame:
     return found.select("gram", "sub", "k", "list_hash", "rows", "sizes", "weight").mapInArrow(run, "list long, dealt boolean, sub int, cls long, size int, weight long")
 
 
-def _head_pairs(found: DataFrame, percent: int) -> DataFrame:
-    """Each part's least row with the least row of all parts of its list."""
-    heads = _members(found.where("sub >= 0"), heads=True)
-    least = heads.groupBy("list").agg(F.min(F.struct("size", "cls")).alias("m"))
-    both = heads.join(least, "list").where((F.col("cls") != F.col("m.cls")) & (100 * F.col("m.size") >= percent * F.col("size")))
-    return both.select(F.least("cls", "m.cls").alias("a"), F.greatest("cls", "m.cls").alias("b")).distinct().withColumn("shared", F.lit(0).cast("long"))
+def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """``a, b, shared``: each row of a longer list with the list's hub.
+
+    The hub is the row with the most shingles in longer lists (ties: the least id).  Copies of one text
+    that were changed each in its own way are far from each other, but near one that was changed little.
+    """
+    hub = members.groupBy("list", "dealt").agg(F.max_by(F.struct("rep", "n"), F.struct("in_long", -F.col("rep"))).alias("hub"))
+    both = members.join(hub, ["list", "dealt"]).where((F.col("rep") != F.col("hub.rep")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
+    return both.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct().withColumn("shared", F.lit(0).cast("long"))
 
 
 def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
@@ -313,12 +309,14 @@ def _need(na, nb, percent: int):
     return F.ceil((na + nb) * percent / (100 + percent)) - F.greatest(rest(na), rest(nb)) - SLACK
 
 
-def _possible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (of classes) that the counts do not rule out, by their ids."""
-    one = rows.select(F.col("cls").alias("a"), F.col("rep").alias("x"), F.col("n").alias("na"), F.col("in_long").alias("la"))
-    two = rows.select(F.col("cls").alias("b"), F.col("rep").alias("y"), F.col("n").alias("nb"), F.col("in_long").alias("lb"))
-    joined = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(one, "a").join(two, "b")
-    return joined.where(F.col("shared") + F.least("la", "lb") >= _need(F.col("na"), F.col("nb"), percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
+def _possible(pairs: DataFrame, hubs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (classes in ``pairs``, ids in ``hubs``) that the counts do not rule out, by their ids."""
+    of = rows.select("cls", "rep")
+    named = pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
+    every = named.unionByName(hubs).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    one, two = rows.select("rep", "n", "in_long").toDF("a", "na", "la"), rows.select("rep", "n", "in_long").toDF("b", "nb", "lb")
+    joined = every.join(one, "a").join(two, "b")
+    return joined.where(F.col("shared") + F.least("la", "lb") >= _need(F.col("na"), F.col("nb"), percent)).select("a", "b", "shared")
 
 
 def _sets(spark, docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -336,20 +334,29 @@ def _sets(spark, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(spark, sets.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("grams").alias("grams")), "sets")
 
 
-def _rest_of_lists(found: DataFrame, of: DataFrame, group: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: pairs across components within the longer lists that hold several.
+def _rest_of_lists(members: DataFrame, group: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs across components that only longer lists propose, where those share enough.
 
-    A pair that shorter lists do not propose shares prefix shingles in longer ones alone, so a row with
-    too few of them there for any partner is left out, and so is a pair.
+    The lists of one hub are multiplied together, so that a pair's counts are added up before it is
+    passed on.  A row with too few shingles in longer lists for any partner there is left out.
     """
-    rows = _members(found).select("list", "dealt", "sub", "cls").join(of, "cls").join(group.toDF("rep", "component"), "rep", "left")
-    rows = rows.select("list", "dealt", "sub", "rep", F.col("n").alias("size"), "in_long", F.coalesce("component", "rep").alias("component"))
-    several = rows.groupBy("list", "dealt").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list", "dealt")
-    part = rows.join(several, ["list", "dealt"], "left_semi").groupBy("list", "dealt", "sub").agg(F.collect_list(F.struct("rep", "size", "in_long", "component")).alias("p"))
+    rows = members.join(group.toDF("rep", "component"), "rep", "left")
+    rows = rows.select("list", "dealt", "sub", "weight", "rep", F.col("n").alias("size"), "in_long", F.coalesce("component", "rep").alias("component"))
+    several = rows.groupBy("list", "dealt").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("rep", F.struct("in_long", -F.col("rep"))).alias("hub")).where("low <> high").select("list", "dealt", "hub")
+    part = rows.join(several, ["list", "dealt"]).groupBy("list", "dealt", "sub", "hub", "weight").agg(F.collect_list(F.struct("rep", "size", "in_long", "component")).alias("p"))
     names = ("rep", "size", "in_long", "component")
-    cut = lambda t: part.select("list", "dealt", F.col("sub").alias(f"sub{t}"), *[F.col(f"p.{c}").alias(f"{c}{t}") for c in names])
+    cut = lambda t: part.select("list", "dealt", *(["hub", "weight"] if t == 1 else []), F.col("sub").alias(f"sub{t}"), *[F.col(f"p.{c}").alias(f"{c}{t}") for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            a, b, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((b, a))
+            a, b, w = a[order], b[order], w[order]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            return a[first], b[first], np.add.reduceat(w, first)
+
         for batch in batches:
             for x in batch.to_pylist():
                 r1, s1, l1, c1, r2, s2, l2, c2 = (np.array(x[f"{c}{t}"], np.int64) for t in (1, 2) for c in names)
@@ -357,12 +364,28 @@ def _rest_of_lists(found: DataFrame, of: DataFrame, group: DataFrame, percent: i
                     i = slice(at, at + 256)
                     small, large = np.minimum.outer(s1[i], s2), np.maximum.outer(s1[i], s2)
                     need = -(-(small + large) * percent // (100 + percent)) - (-(-large * percent // 100) - 1) - SLACK
-                    p, q = np.nonzero((100 * small >= percent * large) & (np.minimum.outer(l1[i], l2) >= need) & np.not_equal.outer(c1[i], c2))
-                    p = p + at
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(r1[p], r2[q])), pa.array(np.maximum(r1[p], r2[q]))], ["a", "b"])
-
-    both = cut(1).join(cut(2), ["list", "dealt"]).where("sub1 <= sub2")
-    return both.select(*[f"{c}{t}" for t in (1, 2) for c in names]).mapInArrow(run, "a long, b long").distinct()
+                    ok = (100 * small >= percent * large) & (np.minimum.outer(l1[i], l2) >= need) & np.not_equal.outer(c1[i], c2)
+                    if x["same"]:
+                        ok &= np.less.outer(np.arange(at, at + len(r1[i])), np.arange(len(r2)))
+                    p, q = np.nonzero(ok)
+                    if len(p):
+                        p = p + at
+                        held.append((np.minimum(r1[p], r2[q]), np.maximum(r1[p], r2[q]), np.full(len(p), x["weight"])))
+                        size += len(p)
+                if size > 4_000_000:
+                    held = [flush()]
+                    size = len(held[0][0])
+                    if size > 2_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["a", "b", "shared"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in flush()], ["a", "b", "shared"])
+
+    both = cut(1).join(cut(2), ["list", "dealt"]).where("sub1 <= sub2").withColumn("same", F.expr("sub1 = sub2")).repartition("hub", "sub1", "sub2")
+    made = both.select("weight", "same", *[f"{c}{t}" for t in (1, 2) for c in names]).mapInArrow(run, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    n = members.select("rep", "n").distinct()
+    sized = made.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
+    return sized.where(F.col("shared") >= _need(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, least: int = FREQUENT) -> DataFrame:
@@ -399,12 +422,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, chunk: int = CHU
     whole = found.where("sub < 0").groupBy("list_hash").agg(F.sum("weight").alias("weight"), *[F.first(c).alias(c) for c in ("gram", "sub", "k", "rows", "sizes")])
     found = materialise(spark, whole.select(*[x.split()[0] for x in LISTS.split(", ")]).unionByName(found.where("sub >= 0")), "lists")
 
-    # candidate pairs: within lists, and between the least rows of the parts of one dealt-out list
-    long_lists = found.where(f"sub >= 0 or k > {SMALL}")
+    # candidate pairs: all of the shorter lists, and each row of a longer one with the list's hub
+    is_long = F.expr(f"sub >= 0 or k > {SMALL}")
+    long_lists = found.where(is_long)
     in_long = _members(long_lists).groupBy("cls").agg(F.sum("weight").alias("in_long"))
     rows = materialise(spark, reps.join(in_long, "cls", "left").select("cls", "rep", "n", F.coalesce("in_long", F.lit(0)).alias("in_long")), "rows")
-    pairs = _pairs(found, percent).unionByName(_head_pairs(found, percent))
-    pairs = materialise(spark, _possible(pairs, rows, percent), "pairs")
+    members = materialise(spark, _members(long_lists).select("list", "dealt", "sub", "cls", "weight").join(rows, "cls").drop("cls"), "members")
+    by_count = _pairs(found.where(~is_long), percent).select(*"a b shared".split())
+    pairs = materialise(spark, _possible(by_count, _hub_pairs(members, percent), rows, percent), "pairs")
 
     # each row's best candidate first; then what is not yet connected; then what only long lists propose
     both = pairs.union(pairs.select("b", "a", "shared"))
@@ -416,7 +441,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, chunk: int = CHU
     if not more.isEmpty():
         links = links.union(more)
         group = components(links)
-    late = _rest_of_lists(long_lists, rows, group, percent).join(pairs, ["a", "b"], "left_anti")
+    late = _rest_of_lists(members, group, percent).join(pairs, ["a", "b"], "left_anti")
     late = materialise(spark, late, "late-pairs")
     if not late.isEmpty():
         more = materialise(spark, _verify(late, _sets(spark, linked, late), percent), "links")
