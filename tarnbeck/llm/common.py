@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The contract's white space bytes, as in ``[^\x20\x09-\x0D]+``.
 SPACE_BYTES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
+SLICE = (2 << 20) - 64  # bytes of text worked on at once; a task's arrays are some tens of times that
 _BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
 _U = np.uint64
 _IS_SPACE = np.zeros(256, bool)
@@ -129,7 +130,7 @@ def windows(hashes: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, n
     return mix(acc[first]), first
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of at most ``most`` bytes of text (a longer row comes alone)."""
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     total = np.cumsum(sizes)

@@ -174,7 +174,7 @@ def identify(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            for part in slices(batch, column, 2 << 20):
+            for part in slices(batch, column, 1 << 20):
                 text = part.column(column)
                 known = np.asarray(pc.match_substring_regex(text.cast(pa.large_string()), r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False), bool)
                 if model is None:
