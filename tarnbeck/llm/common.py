@@ -7,9 +7,11 @@ powers have inverses modulo 2**64) and finished with a 64-bit mixer.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The contract's white space bytes, as in ``[^\x20\x09-\x0D]+``.
 SPACE_BYTES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
-SLICE = (2 << 20) - 64  # bytes of text worked on at once; a task's arrays are some tens of times that
+SLICE = (1 << 20) - 64  # bytes of text worked on at once; a task's arrays are some tens of times that
 _BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
 _U = np.uint64
 _IS_SPACE = np.zeros(256, bool)
@@ -27,6 +29,10 @@ _BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.i
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: memory is given back as it sees fit
+    _libc = None
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -140,6 +146,34 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE) -> Iterator[pa
         to = max(at + 1, int(np.searchsorted(total, floor + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back: a worker lives on after its task, beside the executor's other workers."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+_release: dict[str, Callable[[], None]] = {}
+_now = [""]
+
+
+def releases(owner: str, f: Callable[[], None]) -> None:
+    """``f`` drops what an operator keeps in a worker between its tasks."""
+    _release[owner] = f
+
+
+def enter(owner: str) -> None:
+    """An operator begins a task in this worker: what the others keep there is dropped."""
+    if _now[0] != owner:
+        _now[0] = owner
+        for other, f in _release.items():
+            if other != owner:
+                f()
+        gc.collect()
+        trim()
 
 
 def signed(h: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, slices, windows
+from .common import Texts, enter, slices, windows
 
 WINDOW = 5
 LEAST_COVER = 0.5  # of an item's windows on one diagonal
@@ -196,6 +196,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most: int = MOST_BYTES) ->
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            enter("decontaminate")
             index = held.value
             for batch in batches:
                 for part in slices(batch, 1):
@@ -216,6 +217,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, most: int = MOST_BYTES)
         held, column = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], held=held, column=column) -> Iterator[pa.RecordBatch]:
+            enter("decontaminate")
             for batch in batches:
                 for part in slices(batch, column):
                     keep = np.ones(part.num_rows, bool)

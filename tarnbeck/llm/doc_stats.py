@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, slices, windows
+from .common import Texts, enter, slices, windows
 
 #: The symbols counted by ``n_symbols``.
 SYMBOLS = "#*$%&|<>"
@@ -114,6 +114,7 @@ def doc_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """One row of counts and features per document (a null text counts as empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("doc_stats")
         for batch in batches:
             for part in slices(batch, 1):
                 counts, f = text_stats(part.column(1))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, materialise, mix, signed, slices, windows
+from .common import Texts, enter, materialise, mix, signed, slices, windows
 from .components import components
 from .line_dedup import FILTER_BITS, _bloom, _inside
 
@@ -83,6 +83,8 @@ def _rows(docs: DataFrame, f, schema: str) -> DataFrame:
     """``f`` over (ids, sets) of every slice of (doc_id, text); yields batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
+
         def parts():
             for batch in batches:
                 for part in slices(batch, 1):
@@ -325,6 +327,7 @@ def _sets(spark, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = _bloom(ids.select(F.xxhash64("doc_id").alias("h")), "h")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         for batch in batches:
             batch = batch.filter(pa.array(_inside(wanted, np.asarray(batch.column(2), np.int64).view(_U))))
             for part in slices(batch, 1):

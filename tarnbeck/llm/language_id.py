@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import Texts, slices
+from .common import Texts, enter, slices
 
 ORDER = 3
 MOST_TRAINING_DOCS = 1_500  # per language; a documented bound on the sample that the trees are grown on
@@ -59,6 +59,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """``lang, gram, n``: how often each (context, byte) of ``ORDER + 1`` bytes occurs in each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("language_id")
         held: dict[str, list] = {}
         for batch in batches:
             for part in slices(batch, 1):
@@ -172,6 +173,7 @@ def identify(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> Da
     column = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("language_id")
         model = held.value
         for batch in batches:
             for part in slices(batch, column, 1 << 20):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, materialise, mix, signed, slices
+from .common import Texts, enter, materialise, mix, signed, slices
 
 LEAST_WORDS = 5  # shorter lines are left alone
 FILTER_BITS = 1 << 27  # 16 MB, whatever the input's size
@@ -76,6 +76,7 @@ class Lines:
 
 def _emit_lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("line_dedup")
         for batch in batches:
             for part in slices(batch, 1):
                 x = Lines(part.column(1))
@@ -122,6 +123,7 @@ def _emit_variants(docs: DataFrame, bloom) -> DataFrame:
     goes on under its key; a later one is sent with its earlier match, under a key of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("line_dedup")
         for batch in batches:
             for part in slices(batch, 1):
                 x = Lines(part.column(1))
@@ -183,6 +185,7 @@ def _texts_of(docs: DataFrame, bloom) -> DataFrame:
     """``h, line``: the texts of lines in a filter, each once a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("line_dedup")
         for batch in batches:
             for part in slices(batch, 1):
                 x = Lines(part.column(1))

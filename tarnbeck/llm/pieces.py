@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import slices
+from .common import enter, releases, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_PENALTY = 10.0  # a character spelled in bytes scores this much less than the lowest ordinary piece
@@ -223,6 +223,9 @@ class Segmenter:
 _kept: dict[tuple, Segmenter] = {}
 
 
+releases("pieces", _kept.clear)
+
+
 def _segmenter(held, n: int) -> Segmenter:
     """A worker's segmenter for a broadcast vocabulary; its cache outlives a task."""
     key = (held.value.byte_score, len(held.value.texts), hash(frozenset(held.value.ids.items())), n)
@@ -251,6 +254,7 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = 3, text_col: str = "text
     held, column = docs.sparkSession.sparkContext.broadcast(load(path)), docs.columns.index(text_col)  # bounded by the model file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("pieces")
         seg = _segmenter(held, n)
         for batch in batches:
             for part in slices(batch, column):
