@@ -43,10 +43,10 @@ def repeats(hits: DataFrame, keys: list[str], phrase: str, at: str, order: list[
     Rows that share a time come one after another, so the frames are by row, not by range.
     """
     # a range frame also holds the later rows of this row's time; they are taken off again
-    span = Window.partitionBy(*keys, phrase).orderBy(at).rangeBetween(-window_s, 0.0)
+    in_span = F.expr(f"count(*) over (partition by {', '.join([*keys, phrase])} order by {at} range between {float(window_s)}D preceding and current row)")
     peers = Window.partitionBy(*keys, phrase, at)
     later = F.count("*").over(peers) - F.row_number().over(peers.orderBy(*order))
-    out = hits.withColumn("n_same", F.count("*").over(span) - later)
+    out = hits.withColumn("n_same", in_span).withColumn("n_same", F.col("n_same") - later)
     # other phrases: the last time of each phrase so far would do, so the window keeps one map per key, not its rows
     so_far = Window.partitionBy(*keys).orderBy(at, *order).rowsBetween(Window.unboundedPreceding, 0)
     names = [r[0] for r in hits.select(phrase).where(F.col(phrase).isNotNull()).distinct().orderBy(phrase).limit(MOST_PHRASES + 1).collect()]

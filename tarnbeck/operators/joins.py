@@ -53,7 +53,7 @@ def nearest(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark_
 
 def context_window(rows: DataFrame, keys: list[str], at: str, order: str, text: str, span: float) -> DataFrame:
     """``rows`` with ``context``: the texts of earlier rows no more than ``span`` before, in order."""
-    w = Window.partitionBy(*keys).orderBy(at).rangeBetween(-span, 0.0)
-    near = F.sort_array(F.collect_list(F.struct(F.col(at).alias("t"), F.col(order).alias("o"), F.col(text).alias("x"))).over(w))
-    earlier = F.filter(near, lambda r: F.struct(r["t"].alias("t"), r["o"].alias("o")) < F.struct(F.col(at).alias("t"), F.col(order).alias("o")))
-    return rows.withColumn("context", F.array_join(F.transform(earlier, lambda r: r["x"]), " "))
+    near = F.sort_array(F.expr(f"collect_list(struct({at} as t, {order} as o, {text} as x)) over (partition by {', '.join(keys)} order by {at} range between {float(span)}D preceding and current row)"))
+    rows = rows.withColumn("_near", near)
+    earlier = F.filter("_near", lambda r: F.struct(r["t"].alias("t"), r["o"].alias("o")) < F.struct(F.col(at).alias("t"), F.col(order).alias("o")))
+    return rows.withColumn("context", F.array_join(F.transform(earlier, lambda r: r["x"]), " ")).drop("_near")
