@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, enter, materialise, mix, signed, slices, windows
+from .common import Texts, enter, materialise, mix, signed, slices, trim, windows
 from .components import components
 from .line_dedup import FILTER_BITS, _bloom, _inside
 
@@ -324,17 +324,20 @@ def _possible(pairs: DataFrame, hubs: DataFrame, rows: DataFrame, percent: int)
 def _sets(spark, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """``doc_id, grams`` of the documents in the pairs: one more pass over the texts, behind a Bloom filter."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = _bloom(ids.select(F.xxhash64("doc_id").alias("h")), "h")
+    wanted = spark.sparkContext.broadcast(_bloom(ids.select(F.xxhash64("doc_id").alias("h")), "h"))  # of a fixed size
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("jaccard")
         for batch in batches:
-            batch = batch.filter(pa.array(_inside(wanted, np.asarray(batch.column(2), np.int64).view(_U))))
+            batch = batch.filter(pa.array(_inside(wanted.value, np.asarray(batch.column(2), np.int64).view(_U))))
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in shingle_sets(part.column(1))], pa.binary())], ["doc_id", "grams"])
 
     sets = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(full, "doc_id long, grams binary")
-    return materialise(spark, sets.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("grams").alias("grams")), "sets")
+    made = materialise(spark, sets.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("grams").alias("grams")), "sets")
+    wanted.destroy()
+    trim()
+    return made
 
 
 def _rest_of_lists(members: DataFrame, group: DataFrame, percent: int) -> DataFrame:
@@ -424,6 +427,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, chunk: int = CHU
     found = lists(linked, bits, percent, hot, df, chunk)
     whole = found.where("sub < 0").groupBy("list_hash").agg(F.sum("weight").alias("weight"), *[F.first(c).alias(c) for c in ("gram", "sub", "k", "rows", "sizes")])
     found = materialise(spark, whole.select(*[x.split()[0] for x in LISTS.split(", ")]).unionByName(found.where("sub >= 0")), "lists")
+    trim()
 
     # candidate pairs: all of the shorter lists, and each row of a longer one with the list's hub
     is_long = F.expr(f"sub >= 0 or k > {SMALL}")

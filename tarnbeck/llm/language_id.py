@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import Texts, enter, slices
+from .common import Texts, enter, slices, trim
 
 ORDER = 3
 MOST_TRAINING_DOCS = 1_500  # per language; a documented bound on the sample that the trees are grown on
@@ -144,7 +144,10 @@ def train(docs: DataFrame, most: int = MOST_TRAINING_DOCS) -> Trees | None:
         return None
     languages = sorted(set(t.column("lang").to_pylist()))
     lang = np.searchsorted(languages, t.column("lang").to_numpy())
-    return build_trees(languages, lang, t.column("gram").to_numpy(), t.column("n").to_numpy())
+    trees = build_trees(languages, lang, t.column("gram").to_numpy(), t.column("n").to_numpy())
+    del t, lang
+    trim()
+    return trees
 
 
 def code_lengths(trees: Trees, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, enter, materialise, mix, signed, slices
+from .common import Texts, enter, materialise, mix, signed, slices, trim
 
 LEAST_WORDS = 5  # shorter lines are left alone
-FILTER_BITS = 1 << 27  # 16 MB, whatever the input's size
+FILTER_BITS = 1 << 26  # 8 MB, whatever the input's size
 _U = np.uint64
 _C = 0xD1B54A32D192ED03
 _E = 0x8CB92BA72F3D8DD7
@@ -235,8 +235,11 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id", "line_no", "h").agg(F.min("m").alias("m"))
     )
     found = materialise(spark, found, "line-candidates")
+    near_filter.destroy()  # what it helped to make is written
     texts_filter = sc.broadcast(_bloom(found.select("h").union(found.select("m.h")), "h"))
     texts = materialise(spark, _texts_of(docs, texts_filter).groupBy("h").agg(F.min("line").alias("line")), "line-texts")
+    texts_filter.destroy()
+    trim()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
