@@ -183,10 +183,10 @@ def stage_timing(d: Tables) -> DataFrame:
     return g.select("stage", "calls", F.round("s", 4).alias("total_s"), F.round(F.col("s") / F.col("clips"), 6).alias("per_clip_s"), "slowest")
 
 
-@R.add("select label, count(*) as n, min(s) as low, max(s) as high, round(avg(s), 9) as mean, median(s) as mid from (select label, embedding[1]::double as s from embeddings) group by 1")
+@R.add("select label, count(*) as n, min(s) as low, max(s) as high, round(avg(s), 9) + 0.0::double as mean, median(s) as mid from (select label, embedding[1]::double as s from embeddings) group by 1")
 def score_summary(d: Tables) -> DataFrame:
     e = d.embeddings.select("label", F.col("embedding")[0].cast("double").alias("s"))
-    return e.groupBy("label").agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high"), F.round(F.avg("s"), 9).alias("mean"), F.median("s").alias("mid"))
+    return e.groupBy("label").agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high"), (F.round(F.avg("s"), 9) + 0.0).alias("mean"), F.median("s").alias("mid"))
 
 
 @R.add(f"select event_type, g, avg(case when {CONF} >= g / 10.0::double then 1.0::double else 0.0::double end) as share from events, (select unnest(range(1, 10)) as g) group by 1, 2")
@@ -205,10 +205,10 @@ def paired_shift(d: Tables) -> DataFrame:
     return pairs.groupBy("p_type").agg(F.round(F.avg(12 * F.log2(F.col("f0") / F.col("n0"))), 9).alias("semitones"), F.round(F.avg(F.col("nd") / F.col("dur")), 9).alias("tempo"), F.count("*").alias("n"))
 
 
-@R.add("""select label, pos, round(avg(x), 9) as mean, max(x) as high from (select label, unnest(range(0, len(embedding))) as pos, unnest(embedding)::double as x from embeddings) group by 1, 2""")
+@R.add("""select label, pos, round(avg(x), 9) + 0.0::double as mean, max(x) as high from (select label, unnest(range(0, len(embedding))) as pos, unnest(embedding)::double as x from embeddings) group by 1, 2""")
 def vector_elementwise_agg(d: Tables) -> DataFrame:
     e = d.embeddings.select("label", F.posexplode("embedding").alias("pos", "x"))
-    return e.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("mean"), F.max(F.col("x").cast("double")).alias("high"))
+    return e.groupBy("label", F.col("pos").cast("long").alias("pos")).agg((F.round(F.avg(F.col("x").cast("double")), 9) + 0.0).alias("mean"), F.max(F.col("x").cast("double")).alias("high"))
 
 
 @R.add("""select o_custkey, coalesce(min(o_totalprice) filter (where o_orderstatus = 'F') > max(o_totalprice) filter (where o_orderstatus <> 'F'), false) as holds from orders group by 1""")

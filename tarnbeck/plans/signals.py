@@ -32,9 +32,9 @@ def _beside(d: Tables) -> DataFrame:
     return d.embeddings.crossJoin(F.broadcast(p))
 
 
-@R.add(f"select vec_id, phrase, round({DOT.format('embedding', 'p')} / sqrt({DOT.format('embedding', 'embedding')} * {DOT.format('p', 'p')}), 5) as cosine from embeddings, ({PHRASE_VECTORS})")
+@R.add(f"select vec_id, phrase, round({DOT.format('embedding', 'p')} / sqrt({DOT.format('embedding', 'embedding')} * {DOT.format('p', 'p')}), 5) + 0.0::double as cosine from embeddings, ({PHRASE_VECTORS})")
 def cosine_similarity(d: Tables) -> DataFrame:
-    return _beside(d).select("vec_id", "phrase", F.round(v.cosine(F.col("embedding"), F.col("p")), 5).alias("cosine"))
+    return _beside(d).select("vec_id", "phrase", (F.round(v.cosine(F.col("embedding"), F.col("p")), 5) + 0.0).alias("cosine"))
 
 
 @R.add(f"""select vec_id, arg_max(phrase, s) as phrase, round(max(s), 5) as similarity, max(s) >= 0.65 as fires from (
@@ -45,18 +45,18 @@ def semantic_layer_best(d: Tables) -> DataFrame:
     return g.select("vec_id", "phrase", F.round("m", 5).alias("similarity"), (F.col("m") >= 0.65).alias("fires"))
 
 
-@R.add(f"select vec_id, round(embedding[1]::double / sqrt({DOT.format('embedding', 'embedding')}), 6) as first, round(embedding[64]::double / sqrt({DOT.format('embedding', 'embedding')}), 6) as last from embeddings")
+@R.add(f"select vec_id, round(embedding[1]::double / sqrt({DOT.format('embedding', 'embedding')}), 6) + 0.0::double as first, round(embedding[64]::double / sqrt({DOT.format('embedding', 'embedding')}), 6) + 0.0::double as last from embeddings")
 def l2_normalize(d: Tables) -> DataFrame:
     e = d.embeddings.select("vec_id", v.l2_normalize(F.col("embedding")).alias("u"))
-    return e.select("vec_id", F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[63], 6).alias("last"))
+    return e.select("vec_id", (F.round(F.col("u")[0], 6) + 0.0).alias("first"), (F.round(F.col("u")[63], 6) + 0.0).alias("last"))
 
 
-@R.add(f"""select vec_id, arg_min(phrase, struct_pack(d := d, p := phrase)) as reference, round(min(d), 5) as distance from (select vec_id, phrase, 1 - {DOT.format('embedding', 'p')} / sqrt({DOT.format('embedding', 'embedding')} * {DOT.format('p', 'p')}) as d
+@R.add(f"""select vec_id, arg_min(phrase, struct_pack(d := d, p := phrase)) as reference, round(min(d), 5) + 0.0::double as distance from (select vec_id, phrase, 1 - {DOT.format('embedding', 'p')} / sqrt({DOT.format('embedding', 'embedding')} * {DOT.format('p', 'p')}) as d
   from embeddings, ({PHRASE_VECTORS})) group by 1""")
 def nearest_reference(d: Tables) -> DataFrame:
     s = _beside(d).withColumn("d", 1 - v.cosine(F.col("embedding"), F.col("p")))
     g = s.groupBy("vec_id").agg(F.min_by("phrase", F.struct("d", "phrase")).alias("reference"), F.min("d").alias("m"))
-    return g.select("vec_id", "reference", F.round("m", 5).alias("distance"))
+    return g.select("vec_id", "reference", (F.round("m", 5) + 0.0).alias("distance"))
 
 
 @R.add("select vec_id, greatest(embedding[4], embedding[8], embedding[12], embedding[21])::double as p, greatest(embedding[4], embedding[8], embedding[12], embedding[21]) >= 0.1 as over from embeddings")
