@@ -138,7 +138,7 @@ def train(docs: DataFrame, most: int = MOST_TRAINING_DOCS) -> Trees | None:
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, most / v))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share[F.col("lang")] * (1 << 40))
     t = count_grams(sample.select("lang", "text")).toArrow()
     if not len(t):
         return None
