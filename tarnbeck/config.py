@@ -58,7 +58,7 @@ ORDINARY_PHRASES = (
     "see you soon",
 )
 
-#: The English phrases, in list order, and those verified by default.
+#: The English phrases, in list order.
 PHRASES_EN = (
     "Call the police, I need help",
     "I'm not safe",
@@ -81,6 +81,7 @@ PHRASES_EN = (
     "Please call for help",
     "I need to get out of here",
 )
+#: The same phrases in Hindi.
 PHRASES_HI = (
     "पुलिस को बुलाओ, मुझे मदद चाहिए",
     "मैं सुरक्षित नहीं हूं",
@@ -103,6 +104,7 @@ PHRASES_HI = (
     "कृपया मदद के लिए कॉल करो",
     "मुझे यहां से निकलना है",
 )
+#: The same phrases in Telugu.
 PHRASES_TE = (
     "పోలీసులకు కాల్ చేయండి, నాకు సహాయం కావాలి",
     "నేను సురక్షితంగా లేను",
@@ -125,6 +127,7 @@ PHRASES_TE = (
     "దయచేసి సహాయం కోసం కాల్ చేయండి",
     "నేను ఇక్కడ నుండి బయటపడాలి",
 )
+#: The same phrases in Kannada.
 PHRASES_KN = (
     "ಪೊಲೀಸರಿಗೆ ಕರೆ ಮಾಡಿ, ನನಗೆ ಸಹಾಯ ಬೇಕು",
     "ನಾನು ಸುರಕ್ಷಿತವಾಗಿಲ್ಲ",
@@ -147,6 +150,7 @@ PHRASES_KN = (
     "ದಯವಿಟ್ಟು ಸಹಾಯಕ್ಕಾಗಿ ಕರೆ ಮಾಡಿ",
     "ನಾನು ಇಲ್ಲಿಂದ ಹೊರಬರಬೇಕು",
 )
+#: The same phrases in Tamil.
 PHRASES_TA = (
     "போலீசை அழையுங்கள், எனக்கு உதவி வேண்டும்",
     "நான் பாதுகாப்பாக இல்லை",
@@ -169,5 +173,6 @@ PHRASES_TA = (
     "தயவுசெய்து உதவிக்கு அழையுங்கள்",
     "நான் இங்கிருந்து வெளியேற வேண்டும்",
 )
+#: The numbers of the phrases that are common in ordinary talk.
 VERIFY_BY_DEFAULT = (14, 18, 20)
 LANGUAGES = {"en": PHRASES_EN, "hi": PHRASES_HI, "te": PHRASES_TE, "kn": PHRASES_KN, "ta": PHRASES_TA}

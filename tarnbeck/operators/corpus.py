@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ CONFUSIONS = {
     "scream": ["stream", "cream"],
     "grabbing": ["grab in", "crabbing"],
 }
+#: What a recogniser puts in front.
 FILLERS = ("uh ", "um ", "so ", "like ")
 
 
@@ -42,32 +44,59 @@ def parse_rules(rows: DataFrame, column: str) -> DataFrame:
     return rows.where(F.col(column).rlike(pattern)).select("*", at(1).alias("udk"), at(2).alias("layer"), at(3).cast("double").alias("confidence"), at(4).alias("stt"))
 
 
+#: Held-out texts are a small dimension; more of them are refused, not sent to every task.
+MOST_HELD = 20_000
+
+
 def near_held_out(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: float) -> DataFrame:
     """``rows`` with ``near``: whether a held-out text has a word-set ratio of ``least`` with the row's.
 
-    A ratio over 2/3 needs a shared word, so texts meet by their rarest words: each side is listed under
-    the words that few held-out texts have, and only pairs that meet are scored.
+    The held-out texts are counted and sent along; nothing is shuffled but the different texts.
     """
-    return _near(rows, text, held, held_text, least, sim.token_set_ratio_col)
+    return _near(rows, text, held, held_text, least, sim.token_set_ratio)
 
 
 def unlike_held_out(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: float) -> DataFrame:
     """The rows whose text has a plain ratio under ``least`` with every held-out text (or under three words)."""
-    out = _near(rows, text, held, held_text, least, sim.ratio_col)
+    out = _near(rows, text, held, held_text, least, sim.ratio)
     return out.where(~F.col("near") | (F.size(tx.words(tx.normalize(F.col(text)))) < 3)).drop("near")
 
 
 def _near(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: float, score) -> DataFrame:
-    h = held.select(tx.normalize(F.col(held_text)).alias("h")).where("h <> ''").distinct()
-    t = rows.select(F.col(text).alias("_raw"), tx.normalize(F.col(text)).alias("t")).where("t <> ''").distinct()
-    hw = h.select("h", F.explode(F.array_distinct(tx.words(F.col("h")))).alias("w"))
-    tw = t.select("_raw", "t", F.explode(F.array_distinct(tx.words(F.col("t")))).alias("w"))
-    pairs = tw.join(hw, "w").select("_raw", "t", "h").distinct()
-    # 2 * shorter / (both) bounds the plain ratio by the lengths alone
-    if score is sim.ratio_col:
-        pairs = pairs.where(200 * F.least(F.length("t"), F.length("h")) >= least * (F.length("t") + F.length("h")))
-    hit = pairs.where(score("t", "h") >= least).select(F.col("_raw").alias(text)).distinct().withColumn("near", F.lit(True))
-    return rows.join(hit, text, "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    h = held.select(tx.normalize(F.col(held_text)).alias("h")).where("h <> ''").distinct().limit(MOST_HELD + 1).collect()
+    if len(h) > MOST_HELD:
+        raise ValueError(f"more than {MOST_HELD} held-out texts")
+    known = sorted(r["h"] for r in h)
+    ratio_only = score is sim.ratio
+
+    @F.pandas_udf("boolean")
+    def near(ts: pd.Series) -> pd.Series:
+        sets = [set(x.split()) for x in known]
+        done: dict = {}
+        for t in ts:
+            if t in done:
+                continue
+            words, hit = set((t or "").split()), False
+            for x, own in zip(known, sets, strict=True):
+                if not t:
+                    break
+                # what lengths or word counts rule out is not scored
+                if ratio_only or not words & own:
+                    if 200.0 * min(len(t), len(x)) < least * (len(t) + len(x)):
+                        continue
+                elif words <= own or own <= words:
+                    hit = True
+                    break
+                if score(t, x) >= least:
+                    hit = True
+                    break
+            done[t] = hit
+        return ts.map(done)
+
+    # each different text is scored once
+    found = rows.select(F.col(text), tx.normalize(F.col(text)).alias("_t")).where(F.col(text).isNotNull()).distinct()
+    found = found.select(text, near("_t").alias("near"))
+    return rows.join(found, text, "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
 def fill(spark: SparkSession, template: str, slots: dict[str, DataFrame], most: int | None = None) -> DataFrame:
