@@ -2,8 +2,8 @@
 
 Words lose surrounding punctuation and case; numbers, units, quantities and names become typed
 placeholders.  Windows of five template words of the benchmark are hashed into a table; every window
-of every whole document is probed against it.  Hits on one diagonal (document position minus item
-position) are joined to runs, in which a placeholder's value in the item must always stand for the
+of every whole document is probed against it.  Hits near one diagonal (document position minus item
+position) are taken together; in them a placeholder's value in the item must always stand for the
 same value in the document: a question asked again with other numbers is caught, a text that merely
 has the same shape is not.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Texts, enter, slices, windows
 
 WINDOW = 5
-LEAST_COVER = 0.5  # of an item's windows on one diagonal
+LEAST_COVER = 0.4  # of an item's windows, on one diagonal and those beside it
 LEAST_RUN = 13  # or so many consecutive template words
 LEAST_PLAIN = 3  # words of a window that are no placeholders; emptier windows match anything
 MOST_BYTES = 32 << 20
@@ -137,33 +137,37 @@ class Index:
         at = np.repeat(at, n)
         text, item, there = np.searchsorted(doc.offs, at, "right") - 1, self.item[k], self.at[k]
         diagonal = at - there
-        order = np.lexsort((at, diagonal, item, text))
+        order = np.lexsort((there, at, item, text))
         text, item, there, at, diagonal = (x[order] for x in (text, item, there, at, diagonal))
-        edge = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]), [True]]))
-        out: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
-        size = np.diff(own.offs)
+        edge = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]), [True]]))
+        out, size = [], np.diff(own.offs)
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             i = int(item[a])
-            if b - a < LEAST_COVER * self.n_windows[i] and b - a + WINDOW - 1 < LEAST_RUN:
+            if len(np.unique(there[a:b])) < LEAST_COVER * self.n_windows[i] and b - a + WINDOW - 1 < LEAST_RUN:
                 continue
-            matched, run, slots = self._consistent(doc, at[a:b], there[a:b], min(WINDOW, int(size[i])))
+            # the best diagonal, and those beside it that an inserted or lost word would lead to
+            ways, counts = np.unique(diagonal[a:b], return_counts=True)
+            near = np.abs(diagonal[a:b] - ways[counts.argmax()]) <= max(2, self.n_windows[i] // 4)
+            matched, run, slots = self._consistent(doc, at[a:b][near], there[a:b][near], min(WINDOW, int(size[i])))
             if matched >= LEAST_COVER * self.n_windows[i] or run >= LEAST_RUN:
-                key = int(text[a]), i
-                out[key] = max(out.get(key, (0,) * 5), (*key, matched, run, slots), key=lambda x: (x[2:], x))
-        return sorted(out.values())
+                out.append((int(text[a]), i, matched, run, slots))
+        return out
 
     def _consistent(self, doc: Tokens, at: np.ndarray, there: np.ndarray, width: int) -> tuple[int, int, int]:
-        """Windows whose slots agree with those before, the longest run in words, and the slots that agree."""
+        """Item windows whose slots agree with those before, the longest run in words, and the slots."""
         means: dict[tuple[int, int], int] = {}
-        matched, run, longest, before = 0, 0, 0, -2
+        runs: dict[int, tuple[int, int]] = {}
+        seen, longest = set(), 0
         for x, y in zip(at.tolist(), there.tolist(), strict=True):
             pairs = [(int(self.tokens.kind[y + j]), int(self.tokens.value[y + j]), int(doc.value[x + j])) for j in range(width) if self.tokens.kind[y + j] != PLAIN]
             if all(means.get((kind, v), w) == w for kind, v, w in pairs):
                 means.update({(kind, v): w for kind, v, w in pairs})
-                matched += 1
-                run = run + 1 if x == before + 1 else width
-                longest, before = max(longest, run), x
-        return matched, longest, len(means)
+                seen.add(y)
+                last, run = runs.get(x - y, (-2, 0))
+                run = run + 1 if x == last + 1 else width
+                runs[x - y] = x, run
+                longest = max(longest, run)
+        return len(seen), longest, len(means)
 
 
 def _windows(t: Tokens) -> tuple[np.ndarray, np.ndarray]:

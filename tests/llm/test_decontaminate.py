@@ -10,9 +10,9 @@ BAD = ITEM.replace("to Lyon in", "to Bonn in").replace("9 stops", "4 stops").rep
 def test_exact_reparameterised_and_inconsistent():
     index = Index([5], pa.array([ITEM]))
     filler = "some quite other words come first and go on for a while. "
-    docs = [filler + ITEM, filler + AGAIN + " " + filler, filler * 9, None, "", BAD, ITEM.lower(), ITEM[:75]]
+    docs = [filler + ITEM, filler + AGAIN + " " + filler, filler * 9, None, "", BAD, ITEM.lower(), ITEM[:75], ITEM.replace("travels", "then travels").replace("mean speed", "mean road speed")]
     found = {t: (m, r, s) for t, _, m, r, s in index.leaks(pa.array(docs, pa.string()))}
-    assert set(found) >= {0, 1, 6} and not set(found) & {2, 3, 4}
+    assert set(found) >= {0, 1, 6, 8} and not set(found) & {2, 3, 4}
     assert found[1][0] == found[0][0] and found[0][2] >= 4
     assert 5 not in found or found[5][0] < found[0][0]
 
