@@ -136,3 +136,32 @@ def test_queries_match_sql(spark, sf, part):
         a = sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
         b = sorted(tuple(plain(r[want.columns.index(c)]) for c in cols) for r in want.fetchall())
         assert a == b, (name, [x for x in a if x not in b][:2], [x for x in b if x not in a][:2])
+
+
+def test_silent_journeys_time_out(spark):
+    rows = [("a", 1000, False), ("b", 1000, True), ("a", 1005, False), ("c", 1100, False), ("c", 1101, False)]
+    df = spark.createDataFrame(rows, "k string, s long, hit boolean").withColumn("at", F.timestamp_seconds("s"))
+    out = through_stream(df, lambda s: p.timeouts(s, "k", "at", "hit"), order=F.col("s")).collect()
+    assert sorted((r.k, r.status, r.last_ms) for r in out) == [("a", "TIMED_OUT", 1005000), ("b", "TIMED_OUT_AFTER_TRIGGER", 1000000)]
+
+
+def test_language_changes_after_three_checks_running(spark):
+    heard = "te te en te te te te hi hi te hi hi hi".split()
+    df = spark.createDataFrame([("j", i, v) for i, v in enumerate(heard)], "k string, i long, v string")
+    out = through_stream(df, lambda s: p.language_streak(s, "k", "i", "v"), order=F.col("i")).collect()
+    now, run, want = "en", [], []
+    for v in heard:
+        run = [] if v == now else (run + [v] if run and run[-1] == v else [v])
+        if len(run) == 3:
+            now, run = v, []
+        want.append(now)
+    assert [r.language for r in sorted(out, key=lambda r: r.i)] == want and want[-1] == "hi"
+
+
+def test_gap_deadline_and_idempotent_sink(spark, tmp_path):
+    from tarnbeck.sources.sinks import deliver_once
+
+    out = str(tmp_path / "sink")
+    batch = spark.createDataFrame([(1, "a"), (2, "b"), (1, "a")], "id long, v string")
+    assert [deliver_once(batch, out, "id"), deliver_once(batch, out, "id")] == [2, 0]
+    assert spark.read.parquet(out).count() == 2
