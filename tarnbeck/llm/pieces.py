@@ -163,6 +163,9 @@ class Segmenter:
         return hit
 
     def _cached(self, s: str) -> tuple[bytes, float, float]:
+        hit = self.new.get(s)  # met earlier in the same text
+        if hit is not None:
+            return hit
         hit = self.old.get(s)
         if hit is None:
             hit = self.best_and_loss(s)
@@ -176,20 +179,18 @@ class Segmenter:
         """Best ids of a whole text, its score, and the ``n - 1`` smallest losses of single alternatives."""
         if not text:
             return b"", 0.0, []
-        get, body, score, low, limit, at = self.new.get, [], 0.0, [], float("inf"), 0
-        for k, w in enumerate(self.split(" " + text)):  # the model's own habit: a text begins with a space
-            hit = get(w)
-            if hit is None:
-                hit = self._cached(w)
-                get = self.new.get
-            ids, own, loss = hit
-            body.append(ids)
-            score += own
-            if loss < limit:
-                low = sorted(low + [(x, k, at, at + len(ids), alt) for x, alt in self._alternatives(w)])[: self.n - 1]
-                limit = low[-1][0] if len(low) == self.n - 1 else limit
-            at += len(ids)
-        return b"".join(body), score, low
+        parts = self.split(" " + text)  # the model's own habit: a text begins with a space
+        hits = list(map(self.new.get, parts))
+        if None in hits:
+            hits = [self._cached(w) if h is None else h for w, h in zip(parts, hits, strict=True)]
+        bodies, losses = [h[0] for h in hits], [h[2] for h in hits]
+        low = []
+        # the n - 1 best alternatives lie in the n - 1 segments whose own best alternative loses least
+        for k in heapq.nsmallest(self.n - 1, range(len(losses)), key=losses.__getitem__):
+            if losses[k] < float("inf"):
+                at = sum(map(len, bodies[:k]))
+                low += [(x, k, at, at + len(bodies[k]), alt) for x, alt in self._alternatives(parts[k])]
+        return b"".join(bodies), sum([h[1] for h in hits]), sorted(low)[: self.n - 1]
 
     def combine(self, low: list[tuple]) -> list[tuple[float, list[tuple]]]:
         """The ``n`` smallest sums of losses, at most one alternative per segment, each with its changes."""
