@@ -31,6 +31,7 @@ from .line_dedup import FILTER_BITS, _bloom, _inside
 WORDS, PERCENT = 5, 75
 SLACK = 2  # two shingles of one row may fall together by their shortened hashes and count once
 SMALL, CHUNK, FREQUENT, BLOCK = 16, 4096, 64, 250_000
+PAIRS = 500_000  # counts of pairs that a task adds up before it passes them on
 MOST_FREQUENT = 1 << 21  # shingles that are kept as frequent: with more than entries / MOST_FREQUENT rows each, there are no more than so many
 _U = np.uint64
 
@@ -142,7 +143,7 @@ def frequent(docs: DataFrame, bits: int, least: int, percent: int, hot: np.ndarr
                 p = g if _frequent(p, hot, bits).any() else g[:0]
             held.append(p)
             size += len(p)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield from flush()
                 held, size = [], 0
         if size:
@@ -197,7 +198,7 @@ def lists(docs: DataFrame, bits: int, percent: int, hot: np.ndarray, df: np.ndar
             p = _prefix(g, hot, percent, bits)
             held.append((c, len(g), p))
             size += len(p)
-            if size > 1_000_000:
+            if size > 500_000:
                 yield from flush()
                 held, size = [], 0
         if size:
@@ -354,10 +355,11 @@ def _rest_of_lists(members: DataFrame, group: DataFrame, percent: int) -> DataFr
     cut = lambda t: part.select("list", "dealt", *(["hub", "weight"] if t == 1 else []), F.col("sub").alias(f"sub{t}"), *[F.col(f"p.{c}").alias(f"{c}{t}") for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, most = [], 0, PAIRS
 
         def flush():
             a, b, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.lexsort((b, a))
             a, b, w = a[order], b[order], w[order]
             first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
@@ -378,12 +380,13 @@ def _rest_of_lists(members: DataFrame, group: DataFrame, percent: int) -> DataFr
                         p = p + at
                         held.append((np.minimum(r1[p], r2[q]), np.maximum(r1[p], r2[q]), np.full(len(p), x["weight"])))
                         size += len(p)
-                if size > 4_000_000:
-                    held = [flush()]
-                    size = len(held[0][0])
-                    if size > 2_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["a", "b", "shared"])
-                        held, size = [], 0
+                    if size > most:
+                        held = [flush()]
+                        size = len(held[0][0])
+                        if size > PAIRS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["a", "b", "shared"])
+                            held, size = [], 0
+                        most = size + PAIRS
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in flush()], ["a", "b", "shared"])
 
