@@ -29,7 +29,7 @@ from .common import enter, releases, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_PENALTY = 10.0  # a character spelled in bytes scores this much less than the lowest ordinary piece
-CACHE = 170_000  # segments per generation of a worker's cache; there are two generations
+CACHE = 220_000  # segments per generation of a worker's cache; there are two generations
 
 
 @dataclass(frozen=True)
