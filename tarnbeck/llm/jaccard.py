@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, enter, materialise, mix, signed, slices, trim, windows
+from .common import Texts, enter, materialise, mix, slices, trim, windows
 from .components import components
-from .line_dedup import FILTER_BITS, _bloom, _inside
+from .line_dedup import _bloom, _inside
 
 WORDS, PERCENT = 5, 75
 SLACK = 2  # two shingles of one row may fall together by their shortened hashes and count once
