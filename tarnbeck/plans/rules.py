@@ -9,7 +9,7 @@ from ..config import NON_DISTINCTIVE, ORDINARY_PHRASES, RULES
 from ..functions import security as sec
 from ..functions import similarity as sim
 from ..functions import text as tx
-from ..operators import corpus, decisions as dec, joins, matching as mt, segments as seg
+from ..operators import corpus, decisions as dec, joins, matching as mt
 from .base import CONF, SECONDS, Registry, Tables, confidence, seconds
 from .ordered import NORM
 

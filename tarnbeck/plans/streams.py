@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.files import scratch
 from ..sources.sinks import deliver_once
 from ..streaming import processors as p
-from .base import CONF, SECONDS, Registry, Tables, confidence, seconds
+from .base import Registry, Tables, confidence, seconds
 from .ordered import HITS, WINDOW
 
 R = Registry()
