@@ -1,7 +1,8 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-The unit of an edit is a word and the bound is one edit: two lines match when one becomes the other
-by replacing, inserting or deleting at most one word.  A line of n words has n + 1 variants: itself,
+The unit of an edit is a word, or a character in scripts that put no spaces between words, and the
+bound is one edit: two lines match when one becomes the other by replacing, inserting or deleting at
+most one unit (called word below).  A line of n words has n + 1 variants: itself,
 and itself without one word.  Lines that differ by a replacement share the variant without that word
 (same hash, same position); lines that differ by an insertion share the shorter line.  So the
 earliest match of a line is a minimum over rows with an equal hashed key: no pairs are made.
@@ -11,11 +12,13 @@ words untouched, so only lines that share a half with another distinct line have
 (a fixed-size Bloom filter of them goes to the executors; where it is full, more is sent, never
 less).  Rows of equal key are reduced to their earliest within each task before the shuffle, so a
 line found in a third of all rows does not gather in one task.  Candidates are verified on the words
-themselves.
+themselves.  Lines too short for an edit to tell anything are matched as they are, where that is asked
+for: they have hashes, but no halves and no variants.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, enter, materialise, mix, signed, slices, trim
+from .common import _IS_SPACE, Texts, enter, materialise, mix, signed, slices, trim
 
-LEAST_WORDS = 5  # shorter lines are left alone
+LEAST_WORDS = 5  # shorter lines match none that differs; a character of UNSPACED counts half a word
+#: Scripts without spaces (Thai to Tibetan, Myanmar, Khmer, kana and ideographs, full-width forms).
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3001, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF01, 0xFF9F), (0x20000, 0x3FFFF))
+_CHARS = "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED)
+_UNIT = re.compile(rf"[{_CHARS}]|[^\x20\x09-\x0D{_CHARS}]+")
 FILTER_BITS = 1 << 26  # 8 MB, whatever the input's size
 _U = np.uint64
 _C = 0xD1B54A32D192ED03
@@ -43,11 +50,39 @@ def _tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+class _Units(Texts):
+    """Texts whose words are cut around each character of ``UNSPACED``; sets ``half``, the words that are one."""
+
+    def words(self) -> "_Units":
+        super().words()
+        d = self.data
+        lead = np.flatnonzero(d >= 0xE0)
+        more = [d[np.minimum(lead + k, len(d) - 1)].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+        first, long = d[lead].astype(np.int64), d[lead] >= 0xF0
+        code = ((first & 0x0F) << 12) | (more[0] << 6) | more[1]
+        code = np.where(long, ((first & 0x07) << 18) | (more[0] << 12) | (more[1] << 6) | more[2], code)
+        own = np.zeros(len(lead), bool)
+        for a, b in UNSPACED:
+            own |= (code >= a) & (code <= b)
+        at, after = lead[own], (lead + 3 + long)[own]
+        self.half = np.zeros(len(self.start), bool)
+        if len(at):
+            follows = after[after < len(d)]
+            follows = follows[~_IS_SPACE[d[follows]]]
+            precedes = at[at > 0]
+            precedes = precedes[~_IS_SPACE[d[precedes - 1]]]
+            self.start = np.unique(np.concatenate([self.start, at, follows]))
+            self.end = np.unique(np.concatenate([self.end, after, precedes]))
+            self.word_offs = np.searchsorted(self.start, self.offs)
+            self.half = np.isin(self.start, at)
+        return self
+
+
 class Lines:
-    """The lines with ``LEAST_WORDS`` words at least of a column of texts, and hashes of their parts."""
+    """The lines of a column of texts that can match with an edit (``near``), or all with a word, and hashes of their parts."""
 
-    def __init__(self, column: pa.Array):
-        self.t = t = Texts(column).words()
+    def __init__(self, column: pa.Array, short: bool = False):
+        self.t = t = _Units(column).words()
         breaks = np.flatnonzero(t.data == 10)
         start = np.concatenate([t.offs[:-1], breaks + 1])
         owner = np.concatenate([np.arange(t.n), np.searchsorted(t.offs, breaks, "right") - 1])
@@ -56,7 +91,10 @@ class Lines:
         end = np.minimum(np.append(breaks, t.offs[-1])[np.searchsorted(breaks, start)], t.offs[owner + 1])
         number = np.arange(len(start)) - np.searchsorted(owner, owner)
         a, b = np.searchsorted(t.start, start), np.searchsorted(t.start, end)
-        keep = b - a >= LEAST_WORDS
+        halves = np.concatenate([[0], np.cumsum(t.half)])
+        near = 2 * (b - a) - (halves[b] - halves[a]) >= 2 * LEAST_WORDS
+        keep = (b > a) if short else near
+        self.near = near[keep]
         self.start, self.end, self.owner, self.number, self.a, self.b = (x[keep] for x in (start, end, owner, number, a, b))
         self.n = self.b - self.a
         w = t.word_hashes()
@@ -74,18 +112,20 @@ class Lines:
         return mix((self.more[self.b] - self.more[self.a]) * self.back[self.a] + self.n.astype(_U))
 
 
-def _emit_lines(docs: DataFrame) -> DataFrame:
+def _emit_lines(docs: DataFrame, short: bool) -> DataFrame:
+    """Every line with its hashes; those of its halves are null where no edit is allowed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("line_dedup")
         for batch in batches:
             for part in slices(batch, 1):
-                x = Lines(part.column(1))
+                x = Lines(part.column(1), short)
                 h = mix(x.words(x.a, x.b) + x.n.astype(_U))
                 cols = [part.column(0).take(pa.array(x.owner)), x.number, x.n, signed(h), signed(x.second())]
                 for half in (x.n // 2, (x.n - 1) // 2):
                     salt = half.astype(_U) * _U(0x9E3779B97F4A7C15)
                     first, last = mix(x.words(x.a, x.a + half) + salt), mix(x.words(x.b - half, x.b) + salt + _U(1))
-                    cols += [signed(first), signed(last)]
+                    cols += [pa.array(signed(first), mask=~x.near), pa.array(signed(last), mask=~x.near)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], [f.split()[0] for f in LINES.split(", ")])
 
     return docs.mapInArrow(run, LINES)
@@ -176,9 +216,7 @@ def _one_edit(a: str, b: str) -> bool:
 
 
 def _split(line: str) -> list[str]:
-    import re
-
-    return re.findall(r"[^\x20\x09-\x0D]+", line)
+    return _UNIT.findall(line)
 
 
 def _texts_of(docs: DataFrame, bloom) -> DataFrame:
@@ -198,18 +236,19 @@ def _texts_of(docs: DataFrame, bloom) -> DataFrame:
     return docs.mapInArrow(run, "h long, line string")
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
+def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """``doc_id, line_no, of_doc_id, of_line_no, edits``: each line that goes, with the earliest match found.
 
     A line goes when an earlier one, by (doc_id, line number from 0), matches it: has the same words
-    (0 edits) or differs in one (1 edit).  Lines of fewer than ``LEAST_WORDS`` words and documents with
+    (0 edits) or differs in one (1 edit).  Lines of fewer than ``LEAST_WORDS`` words go only with
+    ``short``, and only when an earlier one has the same words.  Lines without a word and documents with
     a null id or text take no part; rows that repeat a doc_id hold the same lines and both keep them;
     other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines = materialise(spark, _emit_lines(docs), "lines")
+    lines = materialise(spark, _emit_lines(docs, short), "lines")
     place = F.struct("doc_id", "line_no")
     firsts = lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("p1", "s1", "p2", "s2")])
     firsts = materialise(spark, firsts, "line-firsts")
@@ -220,7 +259,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         .select("doc_id", "line_no", F.col("first.doc_id").alias("of_doc_id"), F.col("first.line_no").alias("of_line_no"), F.lit(0).alias("edits"))
     )
 
-    halves = firsts.select("h", F.explode(F.array_distinct(F.array("p1", "s1", "p2", "s2"))).alias("half"))
+    halves = firsts.where("p1 is not null").select("h", F.explode(F.array_distinct(F.array("p1", "s1", "p2", "s2"))).alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("half")
     near_filter = sc.broadcast(_bloom(halves.join(shared, "half", "left_semi"), "h"))
     by_variant = Window.partitionBy("v")
@@ -252,9 +291,9 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     return both.groupBy("doc_id", "line_no").agg(F.min(F.struct("of_doc_id", "of_line_no", "edits")).alias("m")).select("doc_id", "line_no", "m.*")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """``docs`` (all columns, all rows) with the lines of ``duplicate_lines`` cut from their texts."""
-    gone = duplicate_lines(docs).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = duplicate_lines(docs, short).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
     kept = F.expr("array_join(transform(filter(transform(split(text, '\\n', -1), (x, i) -> struct(x, cast(i as bigint) as i)), y -> not array_contains(_gone, y.i)), y -> y.x), '\\n')")
     out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left")
     return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

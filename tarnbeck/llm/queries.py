@@ -39,7 +39,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line that goes, with the earlier line that it repeats."""
-    return duplicate_lines(_table(spark, sf_dir, "documents"))
+    return duplicate_lines(_table(spark, sf_dir, "documents"), short=True)
 
 
 def op5_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 from tarnbeck.llm.line_dedup import _one_edit, _split, dedup_lines, duplicate_lines
+from tarnbeck.llm.queries import queries
 
 
 def brute(rows):
@@ -35,3 +36,29 @@ def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")
     assert duplicate_lines(df).count() == 0
     assert duplicate_lines(df.limit(0)).count() == 0 and dedup_lines(df.limit(0)).count() == 0
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    rows = [
+        (1, "All rights reserved.\nLes.\n\n }\nAll rights kept."),
+        (2, "Les.\n \n}\nAll  rights reserved.\nLes chats.\nLes."),
+        (3, "今天的天气非常好我们去公园散步\nถ้าวันนี้อากาศดี\n第一章总则\nabc今天 的天气x"),
+        (4, "今天的天气非常好我们去公园跑步\n今天的天气非常好我们去公园散步\n第二章总则\nถ้าวันนี้อากาศดี\nabc 今天的天气 y"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.line_no): (r.of_doc_id, r.of_line_no, r.edits) for r in duplicate_lines(df, short=True).collect()}
+    want = {(2, 0): (1, 1, 0), (2, 2): (1, 3, 0), (2, 3): (1, 0, 0), (2, 5): (1, 1, 0)}
+    assert got == want | {(4, 0): (3, 0, 1), (4, 1): (3, 0, 0), (4, 3): (3, 1, 0)}
+    assert {r.doc_id: r.text for r in dedup_lines(df, short=True).collect()}[2] == " \nLes chats."
+
+
+def test_the_query_reports_every_exact_repeat(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null and text is not null").collect()}
+    seen, again = set(), set()
+    for d in sorted(docs):
+        for i, x in enumerate(docs[d].split("\n")):
+            key = tuple(_split(x))
+            again |= {(d, i)} if key and key in seen else set()
+            seen.add(key)
+    got = {(r.doc_id, r.line_no) for r in queries()["op4_line_dedup"](spark, sf).collect()}
+    assert again <= got and any(len(_split(docs[d].split("\n")[i])) < 5 for d, i in again)
