@@ -32,8 +32,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4.  Lines that an earlier line matches go; a document that loses all its words goes too."""
-    lean = dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Operator 4.  Lines that an earlier line matches go, short ones when they have the same words; a
+    document that loses all its words goes too, and so does every exact copy of an earlier one."""
+    lean = dedup_lines(docs, short=True).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return lean.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 

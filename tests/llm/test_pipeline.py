@@ -36,3 +36,22 @@ def test_edge_rows(spark, sf):
             stage(spark, table, sf).write.parquet(path)
             table = spark.read.parquet(path)
     assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", k)[0] for k in queries() if k != "pipeline"}
+
+
+def test_only_the_first_of_exact_copies_is_left(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = sorted((r for r in docs.collect() if r.text and re.search(r"[^\W\d]", r.text)), key=lambda r: r.doc_id)[:40]
+    tail = [(10**6 + k, "\n".join(x[::-1] for x in r.text.split("\n")) + f"\nHaanth.\nEnd {k}.", r.lang, r.source, 0) for k, r in enumerate(some)]
+    copies = [(10**7 + k, t, a, s, n) for k, (_, t, a, s, n) in enumerate(tail)]
+    table = docs.unionByName(spark.createDataFrame(tail + copies, docs.schema))
+    groups = {}
+    for r in table.where("doc_id is not null and text is not null").collect():
+        groups.setdefault(r.text, []).append(r.doc_id)
+    later = {d for ids in groups.values() for d in ids if d > min(ids)}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        path = corpus_pipeline.work_path(spark, "test")
+        stage(spark, table, sf).write.parquet(path)
+        table = spark.read.parquet(path)
+    left = {r.doc_id for r in table.collect()}
+    assert len(later) >= 40 and not left & later
+    assert left & {d for d, *_ in tail}  # the first copies are whole up to here
