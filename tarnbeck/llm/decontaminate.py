@@ -27,7 +27,9 @@ from .common import Texts, enter, slices, windows
 WINDOW = 5
 LEAST_COVER = 0.4  # of an item's windows, on one diagonal and those beside it
 LEAST_RUN = 13  # or so many consecutive template words
-LEAST_PLAIN = 3  # words of a window that are no placeholders; emptier windows match anything
+LEAST_PLAIN = 3  # words of a template window that are no placeholders; emptier windows match anything
+LEAST_MATCHED = 8  # words of an item, or all of a shorter one, however few windows it has
+LEAST_INSIDE = 3  # words of an item that leaks as a sentence or line among others; a shorter one only as the whole text
 MOST_BYTES = 32 << 20
 LEAKS = "doc_id long, item_id long, n_matched long, n_windows long, longest_run long, n_slots long"
 
@@ -60,12 +62,14 @@ def _unit_hashes() -> np.ndarray:
 
 @dataclass
 class Tokens:
-    """Words of a column of texts: plain hashes, types, template hashes, and where each text's words are."""
+    """Words of a column of texts: plain hashes, types, template hashes, where each text's words are, and
+    which of them begin a sentence or line."""
 
     value: np.ndarray
     kind: np.ndarray
     template: np.ndarray
     offs: np.ndarray
+    opens: np.ndarray
 
 
 def tokenise(column: pa.Array) -> Tokens:
@@ -94,6 +98,13 @@ def tokenise(column: pa.Array) -> Tokens:
         np.cumsum(table[t.data], out=total[1:])
         return total[end] > total[start]
 
+    # the marks between the words left in: a stop or a line's end there begins another sentence or line
+    marks = np.zeros(n + 1, np.int64)
+    np.cumsum(_STOP[t.data] | (t.data == 10), out=marks[1:])
+    opens = np.ones(len(start), bool)
+    opens[1:] = marks[start[1:]] > marks[end[:-1]]
+    opens[offs[:-1][np.diff(offs) > 0]] = True
+
     digit, alpha = any_in(_DIGIT), any_in(_ALPHA)
     kind = np.where(digit & ~alpha, NUMBER, np.where(digit & _DIGIT[t.data[start]], QUANTITY, PLAIN)) if len(start) else np.zeros(0, np.int64)
     if len(start):
@@ -105,77 +116,133 @@ def tokenise(column: pa.Array) -> Tokens:
         two = t.data[np.minimum(start + 1, n - 1)]
         upper = ((one >= 65) & (one <= 90)) | ((one == 0xC3) & (two >= 0x80) & (two <= 0x9E))
         kind = np.where(unit, UNIT, np.where((kind == PLAIN) & upper & ~begins_sentence, NAME, kind))
-    return Tokens(value, kind, np.where(kind == PLAIN, value, _MARK[kind]), offs)
+    return Tokens(value, kind, np.where(kind == PLAIN, value, _MARK[kind]), offs, opens)
 
 
-class Index:
-    """The benchmark's template windows; its size is bounded by the caller."""
+class _Table:
+    """Hashed windows of the benchmark, sorted, with the place of each one's first word."""
 
-    def __init__(self, item_ids: list[int], texts: pa.Array):
-        self.ids, self.tokens = np.asarray(item_ids, np.int64), tokenise(texts)
-        h, at = _windows(self.tokens)
+    def __init__(self, parts: Iterator[tuple[np.ndarray, np.ndarray]], offs: np.ndarray):
+        h, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
         self.hash, self.at = h[order], at[order]
-        self.item = np.searchsorted(self.tokens.offs, self.at, "right") - 1
-        self.n_windows = np.bincount(self.item, minlength=len(self.ids))
+        self.item = np.searchsorted(offs, self.at, "right") - 1
+        once = np.unique(self.at)  # a place counts once, however many readings its window has
+        self.n_windows = np.bincount(np.searchsorted(offs, once, "right") - 1, minlength=len(offs) - 1)
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.hash & _U((1 << 22) - 1)).astype(np.int64)] = True
 
+    def hits(self, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the texts, item, place in the benchmark) of equal windows."""
+        out = [(np.zeros(0, np.int64),) * 3]
+        for h, at in parts:
+            maybe = self.seen[(h & _U((1 << 22) - 1)).astype(np.int64)]
+            h, at = h[maybe], at[maybe]
+            first, last = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
+            n = last - first
+            k = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append((np.repeat(at, n), self.item[k], self.at[k]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+class Index:
+    """The benchmark's windows; its size is bounded by the caller."""
+
+    def __init__(self, item_ids: list[int], texts: pa.Array):
+        self.ids, self.tokens = np.asarray(item_ids, np.int64), tokenise(texts)
+        own = self.tokens
+        self.size = np.diff(own.offs)
+        self.template, self.plain = _Table(_windows(own), own.offs), _Table(_plain_windows(own), own.offs)
+        self.short = {k: _Table(_whole(own, k, own.offs), own.offs) for k in range(1, WINDOW) if (self.size == k).any()}
+
     def leaks(self, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(text, item, matched windows, longest run in words, slots) of every leak in a column of texts."""
-        if not len(self.hash):
-            return []
-        doc, own = tokenise(column), self.tokens
-        h, at = _windows(doc)
-        maybe = self.seen[(h & _U((1 << 22) - 1)).astype(np.int64)]
-        h, at = h[maybe], at[maybe]
-        first, last = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-        n = last - first
-        if not n.sum():
+        return [x[:2] + x[3:] for x in self.found(column)]
+
+    def found(self, column: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
+        """(text, item, windows of the item, matched windows, longest run in words, slots) of every leak.
+
+        A leak by its template is given as such, or else by its plain words, or else as a short item.
+        """
+        if not len(self.tokens.value):
             return []
-        k = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        at = np.repeat(at, n)
-        text, item, there = np.searchsorted(doc.offs, at, "right") - 1, self.item[k], self.at[k]
-        diagonal = at - there
+        doc = tokenise(column)
+        out = {(x[0], x[1]): x for x in self._along(doc, self.plain, _plain_windows(doc), False)}
+        out |= {(x[0], x[1]): x for x in self._along(doc, self.template, _windows(doc), True)}
+        for k, table in self.short.items():
+            at, item, _ = table.hits(_whole(doc, k, doc.offs if k < LEAST_INSIDE else None))
+            text = np.searchsorted(doc.offs, at, "right") - 1
+            out |= {(t, i): (t, i, 1, 1, k, 0) for t, i in zip(text.tolist(), item.tolist(), strict=True)}
+        return [out[k] for k in sorted(out)]
+
+    def _along(self, doc: Tokens, table: _Table, parts: Iterator[tuple[np.ndarray, np.ndarray]], slots: bool) -> Iterator[tuple]:
+        at, item, there = table.hits(parts)
+        text = np.searchsorted(doc.offs, at, "right") - 1
         order = np.lexsort((there, at, item, text))
-        text, item, there, at, diagonal = (x[order] for x in (text, item, there, at, diagonal))
+        text, item, there, at = (x[order] for x in (text, item, there, at))
+        new = np.ones(len(at), bool)  # one hit of two windows, however many readings they share
+        new[1:] = (at[1:] != at[:-1]) | (there[1:] != there[:-1])
+        text, item, there, at = (x[new] for x in (text, item, there, at))
+        diagonal = at - there
+        if not len(at):
+            return
         edge = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]), [True]]))
-        out, size = [], np.diff(own.offs)
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             i = int(item[a])
-            if len(np.unique(there[a:b])) < LEAST_COVER * self.n_windows[i] and b - a + WINDOW - 1 < LEAST_RUN:
+            windows = int(table.n_windows[i])
+            if len(np.unique(there[a:b])) < LEAST_COVER * windows and b - a + WINDOW - 1 < LEAST_RUN:
                 continue
             # the best diagonal, and those beside it that an inserted or lost word would lead to
             ways, counts = np.unique(diagonal[a:b], return_counts=True)
-            near = np.abs(diagonal[a:b] - ways[counts.argmax()]) <= max(2, self.n_windows[i] // 4)
-            matched, run, slots = self._consistent(doc, at[a:b][near], there[a:b][near], min(WINDOW, int(size[i])))
-            if matched >= LEAST_COVER * self.n_windows[i] or run >= LEAST_RUN:
-                out.append((int(text[a]), i, matched, run, slots))
-        return out
-
-    def _consistent(self, doc: Tokens, at: np.ndarray, there: np.ndarray, width: int) -> tuple[int, int, int]:
-        """Item windows whose slots agree with those before, the longest run in words, and the slots."""
+            near = np.abs(diagonal[a:b] - ways[counts.argmax()]) <= max(2, windows // 4)
+            matched, run, n_slots, words = self._consistent(doc, at[a:b][near], there[a:b][near], slots)
+            if (matched >= LEAST_COVER * windows and words >= min(LEAST_MATCHED, int(self.size[i]))) or run >= LEAST_RUN:
+                yield int(text[a]), i, windows, matched, run, n_slots
+
+    def _consistent(self, doc: Tokens, at: np.ndarray, there: np.ndarray, slots: bool) -> tuple[int, int, int, int]:
+        """Item windows whose slots agree with those before, the longest run in words, the slots, and the item's words matched."""
         means: dict[tuple[int, int], int] = {}
         runs: dict[int, tuple[int, int]] = {}
-        seen, longest = set(), 0
+        seen, words, longest = set(), set(), 0
         for x, y in zip(at.tolist(), there.tolist(), strict=True):
-            pairs = [(int(self.tokens.kind[y + j]), int(self.tokens.value[y + j]), int(doc.value[x + j])) for j in range(width) if self.tokens.kind[y + j] != PLAIN]
+            pairs = []
+            for j in range(WINDOW if slots else 0):
+                kind, v, w = int(self.tokens.kind[y + j]), int(self.tokens.value[y + j]), int(doc.value[x + j])
+                if kind != PLAIN:
+                    pairs.append((kind, v, w))
             if all(means.get((kind, v), w) == w for kind, v, w in pairs):
                 means.update({(kind, v): w for kind, v, w in pairs})
                 seen.add(y)
+                words.update(range(y, y + WINDOW))
                 last, run = runs.get(x - y, (-2, 0))
-                run = run + 1 if x == last + 1 else width
+                run = run + 1 if x == last + 1 else WINDOW
                 runs[x - y] = x, run
                 longest = max(longest, run)
-        return len(seen), longest, len(means)
+        return len(seen), longest, len(means), len(words)
+
+
+def _plain_windows(t: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of the words themselves."""
+    yield windows(t.value, t.offs, WINDOW)
+
+
+def _whole(t: Tokens, k: int, offs: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts of ``k`` words, or without ``offs`` the sentences and lines (or runs of them)."""
+    h, at = windows(t.value, t.offs, k)
+    if offs is None:
+        fits = t.opens[at] & np.append(t.opens, True)[at + k]
+    else:
+        text = np.searchsorted(t.offs, at, "right") - 1
+        fits = offs[text + 1] - offs[text] == k
+    yield h[fits], at[fits]
 
 
-def _windows(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Windows with enough plain words; a text of fewer than five words is one window."""
+def _windows(t: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows with enough plain words."""
     h, at = windows(t.template, t.offs, WINDOW)
-    plain = np.concatenate([[0], np.cumsum(t.kind == PLAIN)])
+    plain = np.concatenate([[0], np.cumsum((t.kind == PLAIN))])
     enough = plain[np.minimum(at + WINDOW, len(plain) - 1)] - plain[at] >= LEAST_PLAIN
-    return h[enough], at[enough]
+    yield h[enough], at[enough]
 
 
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[Index]:
@@ -191,8 +258,8 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[Index]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """One row per (document, item) that leaks.
 
-    Null and empty texts leak nothing, nor do items with fewer than five template words; repeated
-    rows give repeated rows; an empty benchmark or table gives no rows; other columns are ignored.
+    Null and empty texts leak nothing.  An item of three or four words leaks where it is a whole sentence
+    or line, one of one or two words where it is the whole text (``n_windows`` is 1); repeated rows give repeated rows; an empty benchmark or table gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
@@ -204,9 +271,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most: int = MOST_BYTES) ->
             index = held.value
             for batch in batches:
                 for part in slices(batch, 1):
-                    found = index.leaks(part.column(1))
+                    found = index.found(part.column(1))
                     ids = part.column(0).to_pylist()
-                    rows = [(ids[t], int(index.ids[i]), m, int(index.n_windows[i]), r, s) for t, i, m, r, s in found]
+                    rows = [(ids[t], int(index.ids[i]), m, n, r, s) for t, i, n, m, r, s in found]
                     names = [f.strip().split(" ")[0] for f in LEAKS.split(",")]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names)
 

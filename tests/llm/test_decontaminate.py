@@ -28,3 +28,14 @@ def test_frames_blocks_nulls_and_clashing_columns(spark):
         assert sorted(r.doc_id for r in without_leaks(docs, bench, most).collect()) == [3, 5]
     assert find_leaks(docs.limit(0), bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 0
     assert without_leaks(docs, bench.limit(0)).count() == 6
+
+
+def test_verbatim_copies_of_any_item_and_no_single_hit():
+    items = ["Compute 12 + 7 * 9 - 4.", "What is 2+2?", "Define entropy.", "In 1994 Anna Berg met Tom Hill at 7 in Oslo, 3 km from Ulm.", "the cat saw 3 Dogs 4 Cows", ITEM]
+    index = Index(list(range(6)), pa.array(items))
+    filler = "some quite other words come first and go on for a while. "
+    docs = [filler + x + "\n" + filler for x in items] + [items[2], filler + 'He said: "What is 2+2?" And left.', ITEM.upper(), ITEM.title()]
+    docs += ["so what is 2+2 worth", "they say the cat saw 3 Boats 9 times", filler + "then compute 12 + 7 more", "Yesterday the cat saw 3 Hens and left."]
+    found = {(t, i) for t, i, *_ in index.leaks(pa.array(docs))}
+    assert found == {(0, 0), (1, 1), (3, 3), (4, 4), (5, 5), (6, 2), (7, 1), (8, 5), (9, 5)}
+    assert Index([1], pa.array(["What is 2+2?"])).found(pa.array([docs[1]])) == [(0, 0, 1, 1, 3, 0)]
