@@ -5,7 +5,12 @@ placeholders.  Windows of five template words of the benchmark are hashed into a
 of every whole document is probed against it.  Hits near one diagonal (document position minus item
 position) are taken together; in them a placeholder's value in the item must always stand for the
 same value in the document: a question asked again with other numbers is caught, a text that merely
-has the same shape is not.
+has the same shape is not.  A capitalised word that begins a sentence may be a name or not: windows with
+one are indexed and probed under both readings.
+
+Placeholders say little, so windows with few plain words are no evidence as templates.  Windows of the
+lower-cased words themselves are therefore indexed and probed too, whatever the words are: a verbatim
+copy is found in any case and of any item.  An item of fewer than five words is one key, the whole of it.
 
 The table is sent to the executors only up to ``MOST_BYTES`` of benchmark text, which is measured;
 a larger benchmark is worked through in blocks of that size, each against all documents.
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -62,14 +68,15 @@ def _unit_hashes() -> np.ndarray:
 
 @dataclass
 class Tokens:
-    """Words of a column of texts: plain hashes, types, template hashes, where each text's words are, and
-    which of them begin a sentence or line."""
+    """Words of a column of texts: plain hashes, types, template hashes, where each text's words are, which
+    of them begin a sentence or line, and which plain ones may be names there."""
 
     value: np.ndarray
     kind: np.ndarray
     template: np.ndarray
     offs: np.ndarray
     opens: np.ndarray
+    maybe: np.ndarray
 
 
 def tokenise(column: pa.Array) -> Tokens:
@@ -107,6 +114,7 @@ def tokenise(column: pa.Array) -> Tokens:
 
     digit, alpha = any_in(_DIGIT), any_in(_ALPHA)
     kind = np.where(digit & ~alpha, NUMBER, np.where(digit & _DIGIT[t.data[start]], QUANTITY, PLAIN)) if len(start) else np.zeros(0, np.int64)
+    maybe = np.zeros(len(start), bool)
     if len(start):
         units = _unit_hashes()
         unit = units[np.searchsorted(units, value).clip(0, len(units) - 1)] == value
@@ -116,7 +124,8 @@ def tokenise(column: pa.Array) -> Tokens:
         two = t.data[np.minimum(start + 1, n - 1)]
         upper = ((one >= 65) & (one <= 90)) | ((one == 0xC3) & (two >= 0x80) & (two <= 0x9E))
         kind = np.where(unit, UNIT, np.where((kind == PLAIN) & upper & ~begins_sentence, NAME, kind))
-    return Tokens(value, kind, np.where(kind == PLAIN, value, _MARK[kind]), offs, opens)
+        maybe = (kind == PLAIN) & upper
+    return Tokens(value, kind, np.where(kind == PLAIN, value, _MARK[kind]), offs, opens, maybe)
 
 
 class _Table:
@@ -152,6 +161,8 @@ class Index:
         self.ids, self.tokens = np.asarray(item_ids, np.int64), tokenise(texts)
         own = self.tokens
         self.size = np.diff(own.offs)
+        named = np.flatnonzero(own.kind == NAME)
+        self.names = set(zip((np.searchsorted(own.offs, named, "right") - 1).tolist(), own.value[named].tolist(), strict=True))
         self.template, self.plain = _Table(_windows(own), own.offs), _Table(_plain_windows(own), own.offs)
         self.short = {k: _Table(_whole(own, k, own.offs), own.offs) for k in range(1, WINDOW) if (self.size == k).any()}
 
@@ -195,11 +206,11 @@ class Index:
             # the best diagonal, and those beside it that an inserted or lost word would lead to
             ways, counts = np.unique(diagonal[a:b], return_counts=True)
             near = np.abs(diagonal[a:b] - ways[counts.argmax()]) <= max(2, windows // 4)
-            matched, run, n_slots, words = self._consistent(doc, at[a:b][near], there[a:b][near], slots)
+            matched, run, n_slots, words = self._consistent(doc, i, at[a:b][near], there[a:b][near], slots)
             if (matched >= LEAST_COVER * windows and words >= min(LEAST_MATCHED, int(self.size[i]))) or run >= LEAST_RUN:
                 yield int(text[a]), i, windows, matched, run, n_slots
 
-    def _consistent(self, doc: Tokens, at: np.ndarray, there: np.ndarray, slots: bool) -> tuple[int, int, int, int]:
+    def _consistent(self, doc: Tokens, item: int, at: np.ndarray, there: np.ndarray, slots: bool) -> tuple[int, int, int, int]:
         """Item windows whose slots agree with those before, the longest run in words, the slots, and the item's words matched."""
         means: dict[tuple[int, int], int] = {}
         runs: dict[int, tuple[int, int]] = {}
@@ -208,6 +219,8 @@ class Index:
             pairs = []
             for j in range(WINDOW if slots else 0):
                 kind, v, w = int(self.tokens.kind[y + j]), int(self.tokens.value[y + j]), int(doc.value[x + j])
+                if self.tokens.maybe[y + j] and (v != w or (item, v) in self.names):
+                    kind = NAME  # it stands for another word, or is a name inside a sentence of the item
                 if kind != PLAIN:
                     pairs.append((kind, v, w))
             if all(means.get((kind, v), w) == w for kind, v, w in pairs):
@@ -238,11 +251,19 @@ def _whole(t: Tokens, k: int, offs: np.ndarray | None) -> Iterator[tuple[np.ndar
 
 
 def _windows(t: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Windows with enough plain words."""
+    """Windows with enough plain words, under each reading of the words that may be names."""
     h, at = windows(t.template, t.offs, WINDOW)
-    plain = np.concatenate([[0], np.cumsum((t.kind == PLAIN))])
-    enough = plain[np.minimum(at + WINDOW, len(plain) - 1)] - plain[at] >= LEAST_PLAIN
+    plain = np.concatenate([[0], np.cumsum(t.kind == PLAIN)])
+    count = plain[np.minimum(at + WINDOW, len(plain) - 1)] - plain[at]
+    enough = count >= LEAST_PLAIN
     yield h[enough], at[enough]
+    for k in range(1, WINDOW - LEAST_PLAIN + 1):
+        for places in combinations(range(WINDOW), k):
+            own = at[count - k >= LEAST_PLAIN]
+            for j in places:
+                own = own[t.maybe[own + j]]
+            words = [np.full(len(own), _MARK[NAME]) if j in places else t.template[own + j] for j in range(WINDOW)]
+            yield windows(np.stack(words, 1).ravel(), np.arange(len(own) + 1) * WINDOW, WINDOW)[0], own
 
 
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[Index]:

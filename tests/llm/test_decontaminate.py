@@ -39,3 +39,22 @@ def test_verbatim_copies_of_any_item_and_no_single_hit():
     found = {(t, i) for t, i, *_ in index.leaks(pa.array(docs))}
     assert found == {(0, 0), (1, 1), (3, 3), (4, 4), (5, 5), (6, 2), (7, 1), (8, 5), (9, 5)}
     assert Index([1], pa.array(["What is 2+2?"])).found(pa.array([docs[1]])) == [(0, 0, 1, 1, 3, 0)]
+
+
+def test_names_that_begin_sentences():
+    item = "Tom has 12 apples. Tom gives 3 to Ann. Tom buys 7. How many apples has Tom?"
+    other = "The mill in the old town was sold to Berta in 1901. Berta then let the wheel run day and night for the bakers."
+    index = Index([1, 2], pa.array([item, other]))
+    filler = "Some quite other words come first and go on for a while. "
+    docs = [item, item.replace("Tom", "Sam"), filler + item.replace("Tom", "Sam").replace("Ann", "Eve").replace("12", "30") + " " + filler]
+    docs += [other.replace("Berta", "Clara").replace("1901", "1850"), filler * 5, item.lower(), "Yes. No. Tom. Ann. Sam. Eve. Bob. " * 9, "Now " + other.replace("The mill", "the mill")]
+    swapped = item.replace("Tom has", "Sam has").replace("Tom gives", "Eve gives").replace("Tom buys", "Joe buys").replace("has Tom", "has Bob")
+    found = {(t, i): x for t, i, *x in index.leaks(pa.array([*docs, swapped]))}
+    assert set(found) - {(8, 0)} == {(0, 0), (1, 0), (2, 0), (3, 1), (5, 0), (7, 1)}
+    assert (8, 0) not in found or found[8, 0][0] < found[1, 0][0]
+
+
+def test_every_reading_of_a_window():
+    one, two = (Index([1], pa.array([x])) for x in ("We left. Tom ran home fast", "Then left. Sam ran home fast"))
+    assert len(one.template.hash) > one.template.n_windows[0] == 2
+    assert set(one.template.hash.tolist()) & set(two.template.hash.tolist())
