@@ -1,4 +1,4 @@
-"""Shared pieces: the shared work folder, Arrow batch slicing, and vectorised word hashing.
+"""Shared pieces: the shared work folder, joins with hot keys, Arrow batch slicing, and vectorised word hashing.
 
 Word hashing never builds Python string objects.  A text is a slice of one UTF-8 byte array; a
 word's hash is a polynomial over its bytes, read off one prefix sum (the multiplier is odd, so its
@@ -17,7 +17,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The contract's white space bytes, as in ``[^\x20\x09-\x0D]+``.
 SPACE_BYTES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
@@ -50,11 +51,80 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """``path``, made as a folder if need be; it is deleted when the driver ends."""
+    fs, at = _hadoop(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The folder goes when the driver ends, or earlier by ``discard``.
+    """
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(passing(spark, path))
+    made._written_at = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` returned and that no plan will read again."""
+    for t in tables:
+        fs, at = _hadoop(t.sparkSession, t._written_at)
+        fs.delete(at, True)
+
+
+HOT_ROWS = 1_000  # a key with fewer rows is never split
+MOST_HOT = 1 << 16  # keys that are split: those with more than this share of all rows, so there are no more than so many
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``key`` (one row per key in ``right``), hot keys dealt out to many tasks.
+
+    ``weight`` is the column of ``right`` with the number of rows that ``left`` has of the key.  A key of
+    more than ``total / MOST_HOT`` rows is cut into parts of about that size: its rows in ``left`` by
+    ``spread``, which must depend on their values alone (so a repeated task deals them out alike), and
+    its one row in ``right`` is repeated for each part.  Only the hot keys and their numbers of parts are
+    broadcast, fewer than ``MOST_HOT`` rows.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    most = max(HOT_ROWS, total // MOST_HOT)
+    right = right.withColumn("_parts", F.when(F.col(weight) > most, F.ceil(F.col(weight) / most)).otherwise(1).cast("int"))
+    hot = right.where("_parts > 1").select(key, F.col("_parts").alias("_hot"))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_hot"))).cast("int")).drop("_hot")
+    many = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", weight)
+    return dealt.join(many, [key, "_part"], how).drop("_part")
+
+
+def bloom_bits(count: int, low: int = 1 << 26, high: int = 1 << 30) -> int:
+    """Bits of a filter for ``count`` keys: eight a key at least, within 8 and 128 MB.  A filter beyond that
+    fills up, and lets more through than need be, never less."""
+    return min(high, max(low, 1 << (8 * max(count, 1) - 1).bit_length()))
+
+
+def bloom(rows: DataFrame, column: str, bits: int = 1 << 26) -> np.ndarray:
+    """A one-hash Bloom filter of ``bits`` bits over a long column, built on the executors."""
+    slot = F.pmod(F.col(column), F.lit(bits)) + 1  # the bitmap functions count from 1
+    made = rows.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in made.toLocalIterator():
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def inside(filled: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = (h & _U(8 * len(filled) - 1)).astype(np.int64)
+    return (filled[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, enter, materialise, mix, slices, trim, windows
+from .common import Texts, bloom, enter, inside, materialise, mix, slices, trim, windows
 from .components import components
-from .line_dedup import _bloom, _inside
 
 WORDS, PERCENT = 5, 75
 SLACK = 2  # two shingles of one row may fall together by their shortened hashes and count once
@@ -325,12 +324,12 @@ def _possible(pairs: DataFrame, hubs: DataFrame, rows: DataFrame, percent: int)
 def _sets(spark, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """``doc_id, grams`` of the documents in the pairs: one more pass over the texts, behind a Bloom filter."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = spark.sparkContext.broadcast(_bloom(ids.select(F.xxhash64("doc_id").alias("h")), "h"))  # of a fixed size
+    wanted = spark.sparkContext.broadcast(bloom(ids.select(F.xxhash64("doc_id").alias("h")), "h"))  # of a fixed size
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("jaccard")
         for batch in batches:
-            batch = batch.filter(pa.array(_inside(wanted.value, np.asarray(batch.column(2), np.int64).view(_U))))
+            batch = batch.filter(pa.array(inside(wanted.value, np.asarray(batch.column(2), np.int64).view(_U))))
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in shingle_sets(part.column(1))], pa.binary())], ["doc_id", "grams"])
 

@@ -7,13 +7,17 @@ and itself without one word.  Lines that differ by a replacement share the varia
 (same hash, same position); lines that differ by an insertion share the shorter line.  So the
 earliest match of a line is a minimum over rows with an equal hashed key: no pairs are made.
 
+Lines with the same words are one class, which stands at its earliest place; the join is between
+classes, and each line then takes the earlier of its class's first line and its class's earliest match.
+So the result is that of all lines against all earlier ones, whatever files or slices they lie in.
+
 What is no variant of anything else is not sent: a match leaves the first or the last half of the
 words untouched, so only lines that share a half with another distinct line have variants emitted
-(a fixed-size Bloom filter of them goes to the executors; where it is full, more is sent, never
-less).  Rows of equal key are reduced to their earliest within each task before the shuffle, so a
-line found in a third of all rows does not gather in one task.  Candidates are verified on the words
-themselves.  Lines too short for an edit to tell anything are matched as they are, where that is asked
-for: they have hashes, but no halves and no variants.
+(behind a Bloom filter sized by their number, up to 128 MB; where it is full, more is sent, never less).
+Of equal keys in a slice only the earliest is sent at first; the keys that several classes have, with the
+earliest of each, then meet their classes in a second pass, where a hot key is dealt out to many tasks.
+Candidates are verified on the words themselves.  Lines too short for an edit to tell anything are
+matched as they are, where that is asked for: they have hashes, but no halves and no variants.
 """
 
 from __future__ import annotations
@@ -23,21 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, Texts, enter, materialise, mix, signed, slices, trim
+from .common import _IS_SPACE, Texts, bloom, bloom_bits, discard, enter, inside, join_split, materialise, mix, signed, slices, trim
 
 LEAST_WORDS = 5  # shorter lines match none that differs; a character of UNSPACED counts half a word
 #: Scripts without spaces (Thai to Tibetan, Myanmar, Khmer, kana and ideographs, full-width forms).
 UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3001, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF01, 0xFF9F), (0x20000, 0x3FFFF))
 _CHARS = "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED)
 _UNIT = re.compile(rf"[{_CHARS}]|[^\x20\x09-\x0D{_CHARS}]+")
-FILTER_BITS = 1 << 26  # 8 MB, whatever the input's size
+NO_ID = 2**63 - 1  # stands for a null id, which comes last
 _U = np.uint64
 _C = 0xD1B54A32D192ED03
 _E = 0x8CB92BA72F3D8DD7
-LINES = "doc_id long, line_no long, n long, h long, g long, p1 long, s1 long, p2 long, s2 long"
+LINES = "doc_id long, row long, line_no long, h long, g long, p1 long, s1 long, p2 long, s2 long"
 _powers: list[np.ndarray] = [np.ones(1, _U)] * 4
 
 
@@ -81,7 +85,7 @@ class _Units(Texts):
 class Lines:
     """The lines of a column of texts that can match with an edit (``near``), or all with a word, and hashes of their parts."""
 
-    def __init__(self, column: pa.Array, short: bool = False):
+    def __init__(self, column: pa.Array, short: bool = False, least: int = LEAST_WORDS):
         self.t = t = _Units(column).words()
         breaks = np.flatnonzero(t.data == 10)
         start = np.concatenate([t.offs[:-1], breaks + 1])
@@ -92,7 +96,7 @@ class Lines:
         number = np.arange(len(start)) - np.searchsorted(owner, owner)
         a, b = np.searchsorted(t.start, start), np.searchsorted(t.start, end)
         halves = np.concatenate([[0], np.cumsum(t.half)])
-        near = 2 * (b - a) - (halves[b] - halves[a]) >= 2 * LEAST_WORDS
+        near = 2 * (b - a) - (halves[b] - halves[a]) >= 2 * least
         keep = (b > a) if short else near
         self.near = near[keep]
         self.start, self.end, self.owner, self.number, self.a, self.b = (x[keep] for x in (start, end, owner, number, a, b))
@@ -112,94 +116,92 @@ class Lines:
         return mix((self.more[self.b] - self.more[self.a]) * self.back[self.a] + self.n.astype(_U))
 
 
-def _emit_lines(docs: DataFrame, short: bool) -> DataFrame:
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _emit_lines(docs: DataFrame, short: bool, least: int) -> DataFrame:
     """Every line with its hashes; those of its halves are null where no edit is allowed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("line_dedup")
         for batch in batches:
             for part in slices(batch, 1):
-                x = Lines(part.column(1), short)
+                x = Lines(part.column(1), short, least)
                 h = mix(x.words(x.a, x.b) + x.n.astype(_U))
-                cols = [part.column(0).take(pa.array(x.owner)), x.number, x.n, signed(h), signed(x.second())]
+                owner = pa.array(x.owner)
+                cols = [part.column(0).take(owner), part.column(2).take(owner), x.number, signed(h), signed(x.second())]
                 for half in (x.n // 2, (x.n - 1) // 2):
                     salt = half.astype(_U) * _U(0x9E3779B97F4A7C15)
                     first, last = mix(x.words(x.a, x.a + half) + salt), mix(x.words(x.b - half, x.b) + salt + _U(1))
                     cols += [pa.array(signed(first), mask=~x.near), pa.array(signed(last), mask=~x.near)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], [f.split()[0] for f in LINES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], _names(LINES))
 
     return docs.mapInArrow(run, LINES)
 
 
-def _bloom(rows: DataFrame, column: str) -> np.ndarray:
-    """A one-hash Bloom filter of ``FILTER_BITS`` bits over a long column, built on the executors."""
-    slot = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
-    made = rows.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in made.toLocalIterator():
-        at = (r["bucket"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
-
-
-def _inside(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = (h & _U(FILTER_BITS - 1)).astype(np.int64)
-    return (bloom[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+class _Variants:
+    """The variants of a slice's classes that are in a filter, each class at its earliest line in the slice.
 
+    ``at``: the lines, in order of place.  ``line``: for each variant, its line's place in ``at``.
+    ``key``: hash of the variant's words and of what was cut from where; ``v``: of its words alone.
+    """
 
-def _earliest(key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (key, rank), and for each place there the place of its key's first."""
-    order = np.lexsort((rank, key))
-    k = key[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-    return order, np.maximum.accumulate(np.where(new, np.arange(len(k)), 0)) if len(k) else order
+    def __init__(self, part: pa.RecordBatch, least: int, filled: np.ndarray):
+        self.x = x = Lines(part.column(1), least=least)
+        h = mix(x.words(x.a, x.b) + x.n.astype(_U))
+        ids, rows = np.asarray(part.column(0), np.int64), np.asarray(part.column(2), np.int64)
+        at = np.flatnonzero(inside(filled, h))
+        at = at[np.lexsort((x.number[at], rows[x.owner[at]], ids[x.owner[at]]))]
+        at = self.at = at[np.sort(np.unique(h[at], return_index=True)[1])]
+        self.h, self.ids, self.rows = h[at], ids[x.owner[at]], rows[x.owner[at]]
+        n, a, b = x.n[at], x.a[at], x.b[at]
+        self.line = line = np.repeat(np.arange(len(at)), n + 1)
+        p = np.arange(len(line)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1) - 1  # -1: the line itself
+        la, lb = a[line], b[line]
+        cut = la + np.maximum(p, 0)
+        without = x.words(la, cut) + x.words(np.minimum(cut + 1, lb), lb) * x.up[cut - la]
+        self.v = np.where(p < 0, self.h[line], mix(without + (lb - la - 1).astype(_U)))
+        self.whole = p < 0
+        self.key = self.v ^ mix((p + 2).astype(_U))
 
 
-VARIANTS = "v long, p long, doc_id long, line_no long, h long, w_doc long, w_line long, w_h long"
+VARIANTS = "v long, key long, whole boolean, doc_id long, row long, line_no long, h long, times long"
 
 
-def _emit_variants(docs: DataFrame, bloom) -> DataFrame:
-    """Variants of the lines in the filter.  Of equal (variant, position) in a slice only the earliest
-    goes on under its key; a later one is sent with its earlier match, under a key of its own."""
+def _emit_variants(docs: DataFrame, least: int, filled) -> DataFrame:
+    """Of each key in a slice the earliest class, with the number of classes there that have the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("line_dedup")
         for batch in batches:
             for part in slices(batch, 1):
-                x = Lines(part.column(1))
-                h = mix(x.words(x.a, x.b) + x.n.astype(_U))
-                at = np.flatnonzero(_inside(bloom.value, h))
-                ids = np.asarray(part.column(0), np.int64)
-                rank = np.empty(len(at), np.int64)
-                rank[np.lexsort((x.number[at], ids[x.owner[at]]))] = np.arange(len(at))
-                n, a, b = x.n[at], x.a[at], x.b[at]
-                line = np.repeat(np.arange(len(at)), n + 1)
-                p = np.arange(len(line)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1) - 1  # -1: the line itself
-                la, lb = a[line], b[line]
-                cut = la + np.maximum(p, 0)
-                without = x.words(la, cut) + x.words(np.minimum(cut + 1, lb), lb) * x.up[cut - la]
-                v = np.where(p < 0, h[at][line], mix(without + (lb - la - 1).astype(_U)))
-                order, first = _earliest(v ^ mix((p + 2).astype(_U)), rank[line])
-                lead = order[first]  # of each in order, the earliest with its key
-                late = (lead != order) & (rank[line[order]] > rank[line[lead]])
-                cols = _columns(ids, x, at, h, line[order][~late], None), _columns(ids, x, at, h, line[order][late], line[lead][late])
-                own = np.unique(line[order][late], return_index=True)[1]  # one match a line is enough
-                keys = v[order][~late], p[order][~late]
-                yield _batch(keys[0], keys[1], cols[0])
-                own_key = mix(h[at][line[order][late]] + np.arange(late.sum()).astype(_U))[own]
-                yield _batch(own_key, np.full(len(own), -2), [c[own] if c is not None else None for c in cols[1]])
+                y = _Variants(part, least, filled.value)
+                _, first, times = np.unique(y.key, return_index=True, return_counts=True)  # variants lie in order of place
+                line = y.line[first]
+                cols = signed(y.v[first]), signed(y.key[first]), y.whole[first], y.ids[line], y.rows[line], y.x.number[y.at[line]], signed(y.h[line]), times.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _names(VARIANTS))
 
     return docs.mapInArrow(run, VARIANTS)
 
 
-def _columns(ids, x, at, h, line, match) -> list:
-    out = [ids[x.owner[at[line]]], x.number[at[line]], signed(h[at[line]])]
-    return out + ([None] * 3 if match is None else [ids[x.owner[at[match]]], x.number[at[match]], signed(h[at[match]])])
+def _emit_shared(docs: DataFrame, least: int, filled, shared) -> DataFrame:
+    """``key, h, line``: the keys of each class in a slice that are in the filter ``shared``, and (without a key) its text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("line_dedup")
+        for batch in batches:
+            for part in slices(batch, 1):
+                y = _Variants(part, least, filled.value)
+                own = inside(shared.value, y.key)
+                key, line = y.key[own], y.line[own]
+                with_one = np.unique(line)
+                raw, at = y.x.t.data.tobytes(), y.at[with_one]
+                texts = [raw[s:e].decode() for s, e in zip(y.x.start[at].tolist(), y.x.end[at].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(y.h[line])), pa.nulls(len(key), pa.string())], ["key", "h", "line"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(signed(y.h[with_one])), pa.array(texts, pa.string())], ["key", "h", "line"])
 
-def _batch(v: np.ndarray, p: np.ndarray, cols: list) -> pa.RecordBatch:
-    arrays = [pa.array(signed(np.ascontiguousarray(v))), pa.array(p.astype(np.int64))] + [pa.nulls(len(v), pa.int64()) if c is None else pa.array(c) for c in cols]
-    return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in VARIANTS.split(", ")])
+    return docs.mapInArrow(run, "key long, h long, line string")
 
 
 def _one_edit(a: str, b: str) -> bool:
@@ -219,81 +221,104 @@ def _split(line: str) -> list[str]:
     return _UNIT.findall(line)
 
 
-def _texts_of(docs: DataFrame, bloom) -> DataFrame:
-    """``h, line``: the texts of lines in a filter, each once a slice."""
+def _near(docs: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
+    """``h, near``: for each class the earliest (doc_id, row, line_no) of another class within one edit."""
+    spark = docs.sparkSession
+    sc = spark.sparkContext
+    halves = firsts.where("p1 is not null").select("h", F.explode(F.array_distinct(F.array("p1", "s1", "p2", "s2"))).alias("half"))
+    several = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("half")
+    some = materialise(spark, halves.join(several, "half", "left_semi").select("h").distinct(), "line-halves")
+    near_filter = sc.broadcast(bloom(some, "h", bloom_bits(some.count())))
+    discard(some)
+
+    # the earliest class of each key; what only one class has is dropped (one shuffle, by the variant)
+    place = F.struct("doc_id", "row", "line_no", "h")
+    by_key = _emit_variants(docs, least, near_filter).repartition("v").groupBy("v", "key", "whole").agg(F.min(place).alias("m"), F.min("h").alias("low"), F.max("h").alias("high"), F.sum("times").alias("times"), F.max("times").alias("most"))
+    of_variant = Window.partitionBy("v")
+    keys = (
+        by_key.withColumn("as_whole", F.min(F.when(F.col("whole"), F.col("m"))).over(of_variant)).withColumn("as_cut", F.min(F.when(~F.col("whole"), F.col("m"))).over(of_variant))
+        .where("low <> high or most > 1 or (whole and as_cut is not null) or (not whole and as_whole is not null)")
+        .select("key", F.when(F.col("whole"), F.col("as_cut")).otherwise(F.least("m", "as_whole")).alias("best"), "times")
+    )
+    keys = materialise(spark, keys, "line-keys")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("line_dedup")
-        for batch in batches:
-            for part in slices(batch, 1):
-                x = Lines(part.column(1))
-                h = mix(x.words(x.a, x.b) + x.n.astype(_U))
-                own, at = np.unique(h, return_index=True)
-                at = at[_inside(bloom.value, own)]
-                raw = x.t.data.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), pa.array([raw[s:e].decode() for s, e in zip(x.start[at].tolist(), x.end[at].tolist())], pa.string())], ["h", "line"])
+    key_filter = sc.broadcast(bloom(keys, "key", bloom_bits(keys.count())))
+    met = materialise(spark, _emit_shared(docs, least, near_filter, key_filter), "line-classes")
+    key_filter.destroy()  # what they helped to make is written
+    near_filter.destroy()
+    trim()
+    found = join_split(met.where("key is not null").select("key", "h"), keys, "key", "times", F.col("h")).where("best.h <> h").groupBy("h").agg(F.min("best").alias("best"))
+    found = materialise(spark, found, "line-candidates")
 
-    return docs.mapInArrow(run, "h long, line string")
+    texts = met.where("key is null").groupBy("h").agg(F.min("line").alias("line"))
+    asked = found.groupBy(F.col("best.h").alias("other")).agg(F.count("*").alias("asked"))
+    others = texts.select(F.col("h").alias("other"), F.col("line").alias("other_line")).join(asked, "other")
+    pairs = join_split(found.withColumn("other", F.col("best.h")).join(texts, "h"), others, "other", "asked", F.col("h"))
 
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([_one_edit(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], pa.bool_())).select([0, 1, 2, 3])
 
-def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """``doc_id, line_no, of_doc_id, of_line_no, edits``: each line that goes, with the earliest match found.
+    sure = pairs.select("h", "best.doc_id", "best.row", "best.line_no", "line", "other_line").mapInArrow(verify, "h long, doc_id long, row long, line_no long")
+    sure = materialise(spark, sure.select("h", F.struct("doc_id", "row", "line_no").alias("near")), "line-near")
+    discard(keys, met, found)
+    return sure
 
-    A line goes when an earlier one, by (doc_id, line number from 0), matches it: has the same words
-    (0 edits) or differs in one (1 edit).  Lines of fewer than ``LEAST_WORDS`` words go only with
-    ``short``, and only when an earlier one has the same words.  Lines without a word and documents with
-    a null id or text take no part; rows that repeat a doc_id hold the same lines and both keep them;
-    other columns are ignored; an empty table gives no rows.
-    """
+
+def _prepared(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, row``: what identifies a row is its id and its text, so ``row`` is a hash of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))
+
+
+def _found(docs: DataFrame, short: bool, least: int) -> DataFrame:
+    """``doc_id, row, line_no, m``: each line that goes, with its earliest match (of_doc_id, of_row, of_line_no, edits)."""
     spark = docs.sparkSession
-    sc = spark.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines = materialise(spark, _emit_lines(docs, short), "lines")
-    place = F.struct("doc_id", "line_no")
+    lines = materialise(spark, _emit_lines(docs.where("text is not null"), short, least), "lines")
+    place = F.struct("doc_id", "row", "line_no")
     firsts = lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("p1", "s1", "p2", "s2")])
     firsts = materialise(spark, firsts, "line-firsts")
+    near = _near(docs.where("text is not null"), firsts.select("h", "p1", "s1", "p2", "s2"), least)
 
-    exact = (
-        lines.select("doc_id", "line_no", "h", "g").join(firsts.where("times > 1").select("h", "g", "first"), ["h", "g"])
-        .where(F.struct("doc_id", "line_no") > F.col("first"))
-        .select("doc_id", "line_no", F.col("first.doc_id").alias("of_doc_id"), F.col("first.line_no").alias("of_line_no"), F.lit(0).alias("edits"))
-    )
+    of = firsts.select("h", "g", "first", "times").join(near, "h", "left").where("times > 1 or near is not null")
+    of = materialise(spark, of.withColumn("class", F.struct("h", "g")).drop("h", "g"), "line-of")
+    discard(firsts, near)
+    each = join_split(lines.select("doc_id", "row", "line_no", F.struct("h", "g").alias("class")), of, "class", "times", place)
 
-    halves = firsts.where("p1 is not null").select("h", F.explode(F.array_distinct(F.array("p1", "s1", "p2", "s2"))).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("half")
-    near_filter = sc.broadcast(_bloom(halves.join(shared, "half", "left_semi"), "h"))
-    by_variant = Window.partitionBy("v")
-    match = F.struct("doc_id", "line_no", "h")
-    found = (
-        _emit_variants(docs, near_filter)
-        .withColumn("same", F.min(match).over(Window.partitionBy("v", "p")))
-        .withColumn("whole", F.min(F.when(F.col("p") == -1, match)).over(by_variant))
-        .withColumn("cut", F.min(F.when(F.col("p") >= 0, match)).over(by_variant))
-        .select("doc_id", "line_no", "h", F.when(F.col("p") == -2, F.struct(F.col("w_doc").alias("doc_id"), F.col("w_line").alias("line_no"), F.col("w_h").alias("h"))).when(F.col("p") == -1, F.least("same", "cut")).otherwise(F.least("same", "whole")).alias("m"))
-        .where((F.struct("m.doc_id", "m.line_no") < place) & (F.col("m.h") != F.col("h")))
-        .groupBy("doc_id", "line_no", "h").agg(F.min("m").alias("m"))
-    )
-    found = materialise(spark, found, "line-candidates")
-    near_filter.destroy()  # what it helped to make is written
-    texts_filter = sc.broadcast(_bloom(found.select("h").union(found.select("m.h")), "h"))
-    texts = materialise(spark, _texts_of(docs, texts_filter).groupBy("h").agg(F.min("line").alias("line")), "line-texts")
-    texts_filter.destroy()
-    trim()
+    def match(earlier: str, edits: int) -> Column:
+        x = F.col(earlier)
+        return F.when(x < place, F.struct(x["doc_id"].alias("of_doc_id"), x["row"].alias("of_row"), x["line_no"].alias("of_line_no"), F.lit(edits).alias("edits")))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([_one_edit(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], pa.bool_())).select([0, 1, 2, 3])
+    return each.select("doc_id", "row", "line_no", F.least(match("first", 0), match("near", 1)).alias("m")).where("m is not null")
 
-    pairs = found.select("h", F.col("m.h").alias("mh"), "doc_id", "line_no", F.col("m.doc_id").alias("of_doc_id"), F.col("m.line_no").alias("of_line_no"))
-    pairs = pairs.join(texts, "h").join(texts.select(F.col("h").alias("mh"), F.col("line").alias("m_line")), "mh")
-    near = pairs.select("doc_id", "line_no", "of_doc_id", "of_line_no", "line", "m_line").mapInArrow(verify, "doc_id long, line_no long, of_doc_id long, of_line_no long")
-    both = exact.unionByName(near.withColumn("edits", F.lit(1)))
-    return both.groupBy("doc_id", "line_no").agg(F.min(F.struct("of_doc_id", "of_line_no", "edits")).alias("m")).select("doc_id", "line_no", "m.*")
 
+def duplicate_lines(docs: DataFrame, short: bool = False, least: int = LEAST_WORDS) -> DataFrame:
+    """``doc_id, text_hash, line_no, of_doc_id, of_text_hash, of_line_no, edits``: each line that goes, with the earliest it matches.
 
-def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """``docs`` (all columns, all rows) with the lines of ``duplicate_lines`` cut from their texts."""
-    gone = duplicate_lines(docs, short).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.expr("array_join(transform(filter(transform(split(text, '\\n', -1), (x, i) -> struct(x, cast(i as bigint) as i)), y -> not array_contains(_gone, y.i)), y -> y.x), '\\n')")
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left")
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    A line goes when an earlier one, by (doc_id, hash of the text, line number from 0), matches it: has
+    the same words (0 edits) or differs in one (1 edit).  Lines of fewer than ``least`` words go only
+    with ``short``, and only when an earlier one has the same words.  Lines without a word and documents
+    with a null text take no part.  Null ids come after all others.  Rows that share an id but not the text
+    are documents of their own; rows that share both are one document, which is given once for each of
+    them and loses no line to itself.  Other columns are ignored; an empty table gives no rows.  A very
+    long text is worked on alone; its lines are found like all others.
+    """
+    rows = _found(_prepared(docs), short, least)
+    plain = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c.removeprefix("m."))
+    return rows.select(plain("doc_id"), F.col("row").alias("text_hash"), "line_no", plain("m.of_doc_id"), F.col("m.of_row").alias("of_text_hash"), "m.of_line_no", "m.edits")
+
+
+def dedup_lines(docs: DataFrame, short: bool = False, least: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` (all columns, all rows) with the lines of ``duplicate_lines`` cut from their texts.
+
+    Lines are cut from the row that they are in, by its id and text, so rows that share an id lose only
+    their own lines.
+    """
+    mark = "_gone"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark = "_" + mark
+    gone = _found(_prepared(docs), short, least).groupBy("doc_id", "row").agg(F.collect_set("line_no").alias(mark)).withColumnsRenamed({"doc_id": f"{mark}_id", "row": f"{mark}_row"})
+    kept = F.expr(f"array_join(transform(filter(transform(split(text, '\\n', -1), (x, i) -> struct(x, cast(i as bigint) as i)), y -> not array_contains({mark}, y.i)), y -> y.x), '\\n')")
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col(f"{mark}_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col(f"{mark}_row"))
+    out = docs.join(gone, same, "left")
+    return out.withColumn("text", F.when(F.col(mark).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
