@@ -22,12 +22,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import enter, releases, slices
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # where ``MODEL_SETTING`` is unset
+MODEL_SETTING = "spark.tarnbeck.piece.model"
 BYTE_PENALTY = 10.0  # a character spelled in bytes scores this much less than the lowest ordinary piece
 CACHE = 220_000  # segments per generation of a worker's cache; there are two generations
 
@@ -43,6 +44,11 @@ class Vocabulary:
     byte_score: float
 
 
+def model_path(spark: SparkSession) -> str:
+    """The vocabulary file; the driver alone reads it."""
+    return spark.conf.get(MODEL_SETTING, MODEL)
+
+
 def load(path: str = MODEL) -> Vocabulary:
     import sentencepiece
 
@@ -203,18 +209,24 @@ class Segmenter:
     def nbest(self, text: str) -> list[tuple[float, list[int]]]:
         """Up to ``n`` segmentations of a whole text with their scores, best first."""
         body, score, low = self.solve(text)
-        out = []
-        for loss, changes in self.combine(low):
-            ids, at = [], 0
-            for _, _, a, b, alt in sorted(changes, key=lambda c: c[2]):
-                ids += [body[at:a], alt]
-                at = b
-            out.append((score - loss, array("i", b"".join([*ids, body[at:]])).tolist()))
-        return out
+        return [(score - loss, array("i", self.changed(body, changes)).tolist()) for loss, changes in self.combine(low)]
+
+    def changed(self, body: bytes, changes: list[tuple]) -> bytes:
+        """The best ids with alternatives of some segments in place."""
+        if not changes:
+            return body
+        out, at = [], 0
+        for _, _, a, b, alt in sorted(changes, key=lambda c: c[2]):
+            out += [body[at:a], alt]
+            at = b
+        return b"".join([*out, body[at:]])
+
+    def spelt(self, body: bytes) -> bytes:
+        texts = self.v.texts
+        return b"".join([texts[i] for i in array("i", body)])
 
     def decode_bytes(self, body: bytes) -> str:
-        texts = self.v.texts
-        raw = b"".join([texts[i] for i in array("i", body)])
+        raw = self.spelt(body)
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
     def decode(self, ids: list[int]) -> str:
@@ -240,19 +252,27 @@ def _letter(c: str) -> bool:
     return re.match(r"[^\W\d_]", c) is not None
 
 
-def encode(docs: DataFrame, path: str = MODEL, n: int = 3, text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """``docs`` without its text, with the segmentation of each whole text.
+def encode(docs: DataFrame, path: str | None = None, n: int = 3, text_col: str = "text", with_ids: bool = True, with_nbest: bool = False) -> DataFrame:
+    """``docs`` without its text, with the ``n`` best segmentations of each whole text.
 
-    ``n_pieces``, ``score`` (best), ``losses`` (of the next ``n - 1`` best, as far as there are so many),
-    ``ids_sha1`` (of the ids as little-endian int32), ``round_trip`` (decoding gives the text back) and,
-    with ``with_ids``, ``ids``.  A null text gives nulls; an empty one zero pieces.  A literal U+2581 is
-    spelled in bytes, so it survives decoding.  Rows stay as they are, repeated ones too; columns with
-    the names above are replaced.
+    ``n_pieces``, ``score`` (of the best), ``losses`` (of the next best, as far as there are so many),
+    ``nbest_sha1`` (of each segmentation's ids as little-endian int32, best first), ``round_trip`` (each of
+    them decodes to the text) and, with ``with_ids``, ``ids`` (of the best), with ``with_nbest``,
+    ``nbest_ids`` (of all).  Equal scores come in the order the search meets them.  A null text gives
+    nulls; an empty one zero pieces.  A literal U+2581 is spelled in bytes, so it survives decoding.  A
+    very long text is worked on alone.  Rows stay as they are, repeated ones too; columns with the names
+    above are replaced.  ``path`` is the vocabulary's, by default that of ``model_path``.
     """
-    own = [StructField("n_pieces", LongType()), StructField("score", DoubleType()), StructField("losses", ArrayType(DoubleType())), StructField("ids_sha1", StringType()), StructField("round_trip", BooleanType())]
-    own += [StructField("ids", ArrayType(IntegerType()))] * with_ids
+    own = [StructField("n_pieces", LongType()), StructField("score", DoubleType()), StructField("losses", ArrayType(DoubleType())), StructField("nbest_sha1", ArrayType(StringType())), StructField("round_trip", BooleanType())]
+    kinds = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.bool_()]
+    if with_ids:
+        own.append(StructField("ids", ArrayType(IntegerType())))
+        kinds.append(pa.list_(pa.int32()))
+    if with_nbest:
+        own.append(StructField("nbest_ids", ArrayType(ArrayType(IntegerType()))))
+        kinds.append(pa.list_(pa.list_(pa.int32())))
     docs = docs.drop(*[f.name for f in own if f.name != text_col])
-    held, column = docs.sparkSession.sparkContext.broadcast(load(path)), docs.columns.index(text_col)  # bounded by the model file
+    held, column = docs.sparkSession.sparkContext.broadcast(load(path or model_path(docs.sparkSession))), docs.columns.index(text_col)  # bounded by the model file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("pieces")
@@ -265,21 +285,23 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = 3, text_col: str = "text
                         row = [None] * len(own)
                     else:
                         body, score, low = seg.solve(text)
-                        row = [len(body) // 4, score, [loss for loss, _ in seg.combine(low)[1:]], hashlib.sha1(body).hexdigest(), seg.decode_bytes(body) == text]
-                        row += [array("i", body)] * with_ids
+                        best = seg.combine(low)
+                        every = [seg.changed(body, changes) for _, changes in best]
+                        same = seg.decode_bytes(body) == text and all(seg.spelt(c[4]) == seg.spelt(body[c[2] : c[3]]) for c in low)
+                        row = [len(body) // 4, score, [loss for loss, _ in best[1:]], [hashlib.sha1(x).hexdigest() for x in every], same]
+                        row += [array("i", body)] * with_ids + [[array("i", x) for x in every]] * with_nbest
                     for column_, value in zip(made, row, strict=True):
                         column_.append(value)
-                kinds = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.bool_(), pa.list_(pa.int32())]
                 rest = [i for i in range(part.num_columns) if i != column]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), *(pa.array(m, k) for m, k in zip(made, kinds))], [*(part.schema.names[i] for i in rest), *(f.name for f in own)])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), *(pa.array(m, k) for m, k in zip(made, kinds, strict=True))], [*(part.schema.names[i] for i in rest), *(f.name for f in own)])
 
     return docs.mapInArrow(run, StructType([*(f for f in docs.schema.fields if f.name != text_col), *own]))
 
 
-def decode(rows: DataFrame, path: str = MODEL, ids_col: str = "ids") -> DataFrame:
+def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """``rows`` with ``decoded``: the text of each list of ids (null for null)."""
     rows = rows.drop("decoded")
-    held, column = rows.sparkSession.sparkContext.broadcast(load(path)), rows.columns.index(ids_col)
+    held, column = rows.sparkSession.sparkContext.broadcast(load(path or model_path(rows.sparkSession))), rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = _segmenter(held, 3)

@@ -12,7 +12,7 @@ from .decontaminate import find_leaks
 from .jaccard import jaccard_components
 from .language_id import language_scores
 from .line_dedup import duplicate_lines
-from .pieces import MODEL, encode
+from .pieces import encode
 from .quality_qda import quality_scores
 from .quality_rules import quality_rules
 from .quoting import OP5_SQL, link_quotes
@@ -57,9 +57,10 @@ def op7_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of the three best segmentations of every document, and whether decoding gives the text back."""
-    out = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL, 3, with_ids=False)
-    return out.select("doc_id", "n_pieces", "score", F.get("losses", F.lit(0)).alias("loss_2"), F.get("losses", F.lit(1)).alias("loss_3"), "ids_sha1", "round_trip")
+    """The three best segmentations of every document (a digest of the ids of each), and whether they decode to the text."""
+    out = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, with_ids=False)
+    digest = [F.get("nbest_sha1", F.lit(k)).alias(f"ids_sha1_{k + 1}") for k in range(3)]
+    return out.select("doc_id", "n_pieces", "score", F.get("losses", F.lit(0)).alias("loss_2"), F.get("losses", F.lit(1)).alias("loss_3"), *digest, "round_trip")
 
 
 def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import hashlib
 import random
+from array import array
 
 from tarnbeck.llm.pieces import MODEL, Segmenter, decode, encode, load
 
@@ -33,10 +35,15 @@ def test_nbest_matches_enumeration():
 def test_dataframe_round_trip_and_edge_rows(spark):
     texts = [None, "", " ", "a", "a", "naïve ▁ x\r\n\t" * 50, "y" * 30000, "😀 \x00 z"]
     df = spark.createDataFrame([(i, t, i, "n") for i, t in enumerate(texts)], "doc_id long, text string, score int, ids string")
-    out = decode(encode(df, n=3)).orderBy("doc_id").collect()
+    out = decode(encode(df, n=3, with_nbest=True)).orderBy("doc_id").collect()
     assert [r.decoded for r in out] == texts
     assert [r.round_trip for r in out] == [None] + [True] * 7
     assert out[1].n_pieces == 0 and out[3].ids == out[4].ids
+    seg = Segmenter(load(MODEL), 3)
+    for r, text in list(zip(out, texts, strict=True))[1:]:
+        assert r.nbest_ids == [ids for _, ids in seg.nbest(text)] and r.nbest_ids[0] == r.ids
+        assert [hashlib.sha1(array("i", ids).tobytes()).hexdigest() for ids in r.nbest_ids] == r.nbest_sha1
+        assert all(seg.decode(ids) == text for ids in r.nbest_ids) and len(r.losses) == len(r.nbest_ids) - 1
     assert encode(df.limit(0)).count() == 0
 
 
