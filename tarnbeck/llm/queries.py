@@ -15,7 +15,7 @@ from .line_dedup import duplicate_lines
 from .pieces import encode
 from .quality_qda import quality_scores
 from .quality_rules import quality_rules
-from .quoting import OP5_SQL, link_quotes
+from .quoting import NESTED_SQL, OP5_SQL, link_quotes, nested_quotes
 from .warc import OP1_SQL, archive_and_read_back
 
 
@@ -47,6 +47,11 @@ def op5_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(_table(spark, sf_dir, "conversations"))
 
 
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op5, over the conversations with earlier turns quoted in them at two levels (the table itself has no quotes)."""
+    return link_quotes(nested_quotes(_table(spark, sf_dir, "conversations")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(_table(spark, sf_dir, "documents"))
 
@@ -79,8 +84,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_index, op2_template_decontamination, op3_quality_rules, op4_line_dedup, op5_quote_linking, op6_language_id, op7_compaction, op8_sentencepiece, op9_quality_qda, op10_ngram_jaccard, pipeline)}
+    return {f.__name__: f for f in (op1_warc_index, op2_template_decontamination, op3_quality_rules, op4_line_dedup, op5_quote_linking, op6_language_id, op7_compaction, op8_sentencepiece, op9_quality_qda, op10_ngram_jaccard, quoted_conversations, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op5_quote_linking": OP5_SQL}
+    return {"op1_warc_index": OP1_SQL, "op5_quote_linking": OP5_SQL, "quoted_conversations": NESTED_SQL}
