@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .compaction import compact_arrivals
+from .compaction import OP7_SQL, TARGET_BYTES, compact_arrivals
 from .decontaminate import find_leaks
 from .jaccard import jaccard_components
 from .language_id import language_scores
@@ -57,8 +57,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the shard that holds it once all arrivals are appended and compacted."""
-    return compact_arrivals(_table(spark, sf_dir, "documents"))
+    """Every document as it is read back once all arrivals are appended and compacted, and whether its shard is as it should be."""
+    rows = compact_arrivals(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", F.sha1("text").alias("text_sha1"), "lang", "source", "n_chars",
+        F.coalesce(F.col("doc_id").between(F.col("shard_min_id"), F.col("shard_max_id")), F.lit(True)).alias("id_in_range"),
+        ((F.col("shard_bytes") <= TARGET_BYTES * 3 // 2) | (F.col("shard_rows") == 1)).alias("shard_fits"),
+    )
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op5_quote_linking": OP5_SQL, "quoted_conversations": NESTED_SQL}
+    return {"op1_warc_index": OP1_SQL, "op5_quote_linking": OP5_SQL, "op7_compaction": OP7_SQL, "quoted_conversations": NESTED_SQL}
