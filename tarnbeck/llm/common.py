@@ -87,16 +87,16 @@ HOT_ROWS = 1_000  # a key with fewer rows is never split
 MOST_HOT = 1 << 16  # keys that are split: those with more than this share of all rows, so there are no more than so many
 
 
-def join_split(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column, how: str = "inner") -> DataFrame:
+def join_split(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column, how: str = "inner", total: int | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``key`` (one row per key in ``right``), hot keys dealt out to many tasks.
 
     ``weight`` is the column of ``right`` with the number of rows that ``left`` has of the key.  A key of
     more than ``total / MOST_HOT`` rows is cut into parts of about that size: its rows in ``left`` by
     ``spread``, which must depend on their values alone (so a repeated task deals them out alike), and
     its one row in ``right`` is repeated for each part.  Only the hot keys and their numbers of parts are
-    broadcast, fewer than ``MOST_HOT`` rows.
+    broadcast, fewer than ``MOST_HOT`` rows.  ``total``: the sum of ``weight``, or more, where it is known.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    total = (right.agg(F.sum(weight)).first()[0] or 0) if total is None else total
     most = max(HOT_ROWS, total // MOST_HOT)
     right = right.withColumn("_parts", F.when(F.col(weight) > most, F.ceil(F.col(weight) / most)).otherwise(1).cast("int"))
     hot = right.where("_parts > 1").select(key, F.col("_parts").alias("_hot"))

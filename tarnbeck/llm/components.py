@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is joins and minima over the edge table (no neighbour lists are collected), so a node
-with very many links is only a skewed join key; each round's edges are written to the shared folder.
+Every step is joins and minima over the edge table; no neighbour lists are collected, and the edges of a
+node with very many are dealt out to many tasks.  Each round's edges are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -9,24 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, join_split, materialise
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node of ``edges`` (a, b: long)."""
     spark = edges.sparkSession
     now = materialise(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    before = state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     for _ in range(rounds):
         # large star: every larger neighbour of u goes to the least of u and its neighbours
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = join_split(both.where("v > u"), least, "u", "n", F.col("v"), total=2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u and its smaller neighbours go to the least of them
         large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = materialise(spark, small.distinct(), "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_split(large, low, "u", "n", F.col("v"), total=state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        was, now = now, materialise(spark, small.distinct(), "edges")
+        discard(was)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break

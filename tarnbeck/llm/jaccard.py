@@ -11,7 +11,8 @@ documents that consist of little else.  The counts behind it cover all rows.
 Lists of up to ``SMALL`` rows give all their pairs.  Longer ones first give the pairs of each row with
 the list's hub; once these are verified and grouped, a list whose rows are all
 connected is done, and of another one the pairs between different groups follow, block by block, so
-no link between different groups is lost.  Lists over ``CHUNK`` rows are dealt out to several blocks.
+no link between different groups is lost.  Lists over ``CHUNK`` rows are dealt out in parts: those of
+the frequent shingles before the shuffle, any others by the task that meets them.
 Every candidate pair is verified on the full sets.
 """
 
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, bloom, enter, inside, materialise, mix, slices, trim, windows
+from .common import Texts, bloom, discard, enter, inside, join_split, materialise, mix, slices, trim, windows
 from .components import components
 
 WORDS, PERCENT = 5, 75
-SLACK = 2  # two shingles of one row may fall together by their shortened hashes and count once
+LEAST_BITS = 4
 SMALL, CHUNK, FREQUENT, BLOCK = 16, 4096, 64, 250_000
 PAIRS = 500_000  # counts of pairs that a task adds up before it passes them on
 MOST_FREQUENT = 1 << 21  # shingles that are kept as frequent: with more than entries / MOST_FREQUENT rows each, there are no more than so many
@@ -95,14 +96,20 @@ def _rows(docs: DataFrame, f, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _fall_together(g: np.ndarray) -> int:
+    """How many of a row's (sorted) shingles count with another one by the shortest of the shortened hashes."""
+    k = _key(g, LEAST_BITS)
+    return int((k[1:] == k[:-1]).sum())
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, cls``: the number of distinct shingles and the class of every row."""
+    """``doc_id, n, cls, slack``: the number of distinct shingles, the class of every row, and its ``_fall_together``."""
 
     def f(parts):
         for ids, sets in parts:
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(g) for g in sets], pa.int64()), pa.array([set_class(g) for g in sets], pa.int64())], ["doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(g) for g in sets], pa.int64()), pa.array([set_class(g) for g in sets], pa.int64()), pa.array([_fall_together(g) for g in sets], pa.int32())], ["doc_id", "n", "cls", "slack"])
 
-    return _rows(docs, f, "doc_id long, n long, cls long")
+    return _rows(docs, f, "doc_id long, n long, cls long, slack int")
 
 
 def _distinct(parts, seen: set[int]):
@@ -218,6 +225,11 @@ def lists(docs: DataFrame, bits: int, percent: int, hot: np.ndarray, df: np.ndar
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if dealt:
                 out[(a,)] = [int(g[a]), int(sub[a]), b - a, 1, 0, rows[a:b].tobytes(), sizes[a:b].tobytes()]
+            elif b - a > chunk:  # too long for one block, though not known as frequent
+                name, part = (table.column("block")[0].as_py() // 2 << 32) + int(g[a]), (mix(rows[a:b].view(_U)) % _U(-(-(b - a) // chunk))).astype(np.int64)
+                for k in np.unique(part).tolist():
+                    own = part == k
+                    out[(a, k)] = [name, k, int(own.sum()), 1, 0, rows[a:b][own].tobytes(), sizes[a:b][own].tobytes()]
             elif b - a > 1:
                 key = rows[a:b].tobytes()
                 if key in out:
@@ -289,8 +301,9 @@ def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
     The hub is the row with the most shingles in longer lists (ties: the least id).  Copies of one text
     that were changed each in its own way are far from each other, but near one that was changed little.
     """
-    hub = members.groupBy("list", "dealt").agg(F.max_by(F.struct("rep", "n"), F.struct("in_long", -F.col("rep"))).alias("hub"))
-    both = members.join(hub, ["list", "dealt"]).where((F.col("rep") != F.col("hub.rep")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
+    named = members.withColumn("of", F.struct("list", "dealt"))
+    hub = named.groupBy("of").agg(F.max_by(F.struct("rep", "n"), F.struct("in_long", -F.col("rep"))).alias("hub"), F.count("*").alias("members"))
+    both = join_split(named, hub, "of", "members", F.col("rep")).where((F.col("rep") != F.col("hub.rep")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
     return both.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct().withColumn("shared", F.lit(0).cast("long"))
 
 
@@ -301,14 +314,15 @@ def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _need(na, nb, percent: int):
+def _need(na, nb, slack_a, slack_b, percent: int):
     """Shared prefix shingles without which a pair of these sizes cannot reach the threshold.
 
     The pair shares ``o`` shingles at least.  Those up to where the first of the two prefixes ends are
-    in both prefixes; the others are in that row's remainder.
+    in both prefixes; the others are in that row's remainder.  Shared ones that fall together by their
+    shortened hashes count once: in either row, no more than its slack.
     """
     rest = lambda n: F.ceil(n * percent / 100) - 1
-    return F.ceil((na + nb) * percent / (100 + percent)) - F.greatest(rest(na), rest(nb)) - SLACK
+    return F.ceil((na + nb) * percent / (100 + percent)) - F.greatest(rest(na), rest(nb)) - F.least(slack_a, slack_b)
 
 
 def _possible(pairs: DataFrame, hubs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -316,9 +330,10 @@ def _possible(pairs: DataFrame, hubs: DataFrame, rows: DataFrame, percent: int)
     of = rows.select("cls", "rep")
     named = pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
     every = named.unionByName(hubs).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    one, two = rows.select("rep", "n", "in_long").toDF("a", "na", "la"), rows.select("rep", "n", "in_long").toDF("b", "nb", "lb")
+    own = rows.select("rep", "n", "in_long", "slack")
+    one, two = own.toDF("a", "na", "la", "ca"), own.toDF("b", "nb", "lb", "cb")
     joined = every.join(one, "a").join(two, "b")
-    return joined.where(F.col("shared") + F.least("la", "lb") >= _need(F.col("na"), F.col("nb"), percent)).select("a", "b", "shared")
+    return joined.where(F.col("shared") + F.least("la", "lb") >= _need(F.col("na"), F.col("nb"), F.col("ca"), F.col("cb"), percent)).select("a", "b", "shared")
 
 
 def _sets(spark, docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -347,10 +362,11 @@ def _rest_of_lists(members: DataFrame, group: DataFrame, percent: int) -> DataFr
     passed on.  A row with too few shingles in longer lists for any partner there is left out.
     """
     rows = members.join(group.toDF("rep", "component"), "rep", "left")
-    rows = rows.select("list", "dealt", "sub", "weight", "rep", F.col("n").alias("size"), "in_long", F.coalesce("component", "rep").alias("component"))
-    several = rows.groupBy("list", "dealt").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("rep", F.struct("in_long", -F.col("rep"))).alias("hub")).where("low <> high").select("list", "dealt", "hub")
-    part = rows.join(several, ["list", "dealt"]).groupBy("list", "dealt", "sub", "hub", "weight").agg(F.collect_list(F.struct("rep", "size", "in_long", "component")).alias("p"))
-    names = ("rep", "size", "in_long", "component")
+    rows = rows.select("list", "dealt", F.struct("list", "dealt").alias("of"), "sub", "weight", "rep", F.col("n").alias("size"), F.struct("in_long", "slack").alias("most"), F.coalesce("component", "rep").alias("component"))
+    several = rows.groupBy("of").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("rep", F.struct("most.in_long", -F.col("rep"))).alias("hub"), F.count("*").alias("members")).where("low <> high").drop("low", "high")
+    rows = join_split(rows, several, "of", "members", F.col("rep"))
+    names = ("rep", "size", "in_long", "slack", "component")
+    part = rows.groupBy("list", "dealt", "sub", "hub", "weight").agg(F.collect_list(F.struct("rep", "size", "most.in_long", F.col("most.slack").cast("long").alias("slack"), "component")).alias("p"))
     cut = lambda t: part.select("list", "dealt", *(["hub", "weight"] if t == 1 else []), F.col("sub").alias(f"sub{t}"), *[F.col(f"p.{c}").alias(f"{c}{t}") for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,19 +381,20 @@ def _rest_of_lists(members: DataFrame, group: DataFrame, percent: int) -> DataFr
             return a[first], b[first], np.add.reduceat(w, first)
 
         for batch in batches:
-            for x in batch.to_pylist():
-                r1, s1, l1, c1, r2, s2, l2, c2 = (np.array(x[f"{c}{t}"], np.int64) for t in (1, 2) for c in names)
+            weights, same = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k in range(batch.num_rows):  # one pair of parts at a time, read from the batch's own buffers
+                r1, s1, l1, e1, c1, r2, s2, l2, e2, c2 = (batch.column(2 + j)[k].values.to_numpy() for j in range(2 * len(names)))
                 for at in range(0, len(r1), 256):  # a block of rows against the other part
                     i = slice(at, at + 256)
                     small, large = np.minimum.outer(s1[i], s2), np.maximum.outer(s1[i], s2)
-                    need = -(-(small + large) * percent // (100 + percent)) - (-(-large * percent // 100) - 1) - SLACK
+                    need = -(-(small + large) * percent // (100 + percent)) - (-(-large * percent // 100) - 1) - np.minimum.outer(e1[i], e2)
                     ok = (100 * small >= percent * large) & (np.minimum.outer(l1[i], l2) >= need) & np.not_equal.outer(c1[i], c2)
-                    if x["same"]:
+                    if same[k]:
                         ok &= np.less.outer(np.arange(at, at + len(r1[i])), np.arange(len(r2)))
                     p, q = np.nonzero(ok)
                     if len(p):
                         p = p + at
-                        held.append((np.minimum(r1[p], r2[q]), np.maximum(r1[p], r2[q]), np.full(len(p), x["weight"])))
+                        held.append((np.minimum(r1[p], r2[q]), np.maximum(r1[p], r2[q]), np.full(len(p), weights[k])))
                         size += len(p)
                     if size > most:
                         held = [flush()]
@@ -391,9 +408,9 @@ def _rest_of_lists(members: DataFrame, group: DataFrame, percent: int) -> DataFr
 
     both = cut(1).join(cut(2), ["list", "dealt"]).where("sub1 <= sub2").withColumn("same", F.expr("sub1 = sub2")).repartition("hub", "sub1", "sub2")
     made = both.select("weight", "same", *[f"{c}{t}" for t in (1, 2) for c in names]).mapInArrow(run, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    n = members.select("rep", "n").distinct()
-    sized = made.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
-    return sized.where(F.col("shared") >= _need(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    n = members.select("rep", "n", "slack").distinct()
+    sized = made.join(n.toDF("a", "na", "ca"), "a").join(n.toDF("b", "nb", "cb"), "b")
+    return sized.where(F.col("shared") >= _need(F.col("na"), F.col("nb"), F.col("ca"), F.col("cb"), percent)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, least: int = FREQUENT) -> DataFrame:
@@ -401,15 +418,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, chunk: int = CHU
 
     Null, empty and blank texts have no shingles and are components of their own; a row with a null
     doc_id has a null component and links nothing; repeated rows give repeated rows; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows.  A very long text is hashed alone and has one set, however large.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = materialise(spark, classes(docs), "classes")
     linked = docs.where("doc_id is not null and text is not null")
-    reps = materialise(spark, every.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "reps")
+    reps = materialise(spark, every.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("slack").alias("slack"), F.count("*").alias("times")), "reps")
     entries = int(reps.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0)
-    bits = min(24, max(4, (entries // BLOCK).bit_length()))
+    bits = min(24, max(LEAST_BITS, (entries // BLOCK).bit_length()))
 
     def gather(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         t = found.toArrow()  # at most MOST_FREQUENT rows, by the choice of the least count
@@ -435,7 +452,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, chunk: int = CHU
     is_long = F.expr(f"sub >= 0 or k > {SMALL}")
     long_lists = found.where(is_long)
     in_long = _members(long_lists).groupBy("cls").agg(F.sum("weight").alias("in_long"))
-    rows = materialise(spark, reps.join(in_long, "cls", "left").select("cls", "rep", "n", F.coalesce("in_long", F.lit(0)).alias("in_long")), "rows")
+    rows = materialise(spark, reps.join(in_long, "cls", "left").select("cls", "rep", "n", "slack", F.coalesce("in_long", F.lit(0)).alias("in_long")), "rows")
     members = materialise(spark, _members(long_lists).select("list", "dealt", "sub", "cls", "weight").join(rows, "cls").drop("cls"), "members")
     by_count = _pairs(found.where(~is_long), percent).select(*"a b shared".split())
     pairs = materialise(spark, _possible(by_count, _hub_pairs(members, percent), rows, percent), "pairs")
@@ -456,7 +473,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, chunk: int = CHU
         more = materialise(spark, _verify(late, _sets(spark, linked, late), percent), "links")
         group = group if more.isEmpty() else components(links.union(more))
 
-    of = reps.select("cls", "rep")
-    to_rep = every.join(of, "cls", "left").withColumn("rep", F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
-    out = to_rep.join(group.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    of = reps.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"), "times")
+    of = materialise(spark, of, "class-components")
+    discard(reps, found, rows, members, pairs, late)
+    out = join_split(every, of, "cls", "times", F.col("doc_id"), "left")
+    alone = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))

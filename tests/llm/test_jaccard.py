@@ -1,6 +1,7 @@
 import random
 import re
 
+from tarnbeck.llm import common
 from tarnbeck.llm.jaccard import jaccard_components
 
 
@@ -44,12 +45,13 @@ def make(seed, groups, most):
     return rows
 
 
-def test_matches_brute_force(spark):
+def test_matches_brute_force(spark, monkeypatch):
     rows = make(1, 60, 6) + make(2, 1, 1)[:0] + [(5000, None), (5001, ""), (5002, " \n"), (None, "a b c d e f"), (5003, "A b"), (5004, "a B"), (5005, "b a")]
     rows += [(6000 + i, t) for i, (_, t) in enumerate(make(3, 1, 80) + make(4, 1, 1))]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as n", "2 as rep", "3 as component_id").repartition(6)
     want = brute(rows)
-    for kinds in ({}, {"least": 4, "chunk": 8}):
+    for kinds in ({}, {"least": 4, "chunk": 8}, {"least": 10**9, "chunk": 8}):  # the last: long lists that are not known as frequent
+        monkeypatch.setattr(common, "HOT_ROWS", 3 if kinds else 1000)
         got = sorted((tuple(x) for x in jaccard_components(df, **kinds).collect()), key=str)
         assert got == want, kinds
 
