@@ -28,9 +28,11 @@ def runs(rows: DataFrame, keys: list[str], order: list[str], label: Column) -> D
 
 
 def missing_seqs(chunks: DataFrame, key: str, seq: str) -> DataFrame:
-    """``key, seq`` of every number between a key's least and greatest that it lacks."""
-    g = chunks.groupBy(key).agg(F.min(seq).alias("_lo"), F.max(seq).alias("_hi"), F.collect_set(seq).alias("_have"))
-    return g.select(key, F.explode(F.array_except(F.sequence("_lo", "_hi"), "_have")).alias(seq))
+    """``key, seq`` of every number between a key's least and greatest that it lacks: those between a number
+    and the next one there is."""
+    after = F.lead(seq).over(Window.partitionBy(key).orderBy(seq))
+    gaps = chunks.select(key, seq).where(F.col(seq).isNotNull()).distinct().withColumn("_next", after).where(F.col("_next") - F.col(seq) > 1)
+    return gaps.select(key, F.explode(F.sequence(F.col(seq) + 1, F.col("_next") - 1)).alias(seq))
 
 
 def contiguous_prefix(chunks: DataFrame, key: str, seq: str, first: int) -> DataFrame:
@@ -84,44 +86,82 @@ def rate_limit(requests: DataFrame, key: str, at: str, most: int, window_s: floa
                 out.append(n + 1 <= most)
             yield b.assign(allowed=out)
 
-    ordered = requests.repartition(F.col(key)).sortWithinPartitions(key, at)
+    order = [c for c in requests.columns if c not in (key, at)]  # equal times: by the other columns
+    ordered = requests.repartition(F.col(key)).sortWithinPartitions(key, at, *order)
     return ordered.mapInPandas(fold, f"{', '.join(f'{n} {t}' for n, t in requests.dtypes)}, allowed boolean")
 
 
-def speech_segments(flags: list[bool], pre: int, post: int, most: int) -> list[tuple[int, int]]:
-    """Speech runs as [start, end) frames: padded on both sides, joined over pauses of up to ``post``
-    frames, cut after ``most`` frames.  Padding overlaps the segment before only where that was cut."""
-    out: list[tuple[int, int]] = []
-    at, before, cut, n = 0, 0, False, len(flags)
-    while at < n:
-        if not flags[at]:
-            at += 1
-            continue
-        begin = max(0, at - pre)
-        if not cut:
-            begin = max(begin, before)
-        last = look = at
-        stop = min(n, at + most)
-        while look < stop and look - last <= post:
-            last = look if flags[look] else last
-            look += 1
-        end = min(n, last + 1 + post)
-        cut = look >= at + most and look < n and look - last <= post
-        out.append((begin, end))
-        before = at = end
-    return out
+class _Tiles:
+    """Segments over runs of speech frames that come in order; what it keeps is one open segment.
 
+    A segment takes the speech from its first frame on until a pause of more than ``post`` frames or, at
+    the latest, until it has ``most`` frames, and ``post`` frames more.  The next one begins with the first
+    speech after that.
+    """
 
-def vad_segments(frames: DataFrame, key: str, index: str, flag: str, pre: int, post: int, most: int) -> DataFrame:
-    """``key, start_frame, end_frame`` per segment; one stream's flags at a time."""
+    def __init__(self, pre: int, post: int, most: int):
+        self.pre, self.post, self.most = pre, post, most
+        self.speech = self.last = None
+        self.floor = self.end = 0
+
+    def add(self, a: int, b: int):
+        """Speech in frames a to b (exclusive); yields the segments that this ends, as [start, end)."""
+        while True:
+            if self.speech is not None and a > self.last + self.post:
+                yield self.close()
+            if self.speech is None:
+                a = max(a, self.end)
+                if a >= b:
+                    return
+                self.speech, self.last = a, a
+            limit = self.speech + self.most
+            if b <= limit:
+                self.last = b - 1
+                return
+            self.last = max(self.last, limit - 1) if a < limit else self.last
+            yield self.close()
+
+    def close(self) -> tuple[int, int]:
+        start = max(0, self.speech - self.pre, self.floor)
+        self.end = self.last + 1 + self.post
+        # padding may reach back into a segment that was cut, not into one that ended by itself
+        self.floor = 0 if self.speech + self.most <= self.last + self.post else self.end
+        self.speech = None
+        return start, self.end
+
+
+def speech_runs(frames: DataFrame, key: str, index: str, flag: str) -> DataFrame:
+    """``key, a, b``: speech frames without a gap, as [a, b)."""
+    speech = frames.where(flag).select(key, F.col(index).cast("long").alias("_at"))
+    run = F.col("_at") - F.row_number().over(Window.partitionBy(key).orderBy("_at"))
+    return speech.withColumn("_run", run).groupBy(key, "_run").agg(F.min("_at").alias("a"), (F.max("_at") + 1).alias("b")).drop("_run")
 
-    def one(stream: pd.DataFrame) -> pd.DataFrame:
-        stream = stream.sort_values(index)
-        found = speech_segments(stream[flag].tolist(), pre, post, most)
-        return pd.DataFrame({key: [stream[key].iloc[0]] * len(found), "start_frame": [a for a, _ in found], "end_frame": [b for _, b in found]})
 
+def vad_segments(frames: DataFrame, key: str, index: str, flag: str, pre: int, post: int, most: int) -> DataFrame:
+    """``key, start_frame, end_frame`` per segment: speech with ``pre`` frames before and ``post`` after it, joined
+    over shorter pauses and cut after ``most`` frames (see ``_Tiles``), inside the stream's frames.
+
+    The runs of speech of a stream pass in order, so no stream is held as a whole.
+    """
     kind = dict(frames.dtypes)[key]
-    return frames.select(key, index, flag).groupBy(key).applyInPandas(one, f"{key} {kind}, start_frame long, end_frame long")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tiles, of, out = None, None, []
+        for batch in batches:
+            for k, a, b in zip(batch[key].tolist(), batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                if tiles is None or k != of:
+                    out += [(of, *tiles.close())] if tiles is not None and tiles.speech is not None else []
+                    tiles, of = _Tiles(pre, post, most), k
+                out += [(k, *x) for x in tiles.add(a, b)]
+            yield pd.DataFrame(out, columns=[key, "start_frame", "end_frame"])
+            out = []
+        if tiles is not None and tiles.speech is not None:
+            yield pd.DataFrame([(of, *tiles.close())], columns=[key, "start_frame", "end_frame"])
+
+    runs_in_order = speech_runs(frames, key, index, flag).repartition(F.col(key)).sortWithinPartitions(key, "a")
+    found = runs_in_order.mapInPandas(fold, f"{key} {kind}, start_frame long, end_frame long")
+    length = frames.groupBy(key).agg((F.max(index) + 1).cast("long").alias("_n"))
+    return found.join(length, key).select(key, "start_frame", F.least("end_frame", "_n").alias("end_frame"))
 
 
 def vad_islands(frames: DataFrame, key: str, index: str, flag: str, post: int) -> DataFrame:

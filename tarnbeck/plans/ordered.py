@@ -77,7 +77,16 @@ def confirmation_streak(d: Tables) -> DataFrame:
     return seg.confirmation_streak(e, ["user_id"], ["t", "event_id"], "v", "current").select("user_id", "event_id", "streak", "switches")
 
 
-@R.add()
+@R.add("""with recursive f as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i, value > 40 as s from events),
+ n as (select user_id, count(*) as n from f group by 1),
+ p as (select user_id, i, case when i - lag(i) over (partition by user_id order by i) <= 3 then 0 else 1 end as new from f where s),
+ q as (select user_id, i, sum(new) over (partition by user_id order by i) as island from p),
+ e as (select a.user_id, a.i as a, max(b.i) + 4 as fin from q a join q b on a.user_id = b.user_id and a.island = b.island and b.i >= a.i and b.i < a.i + 12 group by all),
+ x as (select e.user_id, e.a, e.fin, a + 12 <= fin - 1 as cut, min(q.i) as nxt from e left join q on q.user_id = e.user_id and q.i >= e.fin group by all),
+ w as (
+  select user_id, min(i) as a, greatest(0, min(i) - 1) as start from q group by 1
+  union all select w.user_id, x.nxt, greatest(0, x.nxt - 1, case when x.cut then 0 else x.fin end) from w join x on x.user_id = w.user_id and x.a = w.a where x.nxt is not null)
+select w.user_id, w.start as start_frame, least(x.fin, n.n) as end_frame from w join x on x.user_id = w.user_id and x.a = w.a join n on n.user_id = w.user_id""")
 def vad_segments(d: Tables) -> DataFrame:
     """Speech flags by position in each journey, as padded and capped segments."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -140,7 +149,11 @@ def top_k_per_group(d: Tables) -> DataFrame:
     return seg.first_per(d.part.select("p_brand", "p_partkey", "p_retailprice"), ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 6)
 
 
-@R.add()
+@R.add(f"""with recursive e as (select user_id, event_id, {SECONDS} as t from events),
+ w as (select user_id, min(t) as s from e group by 1 union all
+  select user_id, s from (select w.user_id, (select min(e.t) from e where e.user_id = w.user_id and e.t - w.s > 86400.0::double) as s from w) where s is not null),
+ g as (select e.user_id, e.event_id, e.t, max(w.s) as s from e join w on w.user_id = e.user_id and w.s <= e.t group by all)
+select user_id, event_id, t, row_number() over (partition by user_id, s order by t, event_id) <= 3 as allowed from g""")
 def rate_limit_fixed(d: Tables) -> DataFrame:
     e = d.events.select("user_id", "event_id", seconds().alias("t"))
     return seg.rate_limit(e, "user_id", "t", 3, 86400.0)

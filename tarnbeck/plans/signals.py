@@ -100,6 +100,16 @@ def _sound(d: Tables) -> DataFrame:
     return d.embeddings.select("vec_id", "label", play("embedding").alias("pcm"))
 
 
+#: The same in DuckDB: a list of samples, their level, and what sound becomes when it is written again.
+SAMPLES = "list_transform(embedding, lambda e: trunc(greatest(-1.0::double, least(1.0::double, e::double * 3)) * 32767) / 32768.0::double)"
+LEVEL = "sqrt(list_sum(list_transform({0}, lambda x: x * x)) / len({0}))"
+WRITTEN = "list_transform({0}, lambda y: trunc(greatest(-1.0::double, least(1.0::double, y)) * 32767) / 32768.0::double)"
+
+
+def _gained(db: float) -> str:
+    return WRITTEN.format(f"list_transform({SAMPLES}, lambda z: z * {10 ** (db / 20)!r}::double)")
+
+
 def _measured(name: str, measure: Column) -> Column:
     return F.round(measure, 6).alias(name)
 
@@ -113,19 +123,33 @@ def _rms_of(pcm: bytes) -> float:
     return float(np.sqrt(np.mean(x**2))) if len(x) else 0.0
 
 
-@R.add()
+@R.add(f"select vec_id, cast(50 * len(embedding) as int) as n_samples, round({LEVEL.format(SAMPLES)}, 6) as rms from embeddings")
 def pcm_to_float(d: Tables) -> DataFrame:
     return _sound(d).select("vec_id", (F.octet_length("pcm") / 2).cast("int").alias("n_samples"), _measured("rms", _rms(F.col("pcm"))))
 
 
-@R.add()
+@R.add(f"select vec_id, round(least(1.0, greatest(0.0, ({LEVEL.format(SAMPLES)} - {audio.QUIET_RMS!r}) / ({audio.LOUD_RMS!r} - {audio.QUIET_RMS!r}))), 6) as energy from embeddings")
 def energy_score(d: Tables) -> DataFrame:
     return _sound(d).select("vec_id", _measured("energy", audio.column(audio.energy, "double")(F.col("pcm"))))
 
 
+def _roughness(pcm: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(p: pd.Series) -> pd.Series:
+        return audio.roughness_batch(p)
+
+    return run(pcm)
+
+
+@R.add()
+def pitch_score(d: Tables) -> DataFrame:
+    """How far the pitch of each sound lies above an ordinary voice's."""
+    return _sound(d).select("vec_id", _measured("pitch", audio.column(audio.pitch_elevation, "double")(F.col("pcm"))))
+
+
 @R.add()
 def roughness_score(d: Tables) -> DataFrame:
-    return _sound(d).select("vec_id", _measured("roughness", audio.column(audio.roughness, "double")(F.col("pcm"))))
+    return _sound(d).select("vec_id", _measured("roughness", _roughness(F.col("pcm"))))
 
 
 @R.add()
@@ -138,13 +162,17 @@ def audio_add_noise(d: Tables) -> DataFrame:
     return _sound(d).select("vec_id", _measured("rms", _rms(audio.column(audio.add_noise, "binary", 10.0, "crowd")(F.col("pcm")))))
 
 
-@R.add()
+_BOTH = WRITTEN.format("list_transform(list_zip(s, o), lambda t: (t[1] + t[2]) * 0.5::double)")
+
+
+@R.add(f"""with s as (select vec_id, label, {SAMPLES} as s from embeddings), f as (select label, arg_min(s, vec_id) as o from s group by 1)
+select vec_id, round({LEVEL.format("m")}, 6) as rms from (select vec_id, {_BOTH} as m from s join f using (label))""")
 def audio_overlap(d: Tables) -> DataFrame:
     first = _sound(d).groupBy("label").agg(F.min_by("pcm", "vec_id").alias("other"))
     return _sound(d).join(first, "label").select("vec_id", _measured("rms", _rms(audio.column(audio.overlap, "binary")(F.col("pcm"), F.col("other")))))
 
 
-@R.add()
+@R.add(f"select vec_id, round({LEVEL.format(_gained(-12.0))}, 6) as quiet, round({LEVEL.format(_gained(12.0))}, 6) as loud from embeddings")
 def audio_gain_clip(d: Tables) -> DataFrame:
     return _sound(d).select("vec_id", _measured("quiet", _rms(audio.column(audio.gain, "binary", -12.0)(F.col("pcm")))), _measured("loud", _rms(audio.column(audio.gain, "binary", 12.0)(F.col("pcm")))))
 
@@ -176,7 +204,7 @@ def reference_bank_load(d: Tables) -> DataFrame:
     return frames.bank_summary(d.embeddings, "label", "vec_id", "embedding", 8)
 
 
-@R.add()
+@R.add("select 'j' || j as journey_id, s as seq, round(1000.0::double * j + s * 0.5::double, 3) as client_ts, 320 as n_bytes from range(5) a(j), range(40) b(s)")
 def frame_stream_source(d: Tables) -> DataFrame:
     """The frame source read as a batch: every frame of every journey of a fixed plan."""
     frames.register(d.spark)

@@ -42,15 +42,28 @@ def test_episode_gaps(spark):
     assert [n(x) for x in ([0, 9.5, 19], [0, 10, 20], [0], [0, 9.99, 30])] == [1, 3, 1, 2]
 
 
+def tiled(flags, pre, post, most):
+    """``_Tiles`` over the runs of a list of flags."""
+    tiles, out, at, n = seg._Tiles(pre, post, most), [], 0, len(flags)
+    while at < n:
+        to = at
+        while to < n and flags[to]:
+            to += 1
+        out += tiles.add(at, to) if to > at else []
+        at = max(to, at + 1)
+    out += [tiles.close()] if tiles.speech is not None else []
+    return [(a, min(b, n)) for a, b in out]
+
+
 def test_speech_segments():
     t, f = True, False
-    assert seg.speech_segments([t] * 20 + [f] * 5, 1, 1, 266) == [(0, 21)]
-    tiled = seg.speech_segments([t] * 250, 1, 1, 100)
-    assert tiled[0][0] == 0 and tiled[-1][1] == 250 and all(b[0] <= a[1] for a, b in zip(tiled, tiled[1:])) and len(tiled) == 3
-    apart = seg.speech_segments([t] * 6 + [f] * 55 + [t] * 8 + [f] * 60, 10, 50, 266)
+    assert tiled([t] * 20 + [f] * 5, 1, 1, 266) == [(0, 21)]
+    pieces = tiled([t] * 250, 1, 1, 100)
+    assert pieces[0][0] == 0 and pieces[-1][1] == 250 and all(b[0] <= a[1] for a, b in zip(pieces, pieces[1:])) and len(pieces) == 3
+    apart = tiled([t] * 6 + [f] * 55 + [t] * 8 + [f] * 60, 10, 50, 266)
     assert len(apart) == 2 and apart[0][1] <= apart[1][0]
-    assert seg.speech_segments([t] * 5 + [f] * 20 + [t] * 30 + [f] * 60, 10, 50, 266) == [(0, 105)]
-    assert seg.speech_segments([], 1, 1, 5) == [] and seg.speech_segments([f] * 4, 1, 1, 5) == []
+    assert tiled([t] * 5 + [f] * 20 + [t] * 30 + [f] * 60, 10, 50, 266) == [(0, 105)]
+    assert tiled([], 1, 1, 5) == [] and tiled([f] * 4, 1, 1, 5) == []
 
 
 def test_gaps_prefix_and_writes(spark):

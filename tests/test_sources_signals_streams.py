@@ -25,6 +25,11 @@ def test_dtw_matches_the_cell_by_cell_table():
         assert abs(dtw(a, b) - table[n, k] / max(n, k)) < 1e-9
 
 
+def test_pitch():
+    assert audio.pitch_elevation(audio.tone(200, 0.5)) == 0 and audio.pitch_elevation(b"") == 0 and audio.pitch_elevation(bytes(32000)) == 0
+    assert abs(audio.pitch_elevation(audio.tone(650, 0.5)) - 0.5) < 0.05
+
+
 def test_sound():
     smooth, rough = audio.tone(300, 1.0), audio.tone(300, 1.0, 80)
     assert audio.roughness(rough) > audio.roughness(smooth) + 0.2
