@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's ``docs``.  All but the last keep the columns of ``documents``.
+
+Null texts and texts without a letter go in the first stage, so no later one meets them.  Null ids are
+ids like any other to the first, second and fourth stage; the third links no row without an id and keeps it.
+Rows that share an id are rows of their own, each with its own text.  Very long texts are worked on alone and
+as a whole.  Other columns pass through, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,12 +16,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.common import work_path
+from tarnbeck.llm.common import passing, work_path
 from tarnbeck.llm.decontaminate import without_leaks
 from tarnbeck.llm.jaccard import jaccard_components
 from tarnbeck.llm.language_id import UNKNOWN, identify, train
 from tarnbeck.llm.line_dedup import dedup_lines
-from tarnbeck.llm.pieces import MODEL, encode
+from tarnbeck.llm.pieces import encode
 
 LEAST_LANGUAGE_SCORE = 0.5
 
@@ -33,7 +38,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4.  Lines that an earlier line matches go, short ones when they have the same words; a
-    document that loses all its words goes too, and so does every exact copy of an earlier one."""
+    document that loses all its words goes too, and so does every exact copy of an earlier one.  Of rows with
+    equal id and text, which lose no line to each other, the third stage keeps each."""
     lean = dedup_lines(docs, short=True).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return lean.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
@@ -51,7 +57,7 @@ def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8.  ``doc_id, lang, source, n_pieces, score, ids, round_trip`` of each whole text."""
-    out = encode(docs.select("doc_id", "lang", "source", "text"), MODEL, 3)
+    out = encode(docs.select("doc_id", "lang", "source", "text"), n=3)
     return out.select("doc_id", "lang", "source", "n_pieces", "score", "ids", "round_trip")
 
 
@@ -71,5 +77,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         made, path = stage(spark, docs, sf_dir), work_path(spark, name)
         made.write.parquet(path)
-        docs = spark.read.schema(made.schema).parquet(path)
+        docs = spark.read.schema(made.schema).parquet(passing(spark, path))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -120,6 +120,12 @@ def fa_per_hour_rollup(d: Tables) -> DataFrame:
     return r.select(F.coalesce("category", F.lit("ALL")).alias("category"), F.round(F.col("alerts") / F.col("hours"), 6).alias("per_hour"), "alerts")
 
 
+@R.add("select round(count(*) / (sum(l_quantity) / 100), 6) as per_hour, count(*) as alerts from lineitem")
+def sealed_totals(d: Tables) -> DataFrame:
+    """The report of a sealed set: totals only, nothing that names a category, a file or a time."""
+    return d.lineitem.agg(F.round(F.count("*") / (F.sum("l_quantity") / 100), 6).alias("per_hour"), F.count("*").alias("alerts"))
+
+
 TIER = f"case when {CONF} >= 0.85 then 2 when {CONF} >= 0.6 then 1 else 0 end"
 
 

@@ -402,6 +402,22 @@ def asr_noise_augment(d: Tables) -> DataFrame:
     return c.select("conv_id", "turn", kept.alias("kept"), F.md5("noisy").alias("noisy"))
 
 
+_WORDS = ", ".join(f"'{w}'" for w in corpus.CONFUSIONS)
+
+
+@R.add(f"""with w as (select conv_id, turn, regexp_split_to_array('Help, stay away! ' || text, '\\s+') as w from conversations)
+select conv_id, turn, cast(len(list_filter(w, lambda x: regexp_replace(lower(x), '^[^a-z0-9'']+|[^a-z0-9'']+$', '', 'g') in ({_WORDS}))) as int) as n_swappable, true as others_kept from w""")
+def asr_heavy_augment(d: Tables) -> DataFrame:
+    """Texts in which every word with sound-alikes is swapped for one of them, and whether all other words stay."""
+    text = F.concat(F.lit("Help, stay away! "), "text")
+    c = d.conversations.select("conv_id", "turn", text.alias("text"), corpus.asr_heavy(text, 7).alias("heavy"))
+    bare = lambda w: F.regexp_replace(F.lower(w), r"^[^a-z0-9']+|[^a-z0-9']+$", "")
+    words = F.split("text", r"\s+")
+    plain = F.filter(words, lambda w: ~bare(w).isin(list(corpus.CONFUSIONS)))
+    kept = F.size(F.array_except(F.transform(plain, F.lower), F.split("heavy", r"\s+"))) == 0
+    return c.select("conv_id", "turn", (F.size(words) - F.size(plain)).alias("n_swappable"), kept.alias("others_kept"))
+
+
 @R.add("""with h as (select doc_id, md5(text) as m from documents),
  f as (select doc_id, ((((('0x' || m[1:8])::bigint % 100) * 96 + ('0x' || m[9:16])::bigint) % 100 * 96 + ('0x' || m[17:24])::bigint) % 100 * 96 + ('0x' || m[25:32])::bigint) % 100 as p from h)
 select doc_id, cast(p as bigint) as p, case when p < 70 then 'train' when p < 85 then 'dev' else 'test' end as split from f""")

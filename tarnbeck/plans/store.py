@@ -46,6 +46,43 @@ def audit_trail(d: Tables) -> DataFrame:
     return d.events.where(F.col("event_type").isin("signup", "error")).select("event_id", F.col("user_id").alias("actor"), F.col("event_type").alias("action"), seconds().alias("t")).orderBy("t", "event_id")
 
 
+@R.add(f"select event_id, user_id as actor, event_type as action, {SECONDS} as t from events where event_type in ('signup', 'error')")
+def audit_append(d: Tables) -> DataFrame:
+    """An audit table that two writers have added to, one after the other."""
+    from ..sources.files import scratch
+    from ..sources.sinks import append_audit
+
+    rows, path = d.events.select("event_id", F.col("user_id").alias("actor"), F.col("event_type").alias("action"), seconds().alias("t")), scratch(d.spark, "audit")
+    for action in ("signup", "error"):
+        append_audit(rows.where(F.col("action") == action), path)
+    return d.spark.read.schema(rows.schema).parquet(path)
+
+
+@R.add("select p_partkey, p_retailprice, p_brand, case when p_brand = '' then 2 else 1 end as run from part")
+def partition_finish(d: Tables) -> DataFrame:
+    """A table whose runs replace whole partitions: a second run has finished one of them again."""
+    from ..sources.files import scratch
+    from ..sources.sinks import finish_partitions
+
+    path, rows = scratch(d.spark, "finished"), d.part.select("p_partkey", "p_retailprice", "p_brand", F.lit(1).alias("run"))
+    finish_partitions(rows, path, "p_brand")
+    finish_partitions(rows.where("p_brand = ''").withColumn("run", F.lit(2)), path, "p_brand")
+    return d.spark.read.schema("p_partkey long, p_retailprice double, run int, p_brand string").parquet(path).select(*rows.columns)
+
+
+@R.add("select 'page-' || page_id || '.html' as name, octet_length(encode(html)) as n_bytes, sha256(html) as sha256 from pages where html is not null")
+def tar_stream(d: Tables) -> DataFrame:
+    """Pages packed into tar archives and read back as a stream of members."""
+    from ..sources.files import scratch
+    from ..sources.tars import read_tars, write_tars
+
+    root = scratch(d.spark, "tars")
+    members = d.pages.where("html is not null").select(F.format_string("page-%d.html", "page_id").alias("name"), F.encode("html", "utf-8").alias("content"))
+    write_tars(members, root).write.parquet(root + "-list")
+    found = read_tars(d.spark.read.schema("path string").parquet(root + "-list"), root, ".html")
+    return found.select("name", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 @R.add("select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
 def csv_scan(d: Tables) -> DataFrame:
     """Rows written as CSV with a header and read back under a schema."""

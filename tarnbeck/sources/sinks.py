@@ -11,6 +11,16 @@ def kafka_payload(events: DataFrame, key: str) -> DataFrame:
     return events.select(F.col(key).cast("string").cast("binary").alias("key"), F.to_json(F.struct(*events.columns)).cast("binary").alias("value"))
 
 
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Add rows to an audit table; nothing there is ever changed."""
+    rows.write.mode("append").parquet(path)
+
+
+def finish_partitions(rows: DataFrame, path: str, by: str) -> None:
+    """Replace the partitions of a table that ``rows`` has, each as a whole; the others stay as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def deliver_once(batch: DataFrame, path: str, key: str) -> int:
     """Append the rows of ``batch`` whose key is not yet in the table at ``path``; how many were new.
 
