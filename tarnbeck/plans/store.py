@@ -58,7 +58,7 @@ def audit_append(d: Tables) -> DataFrame:
     return d.spark.read.schema(rows.schema).parquet(path)
 
 
-@R.add("select p_partkey, p_retailprice, p_brand, case when p_brand = '' then 2 else 1 end as run from part")
+@R.add("select p_partkey, p_retailprice, p_brand, case when p_brand = 'Brand#1' then 2 else 1 end as run from part")
 def partition_finish(d: Tables) -> DataFrame:
     """A table whose runs replace whole partitions: a second run has finished one of them again."""
     from ..sources.files import scratch
@@ -66,7 +66,7 @@ def partition_finish(d: Tables) -> DataFrame:
 
     path, rows = scratch(d.spark, "finished"), d.part.select("p_partkey", "p_retailprice", "p_brand", F.lit(1).alias("run"))
     finish_partitions(rows, path, "p_brand")
-    finish_partitions(rows.where("p_brand = ''").withColumn("run", F.lit(2)), path, "p_brand")
+    finish_partitions(rows.where("p_brand = 'Brand#1'").withColumn("run", F.lit(2)), path, "p_brand")
     return d.spark.read.schema("p_partkey long, p_retailprice double, run int, p_brand string").parquet(path).select(*rows.columns)
 
 
