@@ -77,10 +77,15 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialise`` returned and that no plan will read again."""
+    """Delete tables that ``materialise`` returned and that no plan will read again.
+
+    The shuffles and broadcasts behind them are freed once the driver's garbage is collected, so that is done here.
+    """
     for t in tables:
         fs, at = _hadoop(t.sparkSession, t._written_at)
         fs.delete(at, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 HOT_ROWS = 1_000  # a key with fewer rows is never split
