@@ -23,23 +23,34 @@ from .common import Texts, enter, slices, trim
 
 ORDER = 3
 MOST_TRAINING_DOCS = 1_500  # per language; a documented bound on the sample that the trees are grown on
-MOST_CONTEXTS = 24_000  # of the longest contexts, the most frequent have nodes; the others back off to shorter ones
+MOST_LANGUAGES = 50  # the most frequent ones are learnt; a documented bound on the labels, and so on the model
 UNKNOWN = "und"
 _PAD = 10  # the byte before a text's first
+_CHUNK = 2_048  # longest contexts worked out at once
 
 
 @dataclass(frozen=True)
 class Trees:
-    """``codes``: byte to symbol.  ``node``: last three symbols to node.  ``cost``: (node, symbol) to nats per language."""
+    """The frozen statistics as tables; every context that training saw has its exact costs.
+
+    ``codes``: byte to symbol.  ``node``: last two symbols to a node.  ``cost``: nats per language, first of each
+    (node, symbol), then the entries of the longest contexts.  ``deep``: last three symbols to a longest context
+    (-1: not seen).  ``rank``: (node, symbol) to the place among a longest context's entries, which start at
+    ``begin`` (-1: none, so the node's cost and the context's ``shift`` hold).
+    """
 
     languages: list[str]
     codes: np.ndarray
     node: np.ndarray
+    rank: np.ndarray
+    deep: np.ndarray
+    begin: np.ndarray
+    shift: np.ndarray
     cost: np.ndarray
 
     @property
     def symbols(self) -> int:
-        return round(len(self.node) ** (1 / ORDER))
+        return self.rank.shape[1]
 
 
 def contexts(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -90,51 +101,81 @@ def build_trees(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.
     # contexts of each length as numbers; the shorter ones are suffixes of the longer ones
     ctx = [np.zeros(len(gram), np.int64), parts[2], parts[1] * size + parts[2], (parts[0] * size + parts[1]) * size + parts[2]]
     kept, counts = [], []
-    for k in range(ORDER + 1):
-        found, at = np.unique(ctx[k], return_inverse=True)
-        if k == ORDER and len(found) > MOST_CONTEXTS:
-            most = np.argsort(-np.bincount(at, n), kind="stable")[:MOST_CONTEXTS]
-            found = np.sort(found[most])
-            slot = np.searchsorted(found, ctx[k]).clip(0, len(found) - 1)
-            inside = found[slot] == ctx[k]
-        else:
-            slot, inside = at, np.ones(len(gram), bool)
-        table = np.zeros((len(languages), len(found), size))
-        np.add.at(table, (lang[inside], slot[inside], symbol[inside]), n[inside])
+    for k in range(ORDER):
+        found, slot = np.unique(ctx[k], return_inverse=True)
+        table = np.zeros((len(languages), len(found), size), np.float32)
+        np.add.at(table, (lang, slot, symbol), n)
         kept.append(found)
         counts.append(table)
-    costs = []
-    for k in range(ORDER + 1):
+    costs, escapes = [], []
+    for k in range(ORDER):
         up = [np.searchsorted(kept[j], kept[k] % size**j) for j in range(k + 1)]
         cost = np.zeros((len(kept[k]), size, len(languages)), np.float32)
+        own = np.zeros((len(kept[k]), len(languages)), np.float32)
         for one in range(len(languages)):
             escape, out, known = np.zeros(len(kept[k])), np.zeros((len(kept[k]), size)), np.zeros((len(kept[k]), size), bool)
             for j in range(k, -1, -1):
-                c = np.where(known, 0, counts[j][one][up[j]])
-                total, kinds = c.sum(1), (c > 0).sum(1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    new = escape[:, None] + np.log((total + kinds)[:, None] / c)
-                    escape = escape + np.where(kinds > 0, np.log((total + kinds) / np.maximum(kinds, 1)), 0)
-                out = np.where(c > 0, new, out)
+                c = np.where(known, 0, counts[j][one][up[j]]).astype(np.float64)
+                seen, leave = _method_c(c)
+                out = np.where(c > 0, escape[:, None] + seen, out)
+                escape = escape + leave
+                if j == k:
+                    own[:, one] = leave
                 known |= c > 0
             cost[:, :, one] = np.where(known, out, (escape + np.log(np.maximum(256 - known.sum(1), 1)))[:, None])
         costs.append(cost)
+        escapes.append(own)
     first = np.cumsum([0, *(len(x) for x in kept)])
-    every = np.arange(size**ORDER)
-    node = np.zeros(size**ORDER, np.int32)  # the root
-    for k in range(1, ORDER + 1):
+    every = np.arange(size ** (ORDER - 1))
+    node = np.zeros(len(every), np.int32)  # the root
+    for k in range(1, ORDER):
         at = np.searchsorted(kept[k], every % size**k).clip(0, len(kept[k]) - 1)
         node = np.where(kept[k][at] == every % size**k, first[k] + at, node).astype(np.int32)
-    return Trees(languages, codes, node, np.concatenate(costs).reshape(-1, len(languages)))
-
-
-def train(docs: DataFrame, most: int = MOST_TRAINING_DOCS) -> Trees | None:
+    # of a longest context, the symbols that its suffix was seen with (in any language) have entries; for all
+    # others the walk goes on below the suffix, so the suffix's cost differs by the escapes only
+    listed = (counts[-1] > 0).any(0)
+    rank = np.full((first[-1], size), -1, np.int16)
+    rank[first[ORDER - 1] :] = np.where(listed, np.cumsum(listed, 1) - 1, -1)
+    longest, slot = np.unique(ctx[ORDER], return_inverse=True)
+    parent = np.searchsorted(kept[-1], longest % size ** (ORDER - 1))
+    begin = np.cumsum(np.concatenate([[0], listed.sum(1)[parent]]))
+    entry = np.zeros((begin[-1], len(languages)), np.float32)
+    shift = np.zeros((len(longest), len(languages)), np.float32)
+    order = np.argsort(slot, kind="stable")
+    bounds = np.searchsorted(slot[order], np.arange(0, len(longest) + _CHUNK, _CHUNK))
+    for part in range(len(bounds) - 1):
+        low, high, rows = part * _CHUNK, min((part + 1) * _CHUNK, len(longest)), order[bounds[part] : bounds[part + 1]]
+        table = np.zeros((len(languages), high - low, size))
+        np.add.at(table, (lang[rows], slot[rows] - low, symbol[rows]), n[rows])
+        up, inside = parent[low:high], listed[parent[low:high]]
+        for one in range(len(languages)):
+            here, leave = _method_c(table[one])
+            below, leave_below = _method_c(np.where(table[one] > 0, 0, counts[-1][one][up]).astype(np.float64))
+            shift[low:high, one] = leave + leave_below - escapes[-1][up, one]
+            out = np.where(counts[-1][one][up] > 0, leave[:, None] + below, costs[-1][up, :, one] + shift[low:high, one][:, None])
+            entry[begin[low] : begin[high], one] = np.where(table[one] > 0, here, out)[inside]
+    deep = np.full(size**ORDER, -1, np.int32)
+    deep[longest] = np.arange(len(longest))
+    cost = np.concatenate([*(x.reshape(-1, len(languages)) for x in costs), entry])
+    return Trees(languages, codes, node, rank, deep, begin[:-1] + first[-1] * size, shift, cost)
+
+
+def _method_c(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per context (row): nats of each symbol that has a count (others: infinite), and of the escape (0 without any)."""
+    total, kinds = counts.sum(1), (counts > 0).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        seen = np.log((total + kinds)[:, None] / counts)
+        return seen, np.where(kinds > 0, np.log((total + kinds) / np.maximum(kinds, 1)), 0.0)
+
+
+def train(docs: DataFrame, most: int = MOST_TRAINING_DOCS, most_languages: int = MOST_LANGUAGES) -> Trees | None:
     """Grow the trees on a bounded, hash-chosen sample per language of ``docs`` (doc_id, text, lang).
 
-    Rows with a null text or language teach nothing.  None when there is nothing to learn from.
+    Rows with a null text or language teach nothing; of more than ``most_languages`` labels the most frequent
+    are learnt (ties: the first by name).  None when there is nothing to learn from.
     """
     rows = docs.where("text is not null and lang is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, most / v))])
@@ -155,11 +196,17 @@ def code_lengths(trees: Trees, column: pa.Array) -> tuple[np.ndarray, np.ndarray
     t = Texts(pc.utf8_lower(column))
     size, c = trees.symbols, trees.codes[t.data]
     one, two, three = (trees.codes[x] for x in contexts(t.data, t.offs))
-    at = trees.node[(three * size + two) * size + one] * size + c
+    at = trees.node[two * size + one] * size + c
+    deep, place = trees.deep[(three * size + two) * size + one], trees.rank.ravel()[at]
+    entered = (deep >= 0) & (place >= 0)
+    shifted = np.flatnonzero((deep >= 0) & ~entered)
+    at = np.where(entered, trees.begin[deep] + place, at)
     total, length = np.zeros((t.n, len(trees.languages))), np.diff(t.offs)
     if len(at):
+        cost = trees.cost[at]
+        cost[shifted] += trees.shift[deep[shifted]]
         full = np.flatnonzero(length)
-        total[full] = np.add.reduceat(trees.cost[at], t.offs[full], 0, np.float64)
+        total[full] = np.add.reduceat(cost, t.offs[full], 0, np.float64)
     return total, length
 
 
@@ -172,7 +219,7 @@ def identify(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> Da
     columns of ``docs`` with these three names are replaced.
     """
     spark, docs = docs.sparkSession, docs.drop("lang_pred", "lang_score", "lang_bits")
-    held = spark.sparkContext.broadcast(trees)  # bounded: MOST_CONTEXTS nodes (and their suffixes) times symbols times languages
+    held = spark.sparkContext.broadcast(trees)  # bounded by MOST_TRAINING_DOCS and MOST_LANGUAGES; grows with neither rows nor texts scored
     column = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,3 +64,21 @@ def test_edge_rows(spark):
     nothing = li.language_scores(df.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
     assert li.language_scores(df.limit(0)).count() == 0
+
+
+def test_the_most_frequent_labels_are_learnt(spark):
+    rows = [(i, t, lang) for lang, ts in {**TEXTS, "xx": ["rare"]}.items() for i, t in enumerate(ts)]
+    trees = li.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=2)
+    assert trees.languages == ["en", "fr"]
+
+
+def test_code_lengths_match_the_walk_on_random_bytes(spark):
+    rng = np.random.default_rng(3)
+    make = lambda letters, n: "".join(rng.choice(list(letters), n))
+    texts = {"a": [make("abcd é", 300), make("abx", 50)], "b": [make("abce", 200), "abc"], "c": ["d"]}
+    rows = [(i, t, lang) for lang, ts in texts.items() for i, t in enumerate(ts)]
+    trees = li.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [make("abcdexé ", n) for n in (1, 2, 3, 40, 200)]
+    nats, _ = li.code_lengths(trees, pa.array(asked))
+    for row, t in zip(nats, asked, strict=True):
+        assert np.allclose(row, [brute_cost(texts[x], t) for x in trees.languages], rtol=1e-5), t
