@@ -47,17 +47,17 @@ def repeats(hits: DataFrame, keys: list[str], phrase: str, at: str, order: list[
     peers = Window.partitionBy(*keys, phrase, at)
     later = F.count("*").over(peers) - F.row_number().over(peers.orderBy(*order))
     out = hits.withColumn("n_same", in_span).withColumn("n_same", F.col("n_same") - later)
-    # other phrases: the last time of each phrase so far would do, so the window keeps one map per key, not its rows
-    so_far = Window.partitionBy(*keys).orderBy(at, *order).rowsBetween(Window.unboundedPreceding, 0)
-    names = [r[0] for r in hits.select(phrase).where(F.col(phrase).isNotNull()).distinct().orderBy(phrase).limit(MOST_PHRASES + 1).collect()]
-    if len(names) > MOST_PHRASES:
-        raise ValueError(f"more than {MOST_PHRASES} phrases")
-    in_window = [F.coalesce(F.max(F.when(F.col(phrase) == n, F.col(at))).over(so_far) >= F.col(at) - window_s, F.lit(False)).cast("long") for n in names]
-    return out.withColumn("n_distinct", sum(in_window, F.lit(0).cast("long")))
-
-
-#: The phrase dictionary is a small dimension; each phrase costs one running maximum.
-MOST_PHRASES = 200
+    # a phrase counts from a hit that has none of the phrase in the window before it, until the window after its
+    # last such hit has passed; the running sum of those starts and ends is the number of phrases
+    hit, same = F.col(phrase).isNotNull(), Window.partitionBy(*keys, phrase).orderBy(at, *order)
+    before, after = F.lag(at).over(same), F.lead(at).over(same)
+    starts = hit & F.coalesce(before + window_s < F.col(at), F.lit(True))
+    ends = hit & F.coalesce(F.col(at) + window_s < after, F.lit(True))
+    out = out.withColumns({"_starts": starts.cast("long"), "_ends": ends}).withColumn("_end", F.explode(F.when(F.col("_ends"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    out = out.withColumn("_at", F.when(F.col("_end"), F.col(at) + window_s).otherwise(F.col(at)))
+    so_far = Window.partitionBy(*keys).orderBy("_at", "_end", *order).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("n_distinct", F.sum(F.when(F.col("_end"), F.lit(-1)).otherwise(F.col("_starts"))).over(so_far))
+    return out.where(~F.col("_end")).drop("_starts", "_ends", "_end", "_at")
 
 
 def escalate(hits: DataFrame) -> DataFrame:
@@ -96,3 +96,18 @@ def fuse(stt: DataFrame, spotted: DataFrame, key: list[str]) -> DataFrame:
         F.when(text_wins & F.col("phrase").isNotNull(), "text").when(~text_wins, "kws").otherwise("none").alias("layer"),
         F.coalesce((F.col("phrase") == F.col("spotted")) & (F.col("distance") <= RULES.corroboration_distance), F.lit(False)).alias("agree"),
     )
+
+
+def drain(rows: DataFrame, key: str, order: list[str], row_id: str, alert: Column, sent: Column, beat: Column, up: Column) -> DataFrame:
+    """``key, row_id, delivered_by, attempts`` of each alert: one that is not sent at once is tried again at every
+    later heartbeat of its key until the receiver is up (null: it is still waiting).
+
+    One pass back and one forth over each key in order; no pairs of alerts and heartbeats are made.
+    """
+    rows = rows.select(key, *[c for c in order if c != row_id], row_id, alert.alias("_alert"), sent.alias("_sent"), beat.alias("_beat"), (beat & up).alias("_up"))
+    w = Window.partitionBy(key)
+    rows = rows.withColumn("_n", F.count_if("_beat").over(w.orderBy(*order))).withColumn("_all", F.count_if("_beat").over(w))
+    taker = F.last(F.when(F.col("_up"), F.struct(F.col(row_id).alias("id"), F.col("_n").alias("n"))), ignorenulls=True)
+    rows = rows.withColumn("_by", taker.over(w.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1))).where("_alert")
+    tried = F.coalesce("_by.n", "_all") - F.col("_n")
+    return rows.select(key, row_id, F.when(F.col("_sent"), F.col(row_id)).otherwise(F.col("_by.id")).alias("delivered_by"), F.when(F.col("_sent"), 1).otherwise(1 + tried).cast("long").alias("attempts"))

@@ -31,6 +31,27 @@ def interval_lookup(points: DataFrame, spans: DataFrame, keys: list[str], at: st
     return joined.groupBy(*points.columns).agg(F.array_sort(F.collect_set(inside)).alias("within"))
 
 
+def best_titles(titles: DataFrame, title: str, known: str, files: DataFrame, file: str, least: float = 75.0) -> DataFrame:
+    """``title, file, score`` for every different title: its known file where that exists (score 100), else the file of
+    the best weighted score of ``least`` at least (ties: the last by name), else null.
+
+    Only files that share a word with a title are scored; titles and files meet by an equi-join on their words.
+    A title with several known files takes the first by name.
+    """
+    from ..functions import similarity as sim
+
+    files = files.select(F.col(file).alias("file")).where("file is not null").distinct()
+    sure = titles.join(files, F.col(known) == F.col("file")).groupBy(F.col(title).alias("title")).agg(F.min("file").alias("sure"))
+    every = titles.select(F.col(title).alias("title")).where("title is not null").distinct().join(sure, "title", "left")
+    word = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))).alias("_w")
+    open_ = every.where("sure is null").select("title", word("title"))
+    pairs = open_.join(files.select("file", word("file")), "_w").select("title", "file").distinct()
+    scored = pairs.withColumn("score", sim.weighted_ratio_col("title", "file")).where(F.col("score") >= least)
+    best = scored.groupBy("title").agg(F.max(F.struct("score", "file")).alias("m"))
+    out = every.join(best, "title", "left")
+    return out.select("title", F.coalesce("sure", "m.file").alias("file"), F.when(F.col("sure").isNotNull(), 100.0).otherwise(F.col("m.score")).alias("score"))
+
+
 def nearest(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark_at: str, label: str) -> DataFrame:
     """``points`` with the label of the nearest mark of the keys (ties: the earlier mark, then the label).
 

@@ -47,6 +47,25 @@ def escalation_decide(d: Tables) -> DataFrame:
     return dec.escalate(h).select("event_id", "user_id", "decision", "reason", "repeated")
 
 
+DRAINED = f"""with e as (select event_id, user_id, {SECONDS} as t, event_type in ('purchase', 'error') as alert, event_type = 'view' as beat, event_id % 3 = 0 as up from events),
+ x as (select a.user_id, a.event_id, b.event_id as beat, b.up, row_number() over (partition by a.event_id order by b.t, b.event_id) as n
+  from e a left join e b on a.user_id = b.user_id and b.beat and (b.t > a.t or (b.t = a.t and b.event_id > a.event_id)) where a.alert),
+ g as (select user_id, event_id, min(case when up then n end) as n, count(beat) as every, arg_min(beat, case when up then n end) as beat from x group by 1, 2)
+select user_id, event_id, case when event_id % 2 = 0 then event_id else beat end as delivered_by, cast(case when event_id % 2 = 0 then 1 else 1 + coalesce(n, every) end as bigint) as attempts from g"""
+
+
+def _alerts(d: Tables) -> DataFrame:
+    """Every second alert (purchase, error) is sent at once; a heartbeat (view) finds the receiver up every third time."""
+    e = d.events.select("user_id", "event_id", seconds().alias("t"), F.col("event_type").isin("purchase", "error").alias("alert"), (F.col("event_type") == "view").alias("beat"))
+    return e.withColumns({"sent": F.col("event_id") % 2 == 0, "up": F.col("event_id") % 3 == 0})
+
+
+@R.add(DRAINED)
+def outbox_drain(d: Tables) -> DataFrame:
+    """Alerts tried again at heartbeats: which heartbeat delivers each, and after how many attempts."""
+    return dec.drain(_alerts(d), "user_id", ["t", "event_id"], "event_id", *(F.col(c) for c in ("alert", "sent", "beat", "up")))
+
+
 EPISODES = f"""select user_id, event_id, sum(n) over (partition by user_id order by t, event_id) as episode from (
   select *, cast(case when t - lag(t) over (partition by user_id order by t, event_id) < 21600.0 then 0 else 1 end as bigint) as n from (select user_id, event_id, {SECONDS} as t from events))"""
 

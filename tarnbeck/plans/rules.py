@@ -250,12 +250,9 @@ def manifest_left_join(d: Tables) -> DataFrame:
 
 @R.add()
 def fuzzy_best_join(d: Tables) -> DataFrame:
-    """Part names to types and brands by the best weighted score of 75 at least."""
-    titles = d.part.select(F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("title")).distinct()
-    files = d.part.select("p_name").distinct()
-    s = titles.join(files.withColumn("w", F.explode(F.split("p_name", " "))), F.array_contains(F.split("title", " "), F.col("w"))).select("title", "p_name").distinct()
-    s = s.withColumn("score", sim.weighted_ratio_col("title", "p_name")).where("score >= 75")
-    return s.groupBy("title").agg(F.max_by("p_name", F.struct("score", "p_name")).alias("file"), F.max("score").alias("score"))
+    """Types with names to part names by the best weighted score; for small parts the part name is known."""
+    titles = d.part.select(F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("title"), F.when(F.col("p_size") <= 5, F.col("p_name")).alias("known"))
+    return joins.best_titles(titles, "title", "known", d.part, "p_name")
 
 
 @R.add("""with q as (select p_name, p_size, p_partkey, array_to_string(string_split(p_type || ' ' || p_brand, ' ')[1:1], ' ') as lead from part)
@@ -348,11 +345,18 @@ def exact_layer(d: Tables) -> DataFrame:
     return found.groupBy("udk_id").agg(F.count("*").alias("n_texts"), F.count_if(F.col("t") == F.col("p")).alias("n_equal"))
 
 
-@R.add("select w as fragment, count(*) as n_phrases from (select distinct p_name, unnest(string_split(p_name, ' ')) as w from part) group by 1")
+@R.add("""with p as (select distinct p_name from part), w as (select distinct unnest(string_split(p_name, ' ')) as fragment from p)
+select fragment, count(*) as n_phrases from w join p on contains(p_name, fragment) where fragment <> '' group by 1""")
 def fragment_ambiguity(d: Tables) -> DataFrame:
-    """How many phrases each word of the dictionary occurs in."""
+    """How many phrases hold each word of the dictionary, inside a longer word too.
+
+    The pieces of a phrase's words are listed and met by equality, so no word is compared with every phrase.
+    """
     p = d.part.select("p_name").distinct()
-    return p.select("p_name", F.explode(F.array_distinct(F.split("p_name", " "))).alias("fragment")).groupBy("fragment").agg(F.count("*").alias("n_phrases"))
+    w = p.select("p_name", F.explode(F.array_distinct(F.filter(F.split("p_name", " "), lambda x: x != ""))).alias("w"))
+    at = w.select("p_name", "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i"))
+    pieces = at.select("p_name", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - F.col("i") + 1), lambda n: F.substring("w", F.col("i"), n))).alias("fragment")).distinct()
+    return pieces.join(w.select(F.col("w").alias("fragment")).distinct(), "fragment", "left_semi").groupBy("fragment").agg(F.count("*").alias("n_phrases"))
 
 
 @R.add("""with c as (select conv_id, turn, text, coalesce(lag(text) over (partition by conv_id order by turn), '') as ctx from conversations),

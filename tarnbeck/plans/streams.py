@@ -15,7 +15,7 @@ from ..sources.files import scratch
 from ..sources.sinks import deliver_once
 from ..streaming import processors as p
 from .base import Registry, Tables, confidence, seconds
-from .ordered import HITS, WINDOW
+from .ordered import DRAINED, HITS, WINDOW, _alerts
 
 R = Registry()
 
@@ -65,6 +65,19 @@ def stream_escalation(d: Tables) -> DataFrame:
     return out.select("event_id", "user_id", "n_same", "n_distinct")
 
 
+@R.add(f"select * from ({DRAINED}) where delivered_by is not null")
+def stream_outbox_drain(d: Tables) -> DataFrame:
+    """Alerts leave the stream when they are delivered, at once or at a later heartbeat."""
+    return through_stream(_alerts(d), lambda s: p.drain(s, "user_id", ["t", "event_id"], "event_id"), order=F.col("t"))
+
+
+@R.add("""select a.conv_id, a.turn, coalesce(string_agg(b.text, ' ' order by b.turn), '') as context from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn < a.turn and b.turn >= a.turn - 2 group by 1, 2""")
+def stream_context(d: Tables) -> DataFrame:
+    """Each turn's recent transcripts, from a state pruned to the window: the batch query's rows, as a stream."""
+    c = d.conversations.select("conv_id", "turn", F.col("turn").cast("double").alias("t"), "text")
+    return through_stream(c, lambda s: p.recent_context(s, "conv_id", "t", "turn", "text", 2.0), order=F.col("turn"))
+
+
 @R.add()
 def stream_timeout(d: Tables) -> DataFrame:
     """Silent journeys as the watermark passes their grace."""

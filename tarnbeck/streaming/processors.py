@@ -99,6 +99,58 @@ def escalate(hits: DataFrame, key: str, at: str, order: str, phrase: str, window
     return hits.select(key, at, order, phrase).groupBy(key).applyInPandasWithState(step, rows, kept, "append", GroupStateTimeout.NoTimeout)
 
 
+def drain(rows: DataFrame, key: str, order: list[str], row_id: str) -> DataFrame:
+    """``key, row_id, delivered_by, attempts``: alerts when they are delivered, at once or by a later heartbeat.
+
+    ``rows`` have ``alert, sent, beat, up`` (booleans).  The state is each key's waiting alerts with their attempts.
+    """
+    fields = dict(rows.dtypes)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting = dict(zip(*(list(x) for x in state.get), strict=True)) if state.exists else {}
+        out = []
+        for r in pd.concat(list(batches)).sort_values(order).itertuples(index=False):
+            me = int(getattr(r, row_id))
+            if r.beat and waiting:
+                waiting = {a: n + 1 for a, n in waiting.items()}
+                if r.up:
+                    out += [(k[0], a, me, n) for a, n in waiting.items()]
+                    waiting = {}
+            if r.alert and r.sent:
+                out.append((k[0], me, me, 1))
+            elif r.alert:
+                waiting[me] = 1
+        state.update((list(waiting), list(waiting.values())))
+        if out:
+            yield pd.DataFrame(out, columns=[key, row_id, "delivered_by", "attempts"])
+
+    columns = [key, *[c for c in order if c != row_id], row_id, "alert", "sent", "beat", "up"]
+    kind = f"{key} {fields[key]}, {row_id} long, delivered_by long, attempts long"
+    return rows.select(*columns).groupBy(key).applyInPandasWithState(step, kind, "ids array<long>, tries array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def recent_context(rows: DataFrame, key: str, at: str, order: str, text: str, span: float) -> DataFrame:
+    """``key, order, context`` as each transcript arrives: those before it, no more than ``span`` earlier, in order.
+
+    The state is pruned to the span.
+    """
+    fields = dict(rows.dtypes)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*(list(x) for x in state.get), strict=True)) if state.exists else []
+        out = []
+        for t, o, x in sorted((r for b in batches for r in zip(b[at], b[order], b[text], strict=True)), key=lambda r: r[:2]):
+            held = [(u, y) for u, y in held if u >= t - span]
+            out.append((k[0], o, " ".join(y for _, y in held if y is not None)))
+            held.append((t, x))
+        state.update(([t for t, _ in held], [x for _, x in held]))
+        if out:
+            yield pd.DataFrame(out, columns=[key, order, "context"])
+
+    kind = f"{key} {fields[key]}, {order} {fields[order]}, context string"
+    return rows.select(*dict.fromkeys([key, at, order, text])).groupBy(key).applyInPandasWithState(step, kind, "ts array<double>, xs array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
 def timeouts(beats: DataFrame, key: str, at: str, triggered: str, lateness: str = "0 seconds") -> DataFrame:
     """``key, status, last_ms``: journeys silent for longer than their grace, by event time and watermark."""
     fields = dict(beats.dtypes)

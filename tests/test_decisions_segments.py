@@ -117,3 +117,43 @@ def test_plans_are_pushed_down(spark, sf):
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,42)]" in plan
     scan = queries()["journeys_projection"](spark, sf)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<c_custkey:bigint,c_mktsegment:string>" in scan
+
+
+def test_many_phrases_and_nulls_are_counted(spark):
+    r = random.Random(5)
+    rows = [(1, float(r.randint(0, 400)), i, f"p{r.randint(0, 299)}") for i in range(900)]
+    df = spark.createDataFrame(rows, "k int, t double, o int, p string")
+    got = {(x.k, x.o): (x.n_same, x.n_distinct) for x in dec.repeats(df, ["k"], "p", "t", ["o"]).collect()}
+    assert got == fold(rows)
+    nulls = spark.createDataFrame([(1, 0.0, 1, None), (1, 1.0, 2, "a"), (1, 2.0, 3, None)], "k int, t double, o int, p string")
+    assert [x.n_distinct for x in dec.repeats(nulls, ["k"], "p", "t", ["o"]).orderBy("o").collect()] == [0, 1, 1]
+    assert dec.repeats(df.limit(0), ["k"], "p", "t", ["o"]).count() == 0
+
+
+def test_drain_matches_a_sequential_fold(spark):
+    r = random.Random(6)
+    rows = [(r.randint(0, 2), float(r.randint(0, 40)), i, *(r.random() < s for s in (0.4, 0.3, 0.4, 0.5))) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, t double, id long, alert boolean, sent boolean, beat boolean, up boolean")
+    want, waiting = {}, {}
+    for k, _, i, alert, sent, beat, up in sorted(rows, key=lambda x: (x[1], x[2])):
+        mine = waiting.setdefault(k, {})
+        if beat:
+            for a in list(mine):
+                mine[a] += 1
+                if up:
+                    want[a] = (i, mine.pop(a))
+        if alert and sent:
+            want[i] = (i, 1)
+        elif alert:
+            mine[i] = 1
+    want.update({a: (None, n) for m in waiting.values() for a, n in m.items()})
+    out = dec.drain(df, "k", ["t", "id"], "id", *(F.col(c) for c in ("alert", "sent", "beat", "up")))
+    assert {x.id: (x.delivered_by, x.attempts) for x in out.collect()} == want
+
+
+def test_known_titles_win_over_likeness(spark):
+    titles = spark.createDataFrame([("old red bolt", "zinc nut"), ("old red nut", "gone"), ("quite other", None), (None, "zinc nut"), ("old red bolt", None)], "title string, known string")
+    files = spark.createDataFrame([("red bolt",), ("red nut",), ("zinc nut",), (None,)], "f string")
+    got = {x.title: (x.file, x.score) for x in joins.best_titles(titles, "title", "known", files, "f").collect()}
+    assert got.keys() == {"old red bolt", "old red nut", "quite other"}
+    assert got["old red bolt"] == ("zinc nut", 100.0) and got["old red nut"][0] == "red nut" and got["quite other"] == (None, None)
