@@ -44,29 +44,27 @@ def parse_rules(rows: DataFrame, column: str) -> DataFrame:
     return rows.where(F.col(column).rlike(pattern)).select("*", at(1).alias("udk"), at(2).alias("layer"), at(3).cast("double").alias("confidence"), at(4).alias("stt"))
 
 
-#: Held-out texts are a small dimension; more of them are refused, not sent to every task.
+#: Held-out texts that are sent to a task at once; more of them are taken in blocks of about so many.
 MOST_HELD = 20_000
 
 
-def near_held_out(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: float) -> DataFrame:
+def near_held_out(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: float, most: int = MOST_HELD) -> DataFrame:
     """``rows`` with ``near``: whether a held-out text has a word-set ratio of ``least`` with the row's.
 
-    The held-out texts are counted and sent along; nothing is shuffled but the different texts.
+    The held-out texts are counted and sent along in blocks of about ``most``, each against every different text;
+    nothing is shuffled but the different texts.
     """
-    return _near(rows, text, held, held_text, least, sim.token_set_ratio)
+    return _near(rows, text, held, held_text, least, sim.token_set_ratio, most)
 
 
-def unlike_held_out(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: float) -> DataFrame:
+def unlike_held_out(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: float, most: int = MOST_HELD) -> DataFrame:
     """The rows whose text has a plain ratio under ``least`` with every held-out text (or under three words)."""
-    out = _near(rows, text, held, held_text, least, sim.ratio)
+    out = _near(rows, text, held, held_text, least, sim.ratio, most)
     return out.where(~F.col("near") | (F.size(tx.words(tx.normalize(F.col(text)))) < 3)).drop("near")
 
 
-def _near(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: float, score) -> DataFrame:
-    h = held.select(tx.normalize(F.col(held_text)).alias("h")).where("h <> ''").distinct().limit(MOST_HELD + 1).collect()
-    if len(h) > MOST_HELD:
-        raise ValueError(f"more than {MOST_HELD} held-out texts")
-    known = sorted(r["h"] for r in h)
+def _near_any(known: list[str], least: float, score):
+    """A function of texts: whether one of ``known`` has the score ``least`` with it."""
     ratio_only = score is sim.ratio
 
     @F.pandas_udf("boolean")
@@ -93,9 +91,20 @@ def _near(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: fl
             done[t] = hit
         return ts.map(done)
 
-    # each different text is scored once
-    found = rows.select(F.col(text), tx.normalize(F.col(text)).alias("_t")).where(F.col(text).isNotNull()).distinct()
-    found = found.select(text, near("_t").alias("near"))
+    return near
+
+
+def _near(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: float, score, most: int) -> DataFrame:
+    h = held.select(tx.normalize(F.col(held_text)).alias("h")).where("h <> ''").distinct()
+    blocks = max(1, -(-h.count() // most))
+    # each different text is scored once a block; a block has its own tasks, so a task holds one
+    every = rows.select(F.col(text), tx.normalize(F.col(text)).alias("_t")).where(F.col(text).isNotNull()).distinct()
+    found = None
+    for b in range(blocks):
+        known = sorted(r["h"] for r in h.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == b).collect())
+        hits = every.where(_near_any(known, least, score)(F.col("_t"))).select(text)
+        found = hits if found is None else found.unionByName(hits)
+    found = (found if blocks == 1 else found.distinct()).withColumn("near", F.lit(True))
     return rows.join(found, text, "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 

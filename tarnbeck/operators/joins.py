@@ -6,17 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def band_flag(rows: DataFrame, keys: list[str], at: str, width: float, agree: Column, row_id: str) -> DataFrame:
-    """``rows`` with ``agrees``: whether another row of the keys is within ``width`` and ``agree`` holds.
+def band_differs(rows: DataFrame, keys: list[str], at: str, width: float, label: str) -> DataFrame:
+    """``rows`` with ``agrees``: whether another row of the keys within ``width`` has another label.
 
-    Columns of the other row are named ``o_<column>`` in ``agree``.  Each row is put in its cell of
-    ``width`` and met with the cells beside it, so the join is on equal keys, not a product.
+    It has if the least or the greatest label in reach is not the row's own, so no pairs are made.  A key's
+    rows are dealt out to cells of 32 widths, those near an edge to both sides, so a hot key is many tasks.
+    A null key, place or label agrees with nothing.
     """
-    cell = F.floor(F.col(at) / width)
-    other = rows.select(*keys, *[F.col(c).alias(f"o_{c}") for c in rows.columns if c not in keys], F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
-    met = rows.withColumn("_cell", cell).join(other, [*keys, "_cell"])
-    met = met.where((F.abs(F.col(at) - F.col(f"o_{at}")) <= width) & (F.col(row_id) != F.col(f"o_{row_id}")) & agree)
-    return rows.join(met.select(row_id).distinct().withColumn("agrees", F.lit(True)), row_id, "left").withColumn("agrees", F.coalesce("agrees", F.lit(False)))
+    cell = lambda c: F.floor(c / (32.0 * width))
+    known = F.col(at).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    reach = F.array_distinct(F.array(cell(F.col(at) - width), cell(F.col(at)), cell(F.col(at) + width)))
+    dealt = rows.withColumn("_cell", F.explode(F.when(known, reach).otherwise(F.array(F.lit(None).cast("long")))))
+    over = f"over (partition by {', '.join([*keys, '_cell'])} order by {at} range between {float(width)}D preceding and {float(width)}D following)"
+    other = known & ((F.col("_least") != F.col(label)) | (F.col("_most") != F.col(label)))
+    out = dealt.withColumns({"_least": F.expr(f"min({label}) {over}"), "_most": F.expr(f"max({label}) {over}")})
+    return out.where(~known | (F.col("_cell") == cell(F.col(at)))).withColumn("agrees", F.coalesce(other, F.lit(False))).drop("_cell", "_least", "_most")
 
 
 def interval_lookup(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, label: str, cell: float) -> DataFrame:

@@ -6,20 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict) -> DataFrame:
     """Percentiles by nearest rank: of n sorted values the one at min(n - 1, int(n * p)), from 0.
 
-    Equal values are counted first, so a group is held as its distinct values with running counts;
+    A share may also be a function from the column n to a rank.  Rows are first counted by ranges of the value (64 to
+    an octave), which finds the range that a rank lies in; only that range's different values are then put in order.
     ``n`` and ``greatest`` come with it, and a null value does not count.
     """
     from pyspark.sql import Window
 
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    rows = rows.where(F.col(value).isNotNull())
+    x = F.col(value).cast("double")
+    size = F.floor(F.log2(F.least(F.abs(x), F.lit(1e300)) + 1.0) * 64.0)
+    # a range grows with the value, below zero too; not-a-number is the greatest
+    part = F.when(F.isnan(x), F.lit(1 << 20)).when(x < 0, -size - 1).otherwise(size).cast("long")
+    counts = rows.groupBy(*keys, part.alias("_b")).agg(F.count("*").alias("_c"), F.max(value).alias("_m"))
     w = Window.partitionBy(*keys)
-    counts = counts.withColumn("_upto", F.sum("_c").over(w.orderBy("_v"))).withColumn("_n", F.sum("_c").over(w))
-    at = lambda p: F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(float(p))))
-    picks = [F.min(F.when(F.col("_upto") > at(p), F.col("_v"))).alias(name) for name, p in shares.items()]
-    return counts.groupBy(*keys).agg(*picks, F.max("_v").alias("greatest"), F.first("_n").alias("n"))
+    counts = counts.withColumn("_upto", F.sum("_c").over(w.orderBy("_b"))).withColumn("_n", F.sum("_c").over(w))
+    at = lambda p: p(F.col("_n")) if callable(p) else F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(float(p))))
+    found = [F.min(F.when(F.col("_upto") > at(p), F.struct("_b", (at(p) - F.col("_upto") + F.col("_c")).alias("rank")))).alias(name) for name, p in shares.items()]
+    groups = counts.groupBy(*keys).agg(*found, F.max("_m").alias("greatest"), F.first("_n").alias("n"))
+    wanted = groups.select(*keys, "greatest", "n", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), f"{name}._b", f"{name}.rank") for name in shares])).alias("_s"))
+    wanted = wanted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "greatest", "n", "_s.name", F.col("_s._b").alias("_at"), "_s.rank")
+    # the groups' ranges meet the values of the same range only
+    same = F.col("_b") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    chosen = wanted.select(*[f"_k{i}" for i in range(len(keys))], "_at").distinct()
+    values = rows.select(*keys, F.col(value).alias("_v"), part.alias("_b")).join(chosen, same, "left_semi").groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_c"))
+    values = values.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v")))
+    met = values.join(wanted, same).where(F.col("_upto") > F.col("rank"))
+    return met.groupBy(*keys).agg(*[F.min(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in shares], F.first("greatest").alias("greatest"), F.first("n").alias("n"))
 
 
 def confusion(rows: DataFrame, keys: list[str], truth: Column, said: Column) -> DataFrame:

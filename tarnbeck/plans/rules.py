@@ -193,7 +193,7 @@ def branch_fusion(d: Tables) -> DataFrame:
 select a.event_id, exists (select 1 from e b where b.user_id = a.user_id and b.event_type <> a.event_type and abs(b.t - a.t) <= 3600) as agrees from e a""")
 def band_self_join_agree(d: Tables) -> DataFrame:
     e = d.events.select("event_id", "user_id", "event_type", seconds().alias("t"))
-    return joins.band_flag(e, ["user_id"], "t", 3600.0, F.col("event_type") != F.col("o_event_type"), "event_id").select("event_id", "agrees")
+    return joins.band_differs(e, ["user_id"], "t", 3600.0, "event_type").select("event_id", "agrees")
 
 
 SPANS = f"select user_id, event_id as span, event_type as spk, {SECONDS} as a, {SECONDS} + value * 600 as b from events where event_type in ('signup', 'purchase')"

@@ -78,6 +78,14 @@ def test_nearest_rank_and_sweep(spark):
     df = spark.createDataFrame([(1.0, True), (2.0, False), (None, True)], "v double, y boolean")
     r = m.nearest_rank(df.withColumn("k", F.lit(1)), ["k"], "v", {"p50": 0.5, "p95": 0.95}).first()
     assert (r.p50, r.p95, r.greatest, r.n) == (2.0, 2.0, 2.0, 2)
+    rnd = random.Random(7)
+    vals = [(k, rnd.choice([rnd.gauss(0, 50), float(rnd.randint(-3, 3)), 100.0 + rnd.random() / 100, float("inf")])) for k in ["a", None, "a", "b"] for _ in range(60)]
+    got = m.nearest_rank(spark.createDataFrame(vals, "k string, v double"), ["k"], "v", {"p5": 0.05, "p95": 0.95, "low": lambda n: F.floor((n - 1) / 2)}).collect()
+    for x in got:
+        own = sorted(v for k, v in vals if k == x.k)
+        at = [min(len(own) - 1, int(len(own) * p)) for p in (0.05, 0.95)]
+        assert (x.p5, x.p95, x.low, x.greatest, x.n) == (own[at[0]], own[at[1]], own[(len(own) - 1) // 2], own[-1], len(own))
+    assert {x.k for x in got} == {"a", "b", None}
     rnd = random.Random(2)
     rows = [(rnd.choice([rnd.random(), rnd.randint(0, 100) / 100]), rnd.random() < 0.4) for _ in range(200)]
     s = spark.createDataFrame(rows, "s double, y boolean")
@@ -104,7 +112,7 @@ def test_joins_match_brute_force(spark):
     s = spark.createDataFrame(spans, "k int, a double, b double, n string")
     got = {x.i: x.within for x in joins.interval_lookup(p, s, ["k"], "t", "a", "b", "n", 10.0).collect()}
     assert got == {i: sorted({n for q, a, b, n in spans if q == k and a <= t <= b}) for k, i, t, _ in pts}
-    got = {x.i: x.agrees for x in joins.band_flag(p, ["k"], "t", 3.0, F.col("c") != F.col("o_c"), "i").collect()}
+    got = {x.i: x.agrees for x in joins.band_differs(p, ["k"], "t", 3.0, "c").collect()}
     assert got == {i: any(q == k and j != i and abs(u - t) <= 3 and d != c for q, j, u, d in pts) for k, i, t, c in pts}
     got = {x.i: x.nearest for x in joins.nearest(p, s, ["k"], "t", "a", "n").collect()}
     assert got == {i: min(((abs(a - t), a, n) for q, a, _, n in spans if q == k), default=(0, 0, None))[2] for k, i, t, _ in pts}
