@@ -28,15 +28,33 @@ def band_differs(rows: DataFrame, keys: list[str], at: str, width: float, label:
 def interval_lookup(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, label: str, cell: float) -> DataFrame:
     """``points`` with ``within``: sorted distinct labels of the spans that hold the point (ends included).
 
-    A span is listed in each cell it touches, so points meet only the spans of their cell.
+    A span longer than ``cell`` takes cells of that width doubled as often as it needs, so it is listed in three at
+    most; points are listed once for each width in use (not over 64 for lengths that differ by up to 2**64).
     """
-    listed = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor(F.col(end) / cell))))
-    p = points.withColumn("_cell", F.floor(F.col(at) / cell))
-    joined = p.join(listed.select(*keys, "_cell", start, end, label), [*keys, "_cell"], "left")
+    spans = spans.where(F.col(end) >= F.col(start))
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col(end) - F.col(start)) / cell))).cast("int")
+    wide = F.pow(F.lit(2.0), F.col("_level")) * cell
+    listed = spans.withColumn("_level", level)
+    levels = sorted(r["_level"] for r in listed.select("_level").distinct().collect()) or [0]
+    listed = listed.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / wide), F.floor(F.col(end) / wide))))
+    p = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]))).withColumn("_cell", F.floor(F.col(at) / wide))
+    joined = p.join(listed.select(*keys, "_level", "_cell", start, end, label), [*keys, "_level", "_cell"], "left")
     inside = F.when(F.col(at).between(F.col(start), F.col(end)), F.col(label))
     return joined.groupBy(*points.columns).agg(F.array_sort(F.collect_set(inside)).alias("within"))
 
 
+def beside(rows: DataFrame, few: DataFrame, most: int) -> DataFrame:
+    """Every row beside every row of ``few``, a stated set that is counted and sent along in blocks of about ``most``."""
+    blocks = max(1, -(-few.count() // most))
+    if blocks == 1:
+        return rows.crossJoin(F.broadcast(few))
+    block = F.pmod(F.xxhash64(*few.columns), F.lit(blocks))
+    out = rows.crossJoin(F.broadcast(few.where(block == 0)))
+    for b in range(1, blocks):
+        out = out.unionByName(rows.crossJoin(F.broadcast(few.where(block == b))))
+    return out
+
+
 def best_titles(titles: DataFrame, title: str, known: str, files: DataFrame, file: str, least: float = 75.0) -> DataFrame:
     """``title, file, score`` for every different title: its known file where that exists (score 100), else the file of
     the best weighted score of ``least`` at least (ties: the last by name), else null.

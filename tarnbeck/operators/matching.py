@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..config import RULES
 from ..functions import similarity as sim
 from ..functions import text as tx
+from .joins import beside
 
-#: A dictionary is a small dimension; one beyond this many phrases is refused, not broadcast.
+#: Phrases that are broadcast at once; a dictionary of more is met in blocks of about so many.
 MOST_PHRASES = 2_000
 
 
@@ -22,19 +23,16 @@ def derived_phrases(texts: DataFrame, column: str, n_words: int = 3, n: int = 20
     return texts.sparkSession.createDataFrame(rows, "udk_id string, phrase string, ord int")
 
 
-def against_phrases(texts: DataFrame, text: str, phrases: DataFrame) -> DataFrame:
+def against_phrases(texts: DataFrame, text: str, phrases: DataFrame, most: int = MOST_PHRASES) -> DataFrame:
     """Every text beside every phrase, both normalised (``t``, ``p``); fillers alone are left out.
 
-    The phrases are counted before they are broadcast, and each different text is met once: callers
+    The phrases are counted and broadcast in blocks of about ``most``, and each different text is met once: callers
     join the result back by ``text``.
     """
-    n = phrases.count()
-    if n > MOST_PHRASES:
-        raise ValueError(f"{n} phrases; at most {MOST_PHRASES} are matched at once")
     # normalised before the distinct: an aggregate is not inlined, so each text is normalised once, not once a pair
     t = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), tx.normalize(F.col(text)).alias("t")).distinct()
     t = t.where((F.col("t") != "") & ~tx.is_non_distinctive(F.col("t")))
-    return t.crossJoin(F.broadcast(phrases.withColumn("p", tx.normalize(F.col("phrase"))).distinct()))
+    return beside(t, phrases.withColumn("p", tx.normalize(F.col("phrase"))).distinct(), most)
 
 
 def exact_layer(pairs: DataFrame) -> DataFrame:

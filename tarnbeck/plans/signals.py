@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import audio, vectors as v
+from ..operators import joins
 from ..sources import frames
 from .base import CONF, Registry, Tables, confidence
 
@@ -25,11 +26,7 @@ def _phrase_vectors(d: Tables) -> DataFrame:
 
 
 def _beside(d: Tables) -> DataFrame:
-    p = _phrase_vectors(d)
-    n = p.count()
-    if n > 1000:
-        raise ValueError(f"{n} phrase vectors; at most 1000 are broadcast")
-    return d.embeddings.crossJoin(F.broadcast(p))
+    return joins.beside(d.embeddings, _phrase_vectors(d), 1000)
 
 
 @R.add(f"select vec_id, phrase, round({DOT.format('embedding', 'p')} / sqrt({DOT.format('embedding', 'embedding')} * {DOT.format('p', 'p')}), 5) + 0.0::double as cosine from embeddings, ({PHRASE_VECTORS})")

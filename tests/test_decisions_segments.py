@@ -112,6 +112,8 @@ def test_joins_match_brute_force(spark):
     s = spark.createDataFrame(spans, "k int, a double, b double, n string")
     got = {x.i: x.within for x in joins.interval_lookup(p, s, ["k"], "t", "a", "b", "n", 10.0).collect()}
     assert got == {i: sorted({n for q, a, b, n in spans if q == k and a <= t <= b}) for k, i, t, _ in pts}
+    assert {x.i: x.within for x in joins.interval_lookup(p, s, ["k"], "t", "a", "b", "n", 0.5).collect()} == got
+    assert not any(x.within for x in joins.interval_lookup(p, s.limit(0), ["k"], "t", "a", "b", "n", 0.5).collect())
     got = {x.i: x.agrees for x in joins.band_differs(p, ["k"], "t", 3.0, "c").collect()}
     assert got == {i: any(q == k and j != i and abs(u - t) <= 3 and d != c for q, j, u, d in pts) for k, i, t, c in pts}
     got = {x.i: x.nearest for x in joins.nearest(p, s, ["k"], "t", "a", "n").collect()}

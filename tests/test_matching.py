@@ -60,7 +60,8 @@ def test_normalize_keeps_combining_marks(spark):
     assert got == [plain(t) for t in texts]
 
 
-def test_dictionary_is_bounded(spark):
-    many = spark.range(mt.MOST_PHRASES + 1).selectExpr("cast(id as string) as udk_id", "cast(id as string) as phrase", "cast(id as int) as ord")
-    with pytest.raises(ValueError):
-        mt.against_phrases(spark.createDataFrame([("a",)], "x string"), "x", many)
+def test_large_dictionaries_are_met_in_blocks(spark, english):
+    texts = spark.createDataFrame([("Oh help me, please do",), ("the soup was cold",), ("save",)], "x string")
+    whole = mt.against_phrases(texts, "x", english)
+    blocks = mt.against_phrases(texts, "x", english, most=english.count() // 4)
+    assert blocks.columns == whole.columns and sorted(blocks.collect()) == sorted(whole.collect())
