@@ -143,7 +143,12 @@ def retention_expired(d: Tables) -> DataFrame:
     return d.customer.select("c_custkey").join(g, "c_custkey").where(late).select("c_custkey")
 
 
-@R.add()
+#: CRC-32 in DuckDB, byte by byte and bit by bit.
+CRC32 = """xor(4294967295::bigint, list_reduce(list_transform(range(octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), cast(2 * i + 1 as int), 2))::bigint),
+  lambda c, b: list_reduce(range(8), lambda r, k: case when r & 1 = 1 then xor(r >> 1, 3988292384::bigint) else r >> 1 end, xor(c, b)), 4294967295::bigint))"""
+
+
+@R.add(f"select page_id, case when {CRC32.format('url')} % 2 = 0 then 'dev' else 'sealed' end as half from pages")
 def crc_split(d: Tables) -> DataFrame:
     return d.pages.select("page_id", F.when(F.crc32(F.encode("url", "utf-8")) % 2 == 0, "dev").otherwise("sealed").alias("half"))
 

@@ -73,18 +73,30 @@ def softmax_binary(d: Tables) -> DataFrame:
     return d.embeddings.select("vec_id", F.round(v.softmax_binary(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")), 9).alias("p"))
 
 
-@R.add()
+#: Warping in DuckDB: cell after cell of the table of eight by eight frames, with the last nine cells at hand.
+FRAMES = "list_transform(range(8), lambda f: list_transform({0}[8 * f + 1:8 * f + 8], lambda x: x::double))"
+UNIT = "list_transform({0}, lambda f: list_transform(f, lambda x: x / greatest(sqrt(list_sum(list_transform(f, lambda y: y * y))), 1e-12)))"
+WARPED = f"""with recursive v as (select vec_id, {UNIT.format(FRAMES.format('embedding'))} as u from embeddings), w as (select phrase, {UNIT.format(FRAMES.format('p'))} as q from ({PHRASE_VECTORS})),
+c as (select vec_id, phrase, list_transform(range(64), lambda k: 1 - list_dot_product(u[k // 8 + 1], q[k % 8 + 1])) as cost from v, w),
+t as (select vec_id, phrase, cost, 0 as k, list_concat(list_transform(range(8), lambda i: 'inf'::double), [cost[1]]) as last from c
+  union all select vec_id, phrase, cost, k + 1, list_append(last[2:9], cost[k + 2] + least(last[2],
+    case when (k + 1) % 8 > 0 then last[9] else 'inf'::double end, case when (k + 1) % 8 > 0 then last[1] else 'inf'::double end)) from t where k < 63),
+d as (select vec_id, phrase, last[9] / 8 as distance from t where k = 63)"""
+
+
+@R.add(WARPED + " select vec_id, phrase, round(distance, 6) + 0.0::double as distance from d")
 def dtw_distance(d: Tables) -> DataFrame:
     """Each vector as eight frames of eight values, against each phrase's."""
-    return _beside(d).select("vec_id", "phrase", F.round(v.dtw_column(8)(F.col("embedding"), F.col("p")), 6).alias("distance"))
+    return _beside(d).select("vec_id", "phrase", (F.round(v.dtw_column(8)(F.col("embedding"), F.col("p")), 6) + 0.0).alias("distance"))
 
 
-@R.add()
+@R.add(WARPED + """ select vec_id, case when distance <= 0.18 then phrase end as phrase, round(distance, 6) + 0.0::double as distance from (
+  select vec_id, min(distance) as distance, arg_min(phrase, struct_pack(d := distance, p := phrase)) as phrase from d group by 1)""")
 def kws_spot(d: Tables) -> DataFrame:
     """The nearest phrase by warping distance, where it is near enough."""
     s = _beside(d).withColumn("distance", v.dtw_column(8)(F.col("embedding"), F.col("p")))
     g = s.groupBy("vec_id").agg(F.min_by("phrase", F.struct("distance", "phrase")).alias("phrase"), F.min("distance").alias("distance"))
-    return g.select("vec_id", F.when(F.col("distance") <= 0.18, F.col("phrase")).alias("phrase"), F.round("distance", 6).alias("distance"))
+    return g.select("vec_id", F.when(F.col("distance") <= 0.18, F.col("phrase")).alias("phrase"), (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 def _sound(d: Tables) -> DataFrame:

@@ -210,7 +210,16 @@ def kafka_payload_projection(d: Tables) -> DataFrame:
     return sent.select(F.col("key").cast("string"), v["user_id"].alias("user_id"), v["event_type"].alias("event_type"), v["value"].alias("value"))
 
 
-@R.add()
+def _hmac_sql(key: str, message: str) -> str:
+    """HMAC-SHA256 in DuckDB: the padded key before the message, and again before the first digest."""
+    inner, outer = (bytes(b ^ pad for b in key.encode().ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
+
+
+BODY = """'{"event_id":' || event_id || ',"event_type":' || to_json(event_type) || ',"value":' || cast(value as varchar) || '}'"""
+
+
+@R.add(f"select event_id, 'sha256=' || {_hmac_sql('secret', BODY)} as signature from events")
 def webhook_signature(d: Tables) -> DataFrame:
     from ..functions.security import hmac_hex
 
