@@ -16,6 +16,7 @@ from .pieces import encode
 from .quality_qda import quality_scores
 from .quality_rules import quality_rules
 from .quoting import NESTED_SQL, OP5_SQL, link_quotes, nested_quotes
+from .token_files import token_files
 from .warc import OP1_SQL, archive_and_read_back
 
 
@@ -81,6 +82,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to files and read back."""
+    return token_files(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline, one after another."""
     import corpus_pipeline
@@ -89,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_index, op2_template_decontamination, op3_quality_rules, op4_line_dedup, op5_quote_linking, op6_language_id, op7_compaction, op8_sentencepiece, op9_quality_qda, op10_ngram_jaccard, quoted_conversations, pipeline)}
+    return {f.__name__: f for f in (op1_warc_index, op2_template_decontamination, op3_quality_rules, op4_line_dedup, op5_quote_linking, op6_language_id, op7_compaction, op8_sentencepiece, op9_quality_qda, op10_ngram_jaccard, op12_token_files, quoted_conversations, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
