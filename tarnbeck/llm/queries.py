@@ -13,6 +13,7 @@ from .jaccard import jaccard_components
 from .language_id import language_scores
 from .line_dedup import duplicate_lines
 from .pieces import encode
+from .prefix_trie import OP11_SQL, conversation_trie
 from .quality_qda import quality_scores
 from .quality_rules import quality_rules
 from .quoting import NESTED_SQL, OP5_SQL, link_quotes, nested_quotes
@@ -82,6 +83,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to files and read back."""
     return token_files(_table(spark, sf_dir, "documents"))
@@ -95,8 +101,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_index, op2_template_decontamination, op3_quality_rules, op4_line_dedup, op5_quote_linking, op6_language_id, op7_compaction, op8_sentencepiece, op9_quality_qda, op10_ngram_jaccard, op12_token_files, quoted_conversations, pipeline)}
+    return {f.__name__: f for f in (op1_warc_index, op2_template_decontamination, op3_quality_rules, op4_line_dedup, op5_quote_linking, op6_language_id, op7_compaction, op8_sentencepiece, op9_quality_qda, op10_ngram_jaccard, op11_prefix_trie, op12_token_files, quoted_conversations, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op5_quote_linking": OP5_SQL, "op7_compaction": OP7_SQL, "quoted_conversations": NESTED_SQL}
+    return {"op1_warc_index": OP1_SQL, "op5_quote_linking": OP5_SQL, "op7_compaction": OP7_SQL, "op11_prefix_trie": OP11_SQL, "quoted_conversations": NESTED_SQL}
