@@ -298,7 +298,8 @@ def read_token_digests(manifest: DataFrame, root: str) -> DataFrame:
 
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(UNIT_DOCS).cast("long")))
     units = with_starts(manifest).where("n_docs > 0").select("file", "start", "n_docs", starts.alias("from_doc")).withColumn("to_doc", F.least("n_docs", F.col("from_doc") + UNIT_DOCS)).drop("n_docs")
-    return units.repartition("file", "from_doc").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as a unit's row is small and its work is not
+    return units.repartition(tasks, "file", "from_doc").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(manifest: DataFrame, root: str, ids: Iterable[int | None]) -> DataFrame:
