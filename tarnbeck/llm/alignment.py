@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, enter, join_split, materialise, releases
+from .common import discard, enter, free_shuffles, join_split, materialise, releases
 from .token_files import BYTE_LETTERS
 
 BYTE_VOCABULARY, BYTE_SETTING = "/opt/tokenizers/byte_bpe_50k.json", "spark.tarnbeck.byte.vocabulary"
 PIECE_MODEL, PIECE_SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.tarnbeck.piece.model"
-BLOCK_DOCS = 2_048  # consecutive documents that share one list of segments
+BLOCK_DOCS = 8_192  # consecutive documents that share one list of segments
 #: White space to any of the three pattern languages in use (Java, Rust, Python), and where a segment may begin.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 BEGINS = " \n\t"
@@ -140,12 +140,17 @@ def stretches(encoded: DataFrame) -> DataFrame:
 
 
 def group_texts(links: DataFrame) -> DataFrame:
-    """``id, n_a, n_b, n_groups, n_links, groups``; ``groups`` as ``a1,a2|b1;a3|b2,b3``."""
+    """``id, n_a, n_b, n_groups, n_links, pairs, groups``; ``groups`` as ``a1,a2|b1;a3|b2,b3``, ``pairs`` as ``a * 2**32 + b`` of each link.
+
+    All of it by ``id``, as ``links`` are dealt out already.
+    """
     ids = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side)))), lambda x: x[side].cast("string")), ",")
-    groups = links.groupBy("id", "back").agg(F.concat(ids("a_ends"), F.lit("|"), ids("b_ends")).alias("text"), F.count("a_ends").alias("n_a"), F.count("b_ends").alias("n_b"), F.count("*").alias("n_links"))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "text")))
-    whole = groups.groupBy("id").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum("n_links").alias("n_links"), order.alias("order"))
-    return whole.select("id", "n_a", "n_b", "n_groups", "n_links", F.array_join(F.transform("order", lambda x: x["text"]), ";").alias("groups"))
+    pair = F.col("a").cast("long") * (1 << 32) + F.col("b")
+    groups = links.groupBy("id", "back").agg(F.concat(ids("a_ends"), F.lit("|"), ids("b_ends")).alias("text"), F.count("a_ends").alias("n_a"), F.count("b_ends").alias("n_b"), F.collect_list(pair).alias("own"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "text", "own")))
+    whole = groups.groupBy("id").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), order.alias("order"))
+    pairs = F.flatten(F.transform("order", lambda x: x["own"]))
+    return whole.select("id", "n_a", "n_b", "n_groups", F.size(pairs).cast("long").alias("n_links"), pairs.alias("pairs"), F.array_join(F.transform("order", lambda x: x["text"]), ";").alias("groups"))
 
 
 def _cut(docs: DataFrame, pattern: str, *keep: str) -> DataFrame:
@@ -178,17 +183,20 @@ def align(docs: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
         bad_rows = again.join(bad, ["block", "seg"]).select("block", "row").distinct()
         less = again.join(bad_rows, ["block", "row"], "left_semi").groupBy("seg").agg(F.count("*").alias("less"))
         weights = materialise(spark, encoded.where("same").select("seg", "id", "n").join(less, "seg", "left").select("id", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")), "weights")
-    links = materialise(spark, stretches(encoded.where("same").select("id", "a", "a_len", "b", "b_len")), "links")
-
-    pair = (F.col("a").cast("long") * (1 << 32) + F.col("b")).alias("pair")
-    by_pair = links.select("id", pair, "b").join(weights, "id").groupBy("pair", "b").agg(F.sum("n").alias("count"), F.count("*").alias("rows"))
-    by_pair = materialise(spark, by_pair, "pairs")
+    free_shuffles(spark)
+    made = materialise(spark, group_texts(stretches(encoded.where("same").select("id", "a", "a_len", "b", "b_len"))), "aligned")
+    free_shuffles(spark)
+    links = made.select("id", F.explode("pairs").alias("pair"))
+    by_pair = links.join(weights, "id").groupBy("pair").agg(F.sum("n").alias("count"), F.count("*").alias("rows"))
+    by_pair = materialise(spark, by_pair.withColumn("b", F.expr("pair & 4294967295")), "pairs")
     best = by_pair.groupBy("b").agg(F.max("count").alias("most"))  # a row per id of the vocabulary
     judged = by_pair.join(best, "b").select("pair", "rows", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
-    scores = join_split(links.select("id", "end", pair), judged, "pair", "rows", F.struct("id", "end")).groupBy("id").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    known = encoded.select("id", "seg", "same").join(group_texts(links), "id", "left").join(scores, "id", "left").drop("id")
+    scores = join_split(links.withColumn("spread", F.col("id")), judged, "pair", "rows", F.col("spread")).groupBy("id").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    local = materialise(spark, held.select("block", "seg").join(known, "seg"), "known-segments")
+    known = encoded.select("id", "seg", "same").join(made.drop("pairs").join(scores, "id"), "id", "left").select("seg", "same", *numbers, "groups")
+    known = materialise(spark, known, "known-segments")
+    discard(*([weights] if hasattr(weights, "_written_at") else []), made, by_pair, encoded)
+    local = held.select("block", "seg").join(known, "seg")
 
     parts = _cut(rows.repartition("block"), pattern, "doc_id").join(local.repartition("block").hint("shuffle_hash"), ["block", "seg"], "left")
     lost = F.col("seg").isNotNull() & F.col("same").isNull()
@@ -197,7 +205,6 @@ def align(docs: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
     per_row = parts.withColumn("same", same).groupBy("block", "row", "doc_id").agg(F.min("same").alias("same"), *(F.sum(c).alias(c) for c in numbers), order.alias("order"))
     groups = F.when(F.col("same"), F.array_join(F.transform("order", lambda x: x["groups"]), ";")).otherwise("")
     out = per_row.select("doc_id", *(F.when(F.col("same"), F.col(c)).otherwise(0).cast("long").alias(c) for c in numbers), groups.alias("groups"))
-    discard(*([weights] if hasattr(weights, "_written_at") else []), links, by_pair, encoded, held)
     return out
 
 

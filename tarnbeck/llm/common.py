@@ -84,8 +84,13 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         fs, at = _hadoop(t.sparkSession, t._written_at)
         fs.delete(at, True)
+    free_shuffles(tables[0].sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Collect the driver's garbage, upon which Spark deletes the shuffles and broadcasts of plans that are done with."""
     gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 HOT_ROWS = 1_000  # a key with fewer rows is never split
