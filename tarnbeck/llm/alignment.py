@@ -34,7 +34,7 @@ from .token_files import BYTE_LETTERS
 
 BYTE_VOCABULARY, BYTE_SETTING = "/opt/tokenizers/byte_bpe_50k.json", "spark.tarnbeck.byte.vocabulary"
 PIECE_MODEL, PIECE_SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.tarnbeck.piece.model"
-BLOCK_DOCS = 8_192  # consecutive documents that share one list of segments
+BLOCK_DOCS = 16_384  # consecutive documents that share one list of segments
 #: White space to any of the three pattern languages in use (Java, Rust, Python), and where a segment may begin.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 BEGINS = " \n\t"
@@ -140,7 +140,7 @@ def stretches(encoded: DataFrame) -> DataFrame:
 
 
 def group_texts(links: DataFrame) -> DataFrame:
-    """``id, n_a, n_b, n_groups, n_links, pairs, groups``; ``groups`` as ``a1,a2|b1;a3|b2,b3``, ``pairs`` as ``a * 2**32 + b`` of each link.
+    """``id, n_a, n_b, n_groups, pairs, groups``; ``groups`` as ``a1,a2|b1;a3|b2,b3``, ``pairs`` as ``a * 2**32 + b`` of each link.
 
     All of it by ``id``, as ``links`` are dealt out already.
     """
@@ -149,8 +149,7 @@ def group_texts(links: DataFrame) -> DataFrame:
     groups = links.groupBy("id", "back").agg(F.concat(ids("a_ends"), F.lit("|"), ids("b_ends")).alias("text"), F.count("a_ends").alias("n_a"), F.count("b_ends").alias("n_b"), F.collect_list(pair).alias("own"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "text", "own")))
     whole = groups.groupBy("id").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), order.alias("order"))
-    pairs = F.flatten(F.transform("order", lambda x: x["own"]))
-    return whole.select("id", "n_a", "n_b", "n_groups", F.size(pairs).cast("long").alias("n_links"), pairs.alias("pairs"), F.array_join(F.transform("order", lambda x: x["text"]), ";").alias("groups"))
+    return whole.select("id", "n_a", "n_b", "n_groups", F.flatten(F.transform("order", lambda x: x["own"])).alias("pairs"), F.array_join(F.transform("order", lambda x: x["text"]), ";").alias("groups"))
 
 
 def _cut(docs: DataFrame, pattern: str, *keep: str) -> DataFrame:
@@ -192,20 +191,23 @@ def align(docs: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
     best = by_pair.groupBy("b").agg(F.max("count").alias("most"))  # a row per id of the vocabulary
     judged = by_pair.join(best, "b").select("pair", "rows", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
     scores = join_split(links.withColumn("spread", F.col("id")), judged, "pair", "rows", F.col("spread")).groupBy("id").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    known = encoded.select("id", "seg", "same").join(made.drop("pairs").join(scores, "id"), "id", "left").select("seg", "same", *numbers, "groups")
-    known = materialise(spark, known, "known-segments")
+    # two numbers to a column, as the shuffles ahead hold a row per block and segment; sums of the columns hold both sums
+    two = lambda high, low: F.shiftleft(high, 32) + F.col(low)
+    aligned = made.join(scores, "id").select("id", two("n_a", "n_b").alias("tokens"), two("n_groups", "n_best").alias("marks"), "count_sum", "groups")
+    known = materialise(spark, encoded.select("id", "seg").join(aligned, "id", "left").select("seg", "tokens", "marks", "count_sum", F.coalesce("groups", F.lit("")).alias("groups")), "known-segments")
     discard(*([weights] if hasattr(weights, "_written_at") else []), made, by_pair, encoded)
     local = held.select("block", "seg").join(known, "seg")
 
     parts = _cut(rows.repartition("block"), pattern, "doc_id").join(local.repartition("block").hint("shuffle_hash"), ["block", "seg"], "left")
-    lost = F.col("seg").isNotNull() & F.col("same").isNull()
-    same = F.when(lost, F.raise_error(F.lit("align: the rows of docs came in another order"))).otherwise(F.coalesce("same", F.lit(False)))
-    order = F.array_sort(F.collect_list(F.struct("pos", "groups")))
-    per_row = parts.withColumn("same", same).groupBy("block", "row", "doc_id").agg(F.min("same").alias("same"), *(F.sum(c).alias(c) for c in numbers), order.alias("order"))
-    groups = F.when(F.col("same"), F.array_join(F.transform("order", lambda x: x["groups"]), ";")).otherwise("")
-    out = per_row.select("doc_id", *(F.when(F.col("same"), F.col(c)).otherwise(0).cast("long").alias(c) for c in numbers), groups.alias("groups"))
-    return out
+    lost = F.col("seg").isNotNull() & F.col("groups").isNull()
+    text = F.when(lost, F.raise_error(F.lit("align: the rows of docs came in another order"))).otherwise(F.coalesce("groups", F.lit("")))
+    order = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    sums = [F.sum(c).alias(c) for c in ("tokens", "marks", "count_sum")]
+    per_row = parts.withColumn("text", text).groupBy("block", "row", "doc_id").agg(F.min(F.col("text") != "").alias("same"), *sums, order.alias("order"))
+    high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND((1 << 32) - 1))
+    numbers = {"n_a": high("tokens"), "n_b": low("tokens"), "n_groups": high("marks"), "n_links": high("tokens") + low("tokens") - high("marks"), "n_best": low("marks"), "count_sum": F.col("count_sum")}
+    groups = F.when(F.col("same"), F.array_join(F.transform("order", lambda x: x["text"]), ";")).otherwise("")
+    return per_row.select("doc_id", *(F.when(F.col("same"), x).otherwise(0).cast("long").alias(c) for c, x in numbers.items()), groups.alias("groups"))
 
 
 def alignment_digests(docs: DataFrame) -> DataFrame:
