@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +90,21 @@ def split_pattern(cut_before: str) -> str:
     return f"(?<=[^{SPACES}])(?=[{cut_before}])" if cut_before else r"\z.\A"
 
 
+@contextmanager
+def joins_in_place(spark: SparkSession) -> Iterator[None]:
+    """Joins on (id, end) or (block, segment) take rows as they lie when both sides are dealt out by the first of the two.
+
+    Spark's default would deal both sides out again by both columns, token by token.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 _kept: dict[tuple, Encoders] = {}
 releases("alignment", _kept.clear)
 _ENCODED = "seg string, n long, same boolean, id long, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
@@ -158,7 +174,7 @@ def _cut(docs: DataFrame, pattern: str, *keep: str) -> DataFrame:
     return docs.select("block", "row", *keep, F.posexplode_outer(segs).alias("pos", "seg"))
 
 
-def align(docs: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
+def align(docs: DataFrame, files: tuple[str, str] | None = None, digests: bool = False) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` of every row of ``docs``.
 
     A text that is null or empty, or whose bytes either side does not give back, has no tokens: zeros and an empty
@@ -166,6 +182,7 @@ def align(docs: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
     an empty one.  A very long text is cut like any other, and one without white space is one segment.  ``docs`` is read
     three times and must give its rows in the same order each time, as a scan of files does; anything else is to be
     written first.  A row that came back elsewhere would find no segment, which raises an error.
+    The result is written to the shared folder.  ``digests``: ``groups_sha256`` in place of ``groups``.
     """
     spark = docs.sparkSession
     files = files or paths(spark)
@@ -183,7 +200,8 @@ def align(docs: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
         less = again.join(bad_rows, ["block", "row"], "left_semi").groupBy("seg").agg(F.count("*").alias("less"))
         weights = materialise(spark, encoded.where("same").select("seg", "id", "n").join(less, "seg", "left").select("id", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")), "weights")
     free_shuffles(spark)
-    made = materialise(spark, group_texts(stretches(encoded.where("same").select("id", "a", "a_len", "b", "b_len"))), "aligned")
+    with joins_in_place(spark):
+        made = materialise(spark, group_texts(stretches(encoded.where("same").select("id", "a", "a_len", "b", "b_len"))), "aligned")
     free_shuffles(spark)
     links = made.select("id", F.explode("pairs").alias("pair"))
     by_pair = links.join(weights, "id").groupBy("pair").agg(F.sum("n").alias("count"), F.count("*").alias("rows"))
@@ -207,10 +225,13 @@ def align(docs: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
     high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND((1 << 32) - 1))
     numbers = {"n_a": high("tokens"), "n_b": low("tokens"), "n_groups": high("marks"), "n_links": high("tokens") + low("tokens") - high("marks"), "n_best": low("marks"), "count_sum": F.col("count_sum")}
     groups = F.when(F.col("same"), F.array_join(F.transform("order", lambda x: x["text"]), ";")).otherwise("")
-    return per_row.select("doc_id", *(F.when(F.col("same"), x).otherwise(0).cast("long").alias(c) for c, x in numbers.items()), groups.alias("groups"))
+    text = F.when(groups == "", "").otherwise(F.sha2(groups, 256)).alias("groups_sha256") if digests else groups.alias("groups")
+    with joins_in_place(spark):
+        out = materialise(spark, per_row.select("doc_id", *(F.when(F.col("same"), x).otherwise(0).cast("long").alias(c) for c, x in numbers.items()), text), "alignment")
+    discard(held, known)
+    return out
 
 
 def alignment_digests(docs: DataFrame) -> DataFrame:
     """``align`` with the SHA-256 of ``groups`` in its place (an empty one stays empty)."""
-    out = align(docs)
-    return out.select(*[c for c in out.columns if c != "groups"], F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+    return align(docs, digests=True)
