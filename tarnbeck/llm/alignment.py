@@ -189,9 +189,9 @@ def align(docs: DataFrame, files: tuple[str, str] | None = None, digests: bool =
     pattern = split_pattern(Encoders(*files).cut_before())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("block", F.floor(F.col("row") / BLOCK_DOCS))
-    held = materialise(spark, _cut(rows, pattern).where("seg is not null").groupBy("block", "seg").agg(F.count("*").alias("n")), "block-segments")
+    held = materialise(spark, _cut(rows, pattern).where("seg is not null").groupBy("block", "seg").agg(F.count("*").alias("n")), "block-segments", "zstd")
     counted = held.groupBy("seg").agg(F.sum("n").alias("n")).select("seg", "n", F.monotonically_increasing_id().alias("id"))
-    encoded = materialise(spark, _encode(counted, files), "segments")
+    encoded = materialise(spark, _encode(counted, files), "segments", "zstd")
     weights = encoded.where("same").select("id", "n")
     if encoded.where("not same").limit(1).count():  # documents without tokens lend no counts
         bad = held.join(encoded.where("not same").select("seg"), "seg").select("block", "seg")
@@ -201,7 +201,7 @@ def align(docs: DataFrame, files: tuple[str, str] | None = None, digests: bool =
         weights = materialise(spark, encoded.where("same").select("seg", "id", "n").join(less, "seg", "left").select("id", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")), "weights")
     free_shuffles(spark)
     with joins_in_place(spark):
-        made = materialise(spark, group_texts(stretches(encoded.where("same").select("id", "a", "a_len", "b", "b_len"))), "aligned")
+        made = materialise(spark, group_texts(stretches(encoded.where("same").select("id", "a", "a_len", "b", "b_len"))), "aligned", "zstd")
     free_shuffles(spark)
     links = made.select("id", F.explode("pairs").alias("pair"))
     by_pair = links.join(weights, "id").groupBy("pair").agg(F.sum("n").alias("count"), F.count("*").alias("rows"))
@@ -212,9 +212,10 @@ def align(docs: DataFrame, files: tuple[str, str] | None = None, digests: bool =
     # two numbers to a column, as the shuffles ahead hold a row per block and segment; sums of the columns hold both sums
     two = lambda high, low: F.shiftleft(high, 32) + F.col(low)
     aligned = made.join(scores, "id").select("id", two("n_a", "n_b").alias("tokens"), two("n_groups", "n_best").alias("marks"), "count_sum", "groups")
-    known = materialise(spark, encoded.select("id", "seg").join(aligned, "id", "left").select("seg", "tokens", "marks", "count_sum", F.coalesce("groups", F.lit("")).alias("groups")), "known-segments")
+    known = materialise(spark, encoded.select("id", "seg").join(aligned, "id", "left").select("seg", "tokens", "marks", "count_sum", F.coalesce("groups", F.lit("")).alias("groups")), "known-segments", "zstd")
     discard(*([weights] if hasattr(weights, "_written_at") else []), made, by_pair, encoded)
-    local = held.select("block", "seg").join(known, "seg")
+    local = materialise(spark, held.select("block", "seg").join(known, "seg"), "local-segments", "zstd")
+    discard(held, known)
 
     parts = _cut(rows.repartition("block"), pattern, "doc_id").join(local.repartition("block").hint("shuffle_hash"), ["block", "seg"], "left")
     lost = F.col("seg").isNotNull() & F.col("groups").isNull()
@@ -228,7 +229,7 @@ def align(docs: DataFrame, files: tuple[str, str] | None = None, digests: bool =
     text = F.when(groups == "", "").otherwise(F.sha2(groups, 256)).alias("groups_sha256") if digests else groups.alias("groups")
     with joins_in_place(spark):
         out = materialise(spark, per_row.select("doc_id", *(F.when(F.col("same"), x).otherwise(0).cast("long").alias(c) for c, x in numbers.items()), text), "alignment")
-    discard(held, known)
+    discard(local)
     return out
 
 

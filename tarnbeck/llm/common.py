@@ -64,13 +64,13 @@ def passing(spark: SparkSession, path: str) -> str:
     return path
 
 
-def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def materialise(spark: SparkSession, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
     The folder goes when the driver ends, or earlier by ``discard``.
     """
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     made = spark.read.schema(df.schema).parquet(passing(spark, path))
     made._written_at = path
     return made
