@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import similarity as sim
 from ..functions import text as tx
+from . import fuzzyjoin
 
 #: Sound-alikes that a recogniser confuses (no negation is among them).
 CONFUSIONS = {
@@ -44,67 +43,24 @@ def parse_rules(rows: DataFrame, column: str) -> DataFrame:
     return rows.where(F.col(column).rlike(pattern)).select("*", at(1).alias("udk"), at(2).alias("layer"), at(3).cast("double").alias("confidence"), at(4).alias("stt"))
 
 
-#: Held-out texts that are sent to a task at once; more of them are taken in blocks of about so many.
-MOST_HELD = 20_000
-
-
-def near_held_out(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: float, most: int = MOST_HELD) -> DataFrame:
+def near_held_out(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: float) -> DataFrame:
     """``rows`` with ``near``: whether a held-out text has a word-set ratio of ``least`` with the row's.
 
-    The held-out texts are counted and sent along in blocks of about ``most``, each against every different text;
-    nothing is shuffled but the different texts.
+    Both sides are normalised.  A similarity join finds the pairs, so work follows texts that share rare grams; none is lost.
     """
-    return _near(rows, text, held, held_text, least, sim.token_set_ratio, most)
+    return _near(rows, text, held, held_text, least, fuzzyjoin.alike_words)
 
 
-def unlike_held_out(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: float, most: int = MOST_HELD) -> DataFrame:
+def unlike_held_out(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: float) -> DataFrame:
     """The rows whose text has a plain ratio under ``least`` with every held-out text (or under three words)."""
-    out = _near(rows, text, held, held_text, least, sim.ratio, most)
+    out = _near(rows, text, held, held_text, least, fuzzyjoin.alike_ratio)
     return out.where(~F.col("near") | (F.size(tx.words(tx.normalize(F.col(text)))) < 3)).drop("near")
 
 
-def _near_any(known: list[str], least: float, score):
-    """A function of texts: whether one of ``known`` has the score ``least`` with it."""
-    ratio_only = score is sim.ratio
-
-    @F.pandas_udf("boolean")
-    def near(ts: pd.Series) -> pd.Series:
-        sets = [set(x.split()) for x in known]
-        done: dict = {}
-        for t in ts:
-            if t in done:
-                continue
-            words, hit = set((t or "").split()), False
-            for x, own in zip(known, sets, strict=True):
-                if not t:
-                    break
-                # what lengths or word counts rule out is not scored
-                if ratio_only or not words & own:
-                    if 200.0 * min(len(t), len(x)) < least * (len(t) + len(x)):
-                        continue
-                elif words <= own or own <= words:
-                    hit = True
-                    break
-                if score(t, x) >= least:
-                    hit = True
-                    break
-            done[t] = hit
-        return ts.map(done)
-
-    return near
-
-
-def _near(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: float, score, most: int) -> DataFrame:
-    h = held.select(tx.normalize(F.col(held_text)).alias("h")).where("h <> ''").distinct()
-    blocks = max(1, -(-h.count() // most))
-    # each different text is scored once a block; a block has its own tasks, so a task holds one
+def _near(rows: DataFrame, text: str, held: DataFrame, held_text: str, least: float, pairs) -> DataFrame:
     every = rows.select(F.col(text), tx.normalize(F.col(text)).alias("_t")).where(F.col(text).isNotNull()).distinct()
-    found = None
-    for b in range(blocks):
-        known = sorted(r["h"] for r in h.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == b).collect())
-        hits = every.where(_near_any(known, least, score)(F.col("_t"))).select(text)
-        found = hits if found is None else found.unionByName(hits)
-    found = (found if blocks == 1 else found.distinct()).withColumn("near", F.lit(True))
+    hits = pairs(every.select("_t"), held.select(tx.normalize(F.col(held_text))), least).select(F.col("a").alias("_t")).distinct()
+    found = every.join(hits, "_t").select(text).withColumn("near", F.lit(True))
     return rows.join(found, text, "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 

@@ -37,10 +37,19 @@ def interval_lookup(points: DataFrame, spans: DataFrame, keys: list[str], at: st
     listed = spans.withColumn("_level", level)
     levels = sorted(r["_level"] for r in listed.select("_level").distinct().collect()) or [0]
     listed = listed.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / wide), F.floor(F.col(end) / wide))))
-    p = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]))).withColumn("_cell", F.floor(F.col(at) / wide))
+    distinct = points.groupBy(*points.columns).agg(F.count("*").alias("_n"))  # rows that repeat are looked up once
+    p = distinct.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]))).withColumn("_cell", F.floor(F.col(at) / wide))
     joined = p.join(listed.select(*keys, "_level", "_cell", start, end, label), [*keys, "_level", "_cell"], "left")
     inside = F.when(F.col(at).between(F.col(start), F.col(end)), F.col(label))
-    return joined.groupBy(*points.columns).agg(F.array_sort(F.collect_set(inside)).alias("within"))
+    found = joined.groupBy(*points.columns, "_n").agg(F.array_sort(F.collect_set(inside)).alias("within"))
+    return repeat_rows(found, "_n")
+
+
+def repeat_rows(rows: DataFrame, times: str, most: int = 4_096) -> DataFrame:
+    """Each row as often as its column ``times`` says, which goes; no array is longer than ``most`` or the number of such arrays."""
+    many = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / most)))
+    rows = rows.where(F.col(times) > 0).withColumn("_many", many)
+    return rows.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(most), F.col(times) - most * F.col("_many"))))).drop("_many", "_one", times)
 
 
 def beside(rows: DataFrame, few: DataFrame, most: int) -> DataFrame:
@@ -59,21 +68,16 @@ def best_titles(titles: DataFrame, title: str, known: str, files: DataFrame, fil
     """``title, file, score`` for every different title: its known file where that exists (score 100), else the file of
     the best weighted score of ``least`` at least (ties: the last by name), else null.
 
-    Only files that share a word with a title are scored; titles and files meet by an equi-join on their words.
-    A title with several known files takes the first by name.
+    The join loses no pair (``fuzzyjoin.best_weighted``).  A title with several known files takes the first by name.
     """
-    from ..functions import similarity as sim
+    from .fuzzyjoin import best_weighted
 
     files = files.select(F.col(file).alias("file")).where("file is not null").distinct()
     sure = titles.join(files, F.col(known) == F.col("file")).groupBy(F.col(title).alias("title")).agg(F.min("file").alias("sure"))
     every = titles.select(F.col(title).alias("title")).where("title is not null").distinct().join(sure, "title", "left")
-    word = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))).alias("_w")
-    open_ = every.where("sure is null").select("title", word("title"))
-    pairs = open_.join(files.select("file", word("file")), "_w").select("title", "file").distinct()
-    scored = pairs.withColumn("score", sim.weighted_ratio_col("title", "file")).where(F.col("score") >= least)
-    best = scored.groupBy("title").agg(F.max(F.struct("score", "file")).alias("m"))
+    best = best_weighted(every.where("sure is null").select("title"), files, least).toDF("title", "best", "score")
     out = every.join(best, "title", "left")
-    return out.select("title", F.coalesce("sure", "m.file").alias("file"), F.when(F.col("sure").isNotNull(), 100.0).otherwise(F.col("m.score")).alias("score"))
+    return out.select("title", F.coalesce("sure", "best").alias("file"), F.when(F.col("sure").isNotNull(), 100.0).otherwise(F.col("score")).alias("score"))
 
 
 def nearest(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark_at: str, label: str) -> DataFrame:

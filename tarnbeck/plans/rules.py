@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import NON_DISTINCTIVE, ORDINARY_PHRASES, RULES
+from ..config import FUNCTION_WORDS, NON_DISTINCTIVE, ORDINARY_PHRASES, RULES
 from ..functions import security as sec
 from ..functions import similarity as sim
 from ..functions import text as tx
@@ -16,6 +16,7 @@ from .ordered import NORM
 R = Registry()
 TEXT_NORM = NORM.format("text")
 WORDS = "list_filter(string_split({0}, ' '), lambda w: w <> '')"
+FUNCTION = "[" + ", ".join(f"'{w}'" for w in FUNCTION_WORDS) + "]"
 STOP = "[" + ", ".join(f"'{w}'" for w in NON_DISTINCTIVE) + "]"
 
 
@@ -51,8 +52,8 @@ def non_distinctive_filter(d: Tables) -> DataFrame:
 @R.add()
 def anchor_predicate(d: Tables) -> DataFrame:
     """Turns with a content word of a phrase (phrases derived from the turns' openings)."""
-    pairs = mt.against_phrases(d.conversations, "text", mt.derived_phrases(d.conversations, "text"))
-    return pairs.where(sim.has_anchor_col("p", "t")).groupBy("udk_id").agg(F.count("*").alias("n_texts"))
+    found = mt.anchored_phrases(d.conversations, "text", mt.derived_phrases(d.conversations, "text"))
+    return found.groupBy("udk_id").agg(F.count("*").alias("n_texts"))
 
 
 @R.add()
@@ -60,7 +61,7 @@ def phrase_distinctiveness(d: Tables) -> DataFrame:
     """Candidate phrases (part names) with the everyday phrase that they come too close to, if any."""
     everyday = d.spark.createDataFrame([(k, p) for k, p in enumerate(ORDINARY_PHRASES)], "k int, ordinary string")  # nine rows
     names = d.part.select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("phrase")).distinct()
-    s = names.crossJoin(F.broadcast(everyday)).withColumn("s", sim.token_set_ratio_col(F.lower("phrase"), F.lower("ordinary")) / 100)
+    s = names.crossJoin(F.broadcast(everyday)).withColumn("s", sim.token_set_ratio_col(tx.normalize(F.col("phrase")), tx.normalize(F.col("ordinary"))) / 100)
     first = s.groupBy("phrase").agg(F.max("s").alias("closest"), F.min(F.when(F.col("s") >= 0.75, F.struct("k", "ordinary"))).alias("hit"))
     enough = F.size(F.split("phrase", " ")) >= 3
     return first.select("phrase", "closest", "hit.ordinary", (enough & F.col("hit").isNull()).alias("accepted"))
@@ -69,7 +70,7 @@ def phrase_distinctiveness(d: Tables) -> DataFrame:
 @R.add()
 def phrase_intelligibility(d: Tables) -> DataFrame:
     heard = F.regexp_replace("p_name", "[aeiou]", "e")
-    return d.part.select("p_partkey", (sim.token_set_ratio_col(F.col("p_name"), heard) / 100 >= 0.6).alias("clear"))
+    return d.part.select("p_partkey", (sim.token_set_ratio_col(tx.normalize(F.col("p_name")), tx.normalize(heard)) / 100 >= 0.6).alias("clear"))
 
 
 @R.add("select doc_id, case when lang in ('en', 'hi', 'te', 'kn', 'ta') then lang else 'en' end as language from documents")
@@ -334,7 +335,7 @@ word_coverage = R.add(name="word_coverage")(_scored(sim.word_coverage_col))
 @R.add()
 def fuzzy_layer(d: Tables) -> DataFrame:
     """Pairs of turn and phrase that pass the fuzzy gate, by phrase."""
-    ok = mt.fuzzy_scores(mt.against_phrases(d.conversations, "text", mt.derived_phrases(d.conversations, "text"))).where(mt.passes_fuzzy())
+    ok = mt.fuzzy_scores(d.conversations, "text", mt.derived_phrases(d.conversations, "text")).where(mt.passes_fuzzy())
     return ok.groupBy("udk_id").agg(F.count("*").alias("n"), F.round(F.max(F.col("part") * RULES.discount), 6).alias("best"))
 
 
@@ -343,11 +344,18 @@ DERIVED = f"""with norm as (select distinct text, {TEXT_NORM} as t from conversa
  top as (select phrase, row_number() over (order by count(*) desc, phrase) as ord from o group by 1 order by 2 limit 20)"""
 
 
-@R.add(DERIVED + " select 'UDK_' || lpad(cast(ord as varchar), 2, '0') as udk_id, count(*) as n_texts, cast(count(case when t = phrase then 1 end) as bigint) as n_equal from norm join top on contains(t, phrase) group by 1")
+#: Texts that a phrase holds, with an anchor: a content word of the phrase as a word of the text.
+HITS = DERIVED + f""", held as (select text, t, phrase, ord, count(*) over (partition by text) as n from norm join top on contains(phrase, t) where t <> '' and len(list_filter({WORDS.format('t')}, lambda w: not list_contains({STOP}, w))) > 0),
+ hits as (select text, t, phrase, ord, true as whole, 1.0::double as confidence from norm join top on contains(t, phrase)
+  union all select text, t, phrase, ord, false, case when n > 1 then 0.65 else 1.0 end from held where t <> phrase and list_has_any(list_filter({WORDS.format('phrase')}, lambda w: not list_contains({FUNCTION}, w)), {WORDS.format('t')}))"""
+
+
+@R.add(HITS + " select 'UDK_' || lpad(cast(ord as varchar), 2, '0') as udk_id, count(case when whole then 1 end) as n_texts, cast(count(case when t = phrase then 1 end) as bigint) as n_equal, count(case when not whole then 1 end) as n_fragments from hits group by 1")
 def exact_layer(d: Tables) -> DataFrame:
-    """Texts that hold a phrase whole, by phrase."""
-    found = mt.exact_layer(mt.against_phrases(d.conversations, "text", mt.derived_phrases(d.conversations, "text"))).where(F.contains("t", "p"))
-    return found.groupBy("udk_id").agg(F.count("*").alias("n_texts"), F.count_if(F.col("t") == F.col("p")).alias("n_equal"))
+    """Texts that hold a phrase whole, or are a fragment of it, by phrase."""
+    found = mt.exact_layer(d.conversations, "text", mt.derived_phrases(d.conversations, "text"))
+    whole = F.col("kind") == "inside"
+    return found.groupBy("udk_id").agg(F.count_if(whole).alias("n_texts"), F.count_if(F.col("t") == F.col("p")).alias("n_equal"), F.count_if(~whole).alias("n_fragments"))
 
 
 @R.add("""with p as (select distinct p_name from part), w as (select distinct unnest(string_split(p_name, ' ')) as fragment from p)

@@ -6,6 +6,7 @@ the shared folder.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from ..sources.sinks import deliver_once
 from ..streaming import processors as p
 from .base import Registry, Tables, confidence, seconds
 from .ordered import DRAINED, HITS, WINDOW, _alerts
+from .rules import CRC32
 
 R = Registry()
 
@@ -134,3 +136,29 @@ def stream_language_streak(d: Tables) -> DataFrame:
     """Language checks (here: event types); a change needs three in a row."""
     c = d.events.select("user_id", "event_id", F.col("event_type").alias("v"))
     return through_stream(c, lambda s: p.language_streak(s, "user_id", "event_id", "v", 3, "click"), order=F.col("event_id"))
+
+
+#: Of a hundred events 10 are accepted at the third try, 20 at the second, 67 at once, and 3 never while the receiver is down.
+REFUSED = [[10, 3], [30, 2], [97, 1], [100, 0]]
+
+
+@R.add(f"""select event_id, case when lot < 10 then 3 when lot < 30 then 2 else 1 end::int as attempts, lot >= 97 as was_dead, 1::bigint as posts, user_id
+  from (select event_id, user_id, {CRC32.format("event_id::varchar")} % 100 as lot from events)""")
+def delivered_once(d: Tables) -> DataFrame:
+    """Events streamed to a receiver that refuses a stated share; dead letters go out again once it is up."""
+    from ..sources import delivery as dl
+
+    spark = d.spark
+    spark.dataSource.register(dl.Delivery)
+    source, to, letters, state = (scratch(spark, n) for n in ("stream-in", "receiver", "letters", "stream-state"))
+    rows = d.events.select("event_id", "user_id", "event_type", "value")
+    rows.repartition(4).write.parquet(source)
+    common = {"endpoint": to, "key": "event_id", "letters": letters, "secret": "s", "pause": "0"}
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    stream.writeStream.format("delivery").options(**common, refuse=json.dumps(REFUSED)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    dead = dl.dead_letters(spark, letters)
+    again = dead.select(F.from_json("body", rows.schema).alias("e")).select("e.*")
+    again.write.format("delivery").mode("append").options(**{**common, "letters": letters + "-again"}).save()
+    got = dl.received(spark, to).withColumn("e", F.from_json("body", rows.schema))
+    was = dead.select("key").distinct().withColumn("was_dead", F.lit(True))
+    return got.join(was, "key", "left").select("e.event_id", "attempts", F.coalesce("was_dead", F.lit(False)).alias("was_dead"), "posts", "e.user_id")

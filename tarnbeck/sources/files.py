@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    All paths of an application lie in one folder, which is deleted when the driver ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.gettempdir() + "/tarnbeck"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = f"{base.rstrip('/')}/run-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def through_files(df: DataFrame, kind: str, **options) -> DataFrame:
