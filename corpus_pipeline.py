@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tarnbeck.llm.common import passing, work_path
 from tarnbeck.llm.decontaminate import without_leaks
-from tarnbeck.llm.jaccard import jaccard_components
+from tarnbeck.llm.jaccard import first_of_groups, text_key
 from tarnbeck.llm.language_id import UNKNOWN, identify, train
 from tarnbeck.llm.line_dedup import dedup_lines
 from tarnbeck.llm.pieces import encode
@@ -45,9 +45,11 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10.  Of each component the document with the smallest id stays (and those without an id)."""
-    first = jaccard_components(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").select(*docs.columns)
+    """Operator 10.  Of each component of near copies the row with the smallest id stays (of one id, the smallest text
+    hash; rows equal in id and text stay together), and so do rows without an id.  A text that resembles no other stays."""
+    first = first_of_groups(docs)
+    same = (docs["doc_id"].cast("long") == first["doc_id"]) & (text_key(docs["doc_id"], docs["text"]) == first["key"])
+    return docs.where("doc_id is not null").join(first, same, "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,13 +103,14 @@ def _fall_together(g: np.ndarray) -> int:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, cls, slack``: the number of distinct shingles, the class of every row, and its ``_fall_together``."""
+    """``doc_id, key, n, cls, slack``: the number of distinct shingles, the class of every row, and its ``_fall_together``."""
 
     def f(parts):
         for ids, sets in parts:
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(g) for g in sets], pa.int64()), pa.array([set_class(g) for g in sets], pa.int64()), pa.array([_fall_together(g) for g in sets], pa.int32())], ["doc_id", "n", "cls", "slack"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(g) for g in sets], pa.int64()), pa.array([set_class(g) for g in sets], pa.int64()), pa.array([_fall_together(g) for g in sets], pa.int32())], ["doc", "n", "cls", "slack"])
 
-    return _rows(docs, f, "doc_id long, n long, cls long, slack int")
+    whole = docs.select(F.struct("doc_id", "key").alias("doc"), "text")
+    return _rows(whole, f, "doc struct<doc_id:long,key:long>, n long, cls long, slack int").select("doc.*", "n", "cls", "slack")
 
 
 def _distinct(parts, seen: set[int]):
@@ -275,7 +276,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
+    one, two = sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -302,7 +303,7 @@ def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
     that were changed each in its own way are far from each other, but near one that was changed little.
     """
     named = members.withColumn("of", F.struct("list", "dealt"))
-    hub = named.groupBy("of").agg(F.max_by(F.struct("rep", "n"), F.struct("in_long", -F.col("rep"))).alias("hub"), F.count("*").alias("members"))
+    hub = named.groupBy("of").agg(F.max_by(F.struct("rep", "n"), F.struct("in_long", F.bitwise_not("rep"))).alias("hub"), F.count("*").alias("members"))
     both = join_split(named, hub, "of", "members", F.col("rep")).where((F.col("rep") != F.col("hub.rep")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
     return both.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct().withColumn("shared", F.lit(0).cast("long"))
 
@@ -336,20 +337,21 @@ def _possible(pairs: DataFrame, hubs: DataFrame, rows: DataFrame, percent: int)
     return joined.where(F.col("shared") + F.least("la", "lb") >= _need(F.col("na"), F.col("nb"), F.col("ca"), F.col("cb"), percent)).select("a", "b", "shared")
 
 
-def _sets(spark, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``doc_id, grams`` of the documents in the pairs: one more pass over the texts, behind a Bloom filter."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = spark.sparkContext.broadcast(bloom(ids.select(F.xxhash64("doc_id").alias("h")), "h"))  # of a fixed size
+def _sets(spark, docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``node, grams`` of the classes in the pairs: one more pass over the texts, behind a Bloom filter, for a document of each."""
+    nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    firsts = reps.join(nodes, "cls", "left_semi").select(F.col("cls").alias("node"), "first.*")
+    wanted = spark.sparkContext.broadcast(bloom(firsts.select("key"), "key"))  # of a fixed size
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("jaccard")
         for batch in batches:
             batch = batch.filter(pa.array(inside(wanted.value, np.asarray(batch.column(2), np.int64).view(_U))))
             for part in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in shingle_sets(part.column(1))], pa.binary())], ["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([g.tobytes() for g in shingle_sets(part.column(1))], pa.binary())], ["doc_id", "key", "grams"])
 
-    sets = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(full, "doc_id long, grams binary")
-    made = materialise(spark, sets.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("grams").alias("grams")), "sets")
+    sets = docs.select("doc_id", "text", "key").mapInArrow(full, "doc_id long, key long, grams binary")
+    made = materialise(spark, sets.join(firsts, ["doc_id", "key"]).groupBy("node").agg(F.first("grams").alias("grams")), "sets")
     wanted.destroy()
     trim()
     return made
@@ -363,7 +365,7 @@ def _rest_of_lists(members: DataFrame, group: DataFrame, percent: int) -> DataFr
     """
     rows = members.join(group.toDF("rep", "component"), "rep", "left")
     rows = rows.select("list", "dealt", F.struct("list", "dealt").alias("of"), "sub", "weight", "rep", F.col("n").alias("size"), F.struct("in_long", "slack").alias("most"), F.coalesce("component", "rep").alias("component"))
-    several = rows.groupBy("of").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("rep", F.struct("most.in_long", -F.col("rep"))).alias("hub"), F.count("*").alias("members")).where("low <> high").drop("low", "high")
+    several = rows.groupBy("of").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("rep", F.struct("most.in_long", F.bitwise_not("rep"))).alias("hub"), F.count("*").alias("members")).where("low <> high").drop("low", "high")
     rows = join_split(rows, several, "of", "members", F.col("rep"))
     names = ("rep", "size", "in_long", "slack", "component")
     part = rows.groupBy("list", "dealt", "sub", "hub", "weight").agg(F.collect_list(F.struct("rep", "size", "most.in_long", F.col("most.slack").cast("long").alias("slack"), "component")).alias("p"))
@@ -413,18 +415,58 @@ def _rest_of_lists(members: DataFrame, group: DataFrame, percent: int) -> DataFr
     return sized.where(F.col("shared") >= _need(F.col("na"), F.col("nb"), F.col("ca"), F.col("cb"), percent)).select("a", "b")
 
 
+def text_key(doc_id, text):
+    """Stands for a text among rows of one id."""
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
+
+
+def _same_id(every: DataFrame) -> DataFrame:
+    """``a, b``: classes that rows of one doc_id belong to, each with the least of them."""
+    own = every.where("doc_id is not null and n > 0").select("doc_id", "cls").distinct()
+    least = own.groupBy("doc_id").agg(F.min("cls").alias("a"), F.count("*").alias("classes")).where("classes > 1")
+    return join_split(own, least, "doc_id", "classes", F.col("cls")).where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, least: int = FREQUENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text).
 
-    Null, empty and blank texts have no shingles and are components of their own; a row with a null
-    doc_id has a null component and links nothing; repeated rows give repeated rows; other columns are
-    ignored; an empty table gives no rows.  A very long text is hashed alone and has one set, however large.
+    Rows that share a doc_id are one document: their texts' links are its links.  Null, empty and blank texts have no
+    shingles and link nothing; a row with a null doc_id has a null component and links nothing; repeated rows give
+    repeated rows; other columns are ignored; an empty table gives no rows.  A very long text is hashed alone and has one
+    set, however large.
+    """
+    every, of = _grouped(docs, True, percent, chunk, least)
+    out = join_split(every, of.select("cls", "times", F.col("label.doc_id").alias("component")), "cls", "times", F.col("doc_id"), "left")
+    twice = every.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(F.col("n") == 0).alias("blank")).where("blank > 0 and rows > blank and doc_id is not null")
+    own = F.col("component")
+    if not twice.isEmpty():  # a blank row of a document that has other rows
+        named = out.where("n > 0").join(twice.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("also")).join(twice.select("doc_id", "rows"), "doc_id")
+        out, own = join_split(out, named, "doc_id", "rows", F.col("cls"), "left"), F.coalesce("component", "also")
+    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when((F.col("n") > 0), F.col("component")).otherwise(own), F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, key``: of each group of near copies the row with the least (doc_id, ``text_key``), and every row without shingles.
+
+    Rows that share an id are rows of their own, each with its own text; rows without an id are in no group and not here.
+    """
+    every, of = _grouped(docs, False, percent, CHUNK, FREQUENT)
+    out = join_split(every, of.select("cls", "times", "label"), "cls", "times", F.col("key"), "left")
+    return out.where("doc_id is not null and (n = 0 or (doc_id = label.doc_id and key = label.key))").select("doc_id", "key").distinct()
+
+
+def _grouped(docs: DataFrame, by_id: bool, percent: int, chunk: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, key, n, cls, slack`` of every row, and ``cls, times, label`` of every class: the least (doc_id, key) of its component.
+
+    The nodes are the classes, so an id that stands for several texts links none of them; with ``by_id`` such texts are linked.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("doc_id"), F.col("text")).alias("key"))
     every = materialise(spark, classes(docs), "classes")
     linked = docs.where("doc_id is not null and text is not null")
-    reps = materialise(spark, every.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("slack").alias("slack"), F.count("*").alias("times")), "reps")
+    reps = every.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("n").alias("n"), F.first("slack").alias("slack"), F.count("*").alias("times"))
+    reps = materialise(spark, reps.withColumn("rep", F.col("cls")), "reps")
     entries = int(reps.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0)
     bits = min(24, max(LEAST_BITS, (entries // BLOCK).bit_length()))
 
@@ -459,9 +501,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, chunk: int = CHU
 
     # each row's best candidate first; then what is not yet connected; then what only long lists propose
     both = pairs.union(pairs.select("b", "a", "shared"))
-    best = both.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("other"))).alias("m")).select(F.least("a", -F.col("m.other")).alias("a"), F.greatest("a", -F.col("m.other")).alias("b")).distinct()
-    sets = _sets(spark, linked, pairs)
-    links = materialise(spark, _verify(best, sets, percent), "links")
+    best = both.groupBy("a").agg(F.max(F.struct("shared", F.bitwise_not("b").alias("other"))).alias("m")).select(F.least("a", F.bitwise_not("m.other")).alias("a"), F.greatest("a", F.bitwise_not("m.other")).alias("b")).distinct()
+    sets = _sets(spark, linked, pairs, reps)
+    found_links = _verify(best, sets, percent)
+    links = materialise(spark, found_links.union(_same_id(every)) if by_id else found_links, "links")
     group = components(links)
     more = materialise(spark, _verify(_apart(pairs.join(best, ["a", "b"], "left_anti"), group), sets, percent), "links")
     if not more.isEmpty():
@@ -470,12 +513,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, chunk: int = CHU
     late = _rest_of_lists(members, group, percent).join(pairs, ["a", "b"], "left_anti")
     late = materialise(spark, late, "late-pairs")
     if not late.isEmpty():
-        more = materialise(spark, _verify(late, _sets(spark, linked, late), percent), "links")
+        more = materialise(spark, _verify(late, _sets(spark, linked, late, reps), percent), "links")
         group = group if more.isEmpty() else components(links.union(more))
 
-    of = reps.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"), "times")
+    of = reps.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"), "times", "first")
     of = materialise(spark, of, "class-components")
-    discard(reps, found, rows, members, pairs, late)
-    out = join_split(every, of, "cls", "times", F.col("doc_id"), "left")
-    alone = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    labels = of.groupBy("component").agg(F.min("first").alias("label"), F.count("*").alias("classes"))
+    named = materialise(spark, join_split(of, labels, "component", "classes", F.col("cls")).select("cls", "times", "label"), "class-labels")
+    discard(reps, found, rows, members, pairs, late, of)
+    return every, named

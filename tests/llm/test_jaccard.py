@@ -2,7 +2,7 @@ import random
 import re
 
 from tarnbeck.llm import common
-from tarnbeck.llm.jaccard import jaccard_components
+from tarnbeck.llm.jaccard import first_of_groups, jaccard_components
 
 
 def sets_of(text):
@@ -60,3 +60,27 @@ def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (0, "x")], "doc_id long, text string")
     assert sorted(map(tuple, jaccard_components(df).collect())) == [(0, 1, 0), (1, 2, 1), (1, 2, 1)]
     assert jaccard_components(df.limit(0)).count() == 0
+
+
+def test_ids_that_stand_for_several_texts(spark):
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    a, z = words("a", 60), words("z", 60)
+    rows = [(3, a), (5, a + " tail"), (5, z), (9, z + " end"), (9, None), (11, None), (12, words("q", 30)), (12, words("r", 30)), (13, words("r", 30) + " s")]
+    want = brute(rows)
+    assert {(d, c) for d, _, c in want} == {(3, 3), (5, 3), (9, 3), (11, 11), (12, 12), (13, 12)}
+    for layout in (rows, rows[1::2] + rows[::2]):
+        df = spark.createDataFrame(layout, "doc_id long, text string").repartition(3)
+        assert sorted((tuple(x) for x in jaccard_components(df).collect()), key=str) == want
+        stay = {r.doc_id: 0 for r in first_of_groups(df).collect()}
+        assert stay.keys() == {3, 5, 9, 11, 12}  # 5 with z alone, 9 with its null, 12 with both
+
+
+def test_rows_of_one_id_are_kept_by_text(spark, sf):
+    from corpus_pipeline import keep_one_of_near_copies
+
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    a, z = words("a", 60), words("z", 60)
+    rows = [(3, a), (5, a + " tail"), (5, z), (None, a), (7, z + " end"), (8, a)]
+    for layout in (rows[::-1],):
+        df = spark.createDataFrame(layout, "doc_id long, text string")
+        assert sorted(map(tuple, keep_one_of_near_copies(spark, df, sf).collect()), key=str) == sorted([(3, a), (5, z), (None, a)], key=str)

@@ -35,7 +35,7 @@ def test_edge_rows(spark, sf):
             path = corpus_pipeline.work_path(spark, "test")
             stage(spark, table, sf).write.parquet(path)
             table = spark.read.parquet(path)
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", k)[0] for k in queries() if k not in ("pipeline", "quoted_conversations")}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", k)[0] for k in queries() if k not in ("pipeline", "quoted_conversations")}
 
 
 def test_only_the_first_of_exact_copies_is_left(spark, sf):
