@@ -88,8 +88,12 @@ def discard(*tables: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Collect the driver's garbage, upon which Spark deletes the shuffles and broadcasts of plans that are done with."""
+    """Collect the driver's garbage, upon which Spark deletes the shuffles and broadcasts of plans that are done with.
+
+    The last plan stays known to Spark's own threads until they run another one, so a small one runs first.
+    """
     gc.collect()
+    spark.range(0, 64, 1, 8).groupBy(F.col("id") % 8).count().collect()
     spark._jvm.System.gc()
 
 
