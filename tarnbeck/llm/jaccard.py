@@ -339,8 +339,8 @@ def _possible(pairs: DataFrame, hubs: DataFrame, rows: DataFrame, percent: int)
 
 def _sets(spark, docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """``node, grams`` of the classes in the pairs: one more pass over the texts, behind a Bloom filter, for a document of each."""
-    nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    firsts = reps.join(nodes, "cls", "left_semi").select(F.col("cls").alias("node"), "first.*")
+    nodes = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    firsts = reps.join(nodes, "rep", "left_semi").select(F.col("rep").alias("node"), "first.*")
     wanted = spark.sparkContext.broadcast(bloom(firsts.select("key"), "key"))  # of a fixed size
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,11 +420,13 @@ def text_key(doc_id, text):
     return F.xxhash64(doc_id.cast("long"), text.cast("string"))
 
 
-def _same_id(every: DataFrame) -> DataFrame:
-    """``a, b``: classes that rows of one doc_id belong to, each with the least of them."""
+def _same_id(every: DataFrame, reps: DataFrame) -> DataFrame:
+    """``a, b``: nodes of classes that rows of one doc_id belong to, each with one of them."""
     own = every.where("doc_id is not null and n > 0").select("doc_id", "cls").distinct()
     least = own.groupBy("doc_id").agg(F.min("cls").alias("a"), F.count("*").alias("classes")).where("classes > 1")
-    return join_split(own, least, "doc_id", "classes", F.col("cls")).where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    pairs = join_split(own, least, "doc_id", "classes", F.col("cls")).where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    node = reps.select("cls", "rep")
+    return pairs.join(node.toDF("a", "x"), "a").join(node.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, least: int = FREQUENT) -> DataFrame:
@@ -459,14 +461,17 @@ def first_of_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def _grouped(docs: DataFrame, by_id: bool, percent: int, chunk: int, least: int) -> tuple[DataFrame, DataFrame]:
     """``doc_id, key, n, cls, slack`` of every row, and ``cls, times, label`` of every class: the least (doc_id, key) of its component.
 
-    The nodes are the classes, so an id that stands for several texts links none of them; with ``by_id`` such texts are linked.
+    The nodes are classes, so an id that stands for several texts links none of them; with ``by_id`` such texts are linked.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("doc_id"), F.col("text")).alias("key"))
     every = materialise(spark, classes(docs), "classes")
     linked = docs.where("doc_id is not null and text is not null")
     reps = every.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("n").alias("n"), F.first("slack").alias("slack"), F.count("*").alias("times"))
-    reps = materialise(spark, reps.withColumn("rep", F.col("cls")), "reps")
+    # a class goes by its least doc_id, or by its hash where several classes have that one
+    shared = reps.groupBy(F.col("first.doc_id").alias("id")).agg(F.count("*").alias("classes")).where("classes > 1").select("id")
+    reps = reps.join(shared, F.col("first.doc_id") == F.col("id"), "left").withColumn("rep", F.when(F.col("id").isNull(), F.col("first.doc_id")).otherwise(F.col("cls"))).drop("id")
+    reps = materialise(spark, reps, "reps")
     entries = int(reps.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0)
     bits = min(24, max(LEAST_BITS, (entries // BLOCK).bit_length()))
 
@@ -504,7 +509,7 @@ def _grouped(docs: DataFrame, by_id: bool, percent: int, chunk: int, least: int)
     best = both.groupBy("a").agg(F.max(F.struct("shared", F.bitwise_not("b").alias("other"))).alias("m")).select(F.least("a", F.bitwise_not("m.other")).alias("a"), F.greatest("a", F.bitwise_not("m.other")).alias("b")).distinct()
     sets = _sets(spark, linked, pairs, reps)
     found_links = _verify(best, sets, percent)
-    links = materialise(spark, found_links.union(_same_id(every)) if by_id else found_links, "links")
+    links = materialise(spark, found_links.union(_same_id(every, reps)) if by_id else found_links, "links")
     group = components(links)
     more = materialise(spark, _verify(_apart(pairs.join(best, ["a", "b"], "left_anti"), group), sets, percent), "links")
     if not more.isEmpty():
