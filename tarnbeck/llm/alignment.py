@@ -6,36 +6,44 @@ never reaches over such a place, and no piece of the other vocabulary does.  So
 segments, and every number of a document is a sum over its segments.  Each distinct segment is encoded and aligned
 once, however often it occurs:
 
-* its tokens of either side are exploded with their positions; a running sum of their lengths gives their ends;
-* the two sides are joined on (segment, end).  A row of the full join is one stretch of bytes between two
+* its tokens of either side are exploded with the bytes where they end;
+* the two sides meet on (segment, end).  A row of that is one stretch of bytes between two
   neighbouring ends, so it is one link, and each pair of overlapping tokens has exactly one such stretch; where both
   sides end there is a cut, and the running count of cuts is the group's number;
 * the tokens that cover a stretch are the next ones that end; links are counted over the corpus by pair, weighted by
   how often their segment occurs, and the highest count of each B id is the best.
 
-Segments are counted by block of consecutive documents, and their results return to the blocks that hold them, so a
-frequent segment has one row per block.  Documents with a segment whose bytes differ (they have no
-tokens) are found first and their segments taken out of the counts.
+Documents are cut by block of bounded size: a block has a list of its segments, each once with a number, and its documents as
+lists of these numbers.  Results return to the blocks that hold a segment, so a frequent one has one row per block, and a
+block's documents are put together beside that block's segments alone.  Documents with a segment whose bytes differ (they
+have no tokens) are found first and their segments taken out of the counts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, enter, free_shuffles, join_split, materialise, releases
+from .common import Texts, discard, enter, free_shuffles, join_split, materialise, releases, slices, trim
 from .token_files import BYTE_LETTERS
 
 BYTE_VOCABULARY, BYTE_SETTING = "/opt/tokenizers/byte_bpe_50k.json", "spark.tarnbeck.byte.vocabulary"
 PIECE_MODEL, PIECE_SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.tarnbeck.piece.model"
-BLOCK_DOCS = 16_384  # consecutive documents that share one list of segments
+BLOCK_DOCS, BLOCK_BYTES = 16_384, 24 << 20  # documents that share one list of segments, and bytes of their texts (a longer text comes alone)
+PASSES = 2  # the way back to the documents takes so many, each over a part of the blocks, whose shuffles are freed before the next
+LINKED = 1 << 18  # segments of documents that are put together at once
 #: White space to any of the three pattern languages in use (Java, Rust, Python), and where a segment may begin.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 BEGINS = " \n\t"
@@ -92,9 +100,9 @@ def split_pattern(cut_before: str) -> str:
 
 @contextmanager
 def joins_in_place(spark: SparkSession) -> Iterator[None]:
-    """Joins on (id, end) or (block, segment) take rows as they lie when both sides are dealt out by the first of the two.
+    """Joins on more columns take rows as they lie when both sides are dealt out by one of them.
 
-    Spark's default would deal both sides out again by both columns, token by token.
+    Spark's default would deal both sides out again by all columns, token by token.
     """
     name = "spark.sql.requireAllClusterKeysForCoPartition"
     was = spark.conf.get(name)
@@ -107,11 +115,11 @@ def joins_in_place(spark: SparkSession) -> Iterator[None]:
 
 _kept: dict[tuple, Encoders] = {}
 releases("alignment", _kept.clear)
-_ENCODED = "seg string, n long, same boolean, id long, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
+_ENCODED = "seg string, n long, same boolean, id long, a array<int>, a_end array<int>, b array<int>, b_end array<int>"
 
 
 def _encode(segments: DataFrame, files: tuple[str, str]) -> DataFrame:
-    """Ids and byte lengths of each segment on both sides, and whether both sides' bytes are the segment's."""
+    """Ids of each segment on both sides with the bytes where they end, and whether both sides' bytes are the segment's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("alignment")
@@ -119,40 +127,37 @@ def _encode(segments: DataFrame, files: tuple[str, str]) -> DataFrame:
             _kept[files] = Encoders(*files)
         e = _kept[files]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = part.column(0).to_pylist()
-                sides: list[list] = [[], [], [], []]
-                same = []
-                for s, x, y in zip(texts, e.a.encode_batch_fast(texts, add_special_tokens=False), e.pieces(texts), strict=True):
-                    raw, x = s.encode(), x.ids
-                    xs, ys = [e.a_bytes[i] for i in x], [e.b_bytes[i] if i >= 0 else b"" for i in y]
-                    good = b"".join(xs) == raw and b"".join(ys) == raw
-                    same.append(good)
-                    for side, values in zip(sides, (x, list(map(len, xs)), y, list(map(len, ys))), strict=True):
-                        side.append(np.array(values if good else [], np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(same), part.column(2), *(pa.array(x, pa.list_(pa.int32())) for x in sides)], ["seg", "n", "same", "id", "a", "a_len", "b", "b_len"])
+            for large in slices(batch, 0):
+                for at in range(0, large.num_rows, 1024):
+                    part = large.slice(at, 1024)
+                    texts = part.column(0).to_pylist()
+                    sides: list[list] = [[], [], [], []]
+                    same = []
+                    for s, x, y in zip(texts, e.a.encode_batch_fast(texts, add_special_tokens=False), e.pieces(texts), strict=True):
+                        raw, x = s.encode(), x.ids
+                        xs, ys = [e.a_bytes[i] for i in x], [e.b_bytes[i] if i >= 0 else b"" for i in y]
+                        good = b"".join(xs) == raw and b"".join(ys) == raw
+                        same.append(good)
+                        for side, values in zip(sides, (x, list(accumulate(map(len, xs))), y, list(accumulate(map(len, ys)))), strict=True):
+                            side.append(values if good else [])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(same), part.column(2), *(pa.array(x, pa.list_(pa.int32())) for x in sides)], ["seg", "n", "same", "id", "a", "a_end", "b", "b_end"])
 
     return segments.mapInArrow(run, _ENCODED)
 
 
-def _tokens(encoded: DataFrame, side: str) -> DataFrame:
-    """``id, end, <side>``: a row per token, with the byte where it ends."""
-    rows = encoded.select("id", F.posexplode(F.arrays_zip(F.col(side).alias("token"), F.col(f"{side}_len").alias("size"))).alias("pos", "x"))
-    by_pos = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("id", F.sum("x.size").over(by_pos).alias("end"), F.col("x.token").alias(side))
-
-
 def stretches(encoded: DataFrame) -> DataFrame:
     """``id, end, a, b, a_ends, b_ends, back``: the links of each ``id``, the tokens that end there, and the group counted from the last one.
 
     Rows run from the end backwards, where the token that covers a stretch is the one met last.
     """
-    encoded = encoded.repartition("id")
-    joined = _tokens(encoded, "a").withColumnRenamed("a", "a_ends").join(_tokens(encoded, "b").withColumnRenamed("b", "b_ends"), ["id", "end"], "full")
+    none = F.lit(None).cast("int")
+    ends = lambda own, a, b: F.transform(F.arrays_zip(F.col(own).alias("token"), F.col(own + "_end").alias("end")), lambda x: F.struct(x["end"].alias("end"), a(x).alias("a"), b(x).alias("b")))
+    both = F.concat(ends("a", lambda x: x["token"], lambda x: none), ends("b", lambda x: none, lambda x: x["token"]))
+    tokens = encoded.repartition("id").select("id", F.explode(both).alias("x")).select("id", "x.end", "x.a", "x.b")
+    met = tokens.groupBy("id", "end").agg(F.max("a").alias("a_ends"), F.max("b").alias("b_ends"))  # a side has one token that ends there, or none
     backwards = Window.partitionBy("id").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     cut = (F.col("a_ends").isNotNull() & F.col("b_ends").isNotNull()).cast("int")
-    return joined.select("id", "end", F.last("a_ends", True).over(backwards).alias("a"), F.last("b_ends", True).over(backwards).alias("b"), "a_ends", "b_ends", F.sum(cut).over(backwards).alias("back"))
+    return met.select("id", "end", F.last("a_ends", True).over(backwards).alias("a"), F.last("b_ends", True).over(backwards).alias("b"), "a_ends", "b_ends", F.sum(cut).over(backwards).alias("back"))
 
 
 def group_texts(links: DataFrame) -> DataFrame:
@@ -168,10 +173,136 @@ def group_texts(links: DataFrame) -> DataFrame:
     return whole.select("id", "n_a", "n_b", "n_groups", F.flatten(F.transform("order", lambda x: x["own"])).alias("pairs"), F.array_join(F.transform("order", lambda x: x["text"]), ";").alias("groups"))
 
 
-def _cut(docs: DataFrame, pattern: str, *keep: str) -> DataFrame:
-    """``block, row, pos, seg``: one row without a segment for a text that is null or empty.  Documents that follow one another in the input share a block."""
-    segs = F.when(F.col("text") != "", F.split(F.concat(F.lit(" "), "text"), pattern))
-    return docs.select("block", "row", *keep, F.posexplode_outer(segs).alias("pos", "seg"))
+_WHITE = [[c.encode() for c in SPACES if len(c.encode()) == k] for k in (1, 2, 3)]
+_CUT = "block long, code int, seg string, n long, doc_id long, codes array<int>"
+
+
+def segments_of(texts: pa.Array, cut_before: str) -> tuple[pa.Array, np.ndarray]:
+    """The segments of all texts with a space before each, one after another, and where each text's begin (one more than there are texts).
+
+    They are those that ``split_pattern`` cuts; a text that is null or empty has none.
+    """
+    texts = texts.fill_null("").cast(pa.large_string())
+    t = Texts(pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))))
+    data = t.data
+    begin, white = np.zeros(256, bool), np.zeros(256, bool)
+    begin[[ord(c) for c in cut_before]] = True
+    white[[c[0] for c in _WHITE[0]]] = True
+    after = white[data]  # the last byte of a white character
+    for k in (2, 3):
+        for first in {c[0] for c in _WHITE[k - 1]}:
+            at = np.flatnonzero(data[: len(data) - k + 1] == first)
+            rest = [c for c in _WHITE[k - 1] if c[0] == first]
+            after[at[np.any([np.all([data[at + j] == c[j] for j in range(1, k)], 0) for c in rest], 0)] + k - 1] = True
+    starts = begin[data]
+    starts[1:] &= ~after[:-1]
+    starts[t.offs[:-1][np.diff(t.offs) > 0]] = True  # offs reaches len(data) only for empty texts
+    starts = np.flatnonzero(starts)
+    segs = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+    return segs, np.searchsorted(starts, t.offs)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], docs: int, most: int) -> Iterator[pa.Table]:
+    """Rows in order, in tables of so many rows and bytes of text (the second column) at most."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        for part in slices(batch, 1):
+            own = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+            if held and size + own > most:
+                yield pa.Table.from_batches(held)
+                held, rows, size = [], 0, 0
+            while rows + part.num_rows >= docs:
+                yield pa.Table.from_batches([*held, part.slice(0, docs - rows)])
+                part = part.slice(docs - rows)
+                held, rows, size = [], 0, 0
+            if part.num_rows:
+                held.append(part)
+                rows, size = rows + part.num_rows, size + own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _cut(docs: DataFrame, cut_before: str) -> DataFrame:
+    """By block: ``code, seg, n``, a row for each different segment, and ``doc_id, codes``, a row for each document."""
+    most_docs, most_bytes = BLOCK_DOCS, BLOCK_BYTES
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    names = ["block", "code", "seg", "n", "doc_id", "codes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("alignment")
+
+        def rows(block: int, size: int, **columns) -> Iterator[pa.RecordBatch]:
+            whole = pa.RecordBatch.from_arrays([pa.array(np.full(size, block)), *(columns.get(c, pa.nulls(size, k)) for c, k in zip(names[1:], kinds[1:], strict=True))], names)
+            for at in range(0, size, 4096):
+                yield whole.slice(at, 4096)
+
+        for k, part in enumerate(_blocks(batches, most_docs, most_bytes)):
+            block = (TaskContext.get().partitionId() << 32) + k
+            segs, offs = segments_of(part.column(1).combine_chunks(), cut_before)
+            known = segs.dictionary_encode()
+            codes = known.indices.to_numpy()
+            n = len(known.dictionary)
+            yield from rows(block, n, code=pa.array(np.arange(n, dtype=np.int32)), seg=known.dictionary.cast(pa.string()), n=pa.array(np.bincount(codes, minlength=n)))
+            yield from rows(block, len(part), doc_id=part.column(0).combine_chunks(), codes=pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(codes.astype(np.int32))))
+            trim()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _CUT)
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and where each row's begin."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(), np.append(0, np.cumsum(np.asarray(column.value_lengths(), dtype=np.int64)))
+
+
+def _sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    total = np.append(0, np.cumsum(values, dtype=np.int64))
+    return total[offs[1:]] - total[offs[:-1]]
+
+
+def _without_tokens(docs: pa.Table, bad: pa.Table) -> pa.Table:
+    """Of a block: how often each segment occurs in documents that hold one of the segments ``bad``."""
+    codes, offs = _lists(docs["codes"])
+    wrong = np.isin(codes, bad["code"].to_numpy())
+    less = np.bincount(codes[np.repeat(_sums(wrong, offs) > 0, np.diff(offs))])
+    at = np.flatnonzero(less)
+    return pa.table({"block": np.full(len(at), docs["block"][0].as_py() if len(docs) else 0), "code": at.astype(np.int32), "less": less[at]})
+
+
+_COUNTED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+
+
+def _together(digests: bool):
+    """The documents of a block, put together from the block's segments."""
+    name = "groups_sha256" if digests else "groups"
+
+    def run(docs: pa.Table, segs: pa.Table) -> pa.Table:
+        enter("alignment")
+        segs = segs.sort_by("code")
+        if not np.array_equal(segs["code"].to_numpy(), np.arange(len(segs))):
+            raise ValueError("align: a block's segments are not whole")
+        bad = np.asarray(segs["groups"].is_null())
+        texts = segs["groups"].combine_chunks().fill_null("").cast(pa.large_string())
+        tokens, marks, count_sum = (segs[c].combine_chunks().fill_null(0).to_numpy() for c in ("tokens", "marks", "count_sum"))
+        low = (1 << 32) - 1
+        values = [tokens >> 32, tokens & low, marks >> 32, (tokens >> 32) + (tokens & low) - (marks >> 32), marks & low, count_sum]
+        codes, offs = _lists(docs["codes"])
+        made, at = [], 0
+        while at < len(docs):
+            to = max(at + 1, int(np.searchsorted(offs, offs[at] + LINKED, "right")) - 1)
+            own, place = codes[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
+            good = (_sums(bad[own], place) == 0) & (np.diff(place) > 0)
+            joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(place), texts.take(pa.array(own))), pa.scalar(";", pa.large_string()))
+            if digests:
+                shown = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() if ok else "" for x, ok in zip(joined, good, strict=True)], pa.string())
+            else:
+                shown = pc.if_else(pa.array(good), joined, pa.scalar("", pa.large_string())).cast(pa.string())
+            made.append(pa.table([docs["doc_id"].slice(at, to - at), *(pa.array(_sums(v[own], place) * good) for v in values), shown], ["doc_id", *_COUNTED, name]))
+            at = to
+        trim()
+        return pa.concat_tables(made).combine_chunks() if made else pa.table([pa.array([], pa.int64()) for _ in range(1 + len(_COUNTED))] + [pa.array([], pa.string())], ["doc_id", *_COUNTED, name])
+
+    return run, f"doc_id long, {', '.join(f'{c} long' for c in _COUNTED)}, {name} string"
 
 
 def align(docs: DataFrame, files: tuple[str, str] | None = None, digests: bool = False) -> DataFrame:
@@ -180,57 +311,44 @@ def align(docs: DataFrame, files: tuple[str, str] | None = None, digests: bool =
     A text that is null or empty, or whose bytes either side does not give back, has no tokens: zeros and an empty
     ``groups``.  Rows that share an id or repeat are rows of their own; other columns are ignored; an empty table gives
     an empty one.  A very long text is cut like any other, and one without white space is one segment.  ``docs`` is read
-    three times and must give its rows in the same order each time, as a scan of files does; anything else is to be
-    written first.  A row that came back elsewhere would find no segment, which raises an error.
-    The result is written to the shared folder.  ``digests``: ``groups_sha256`` in place of ``groups``.
+    once.  The result is written to the shared folder.  ``digests``: ``groups_sha256`` in place of ``groups``.
     """
     spark = docs.sparkSession
     files = files or paths(spark)
-    pattern = split_pattern(Encoders(*files).cut_before())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("block", F.floor(F.col("row") / BLOCK_DOCS))
-    held = materialise(spark, _cut(rows, pattern).where("seg is not null").groupBy("block", "seg").agg(F.count("*").alias("n")), "block-segments", "zstd")
+    cut = materialise(spark, _cut(docs, Encoders(*files).cut_before()), "block-segments", "zstd")
+    held = cut.where("seg is not null").select("block", "code", "seg", "n")
+    lists = spark.read.schema(cut.schema).parquet(cut._written_at).where("codes is not null").select("block", "doc_id", "codes")  # read anew: both sides of a cogroup with columns of one table are ambiguous
     counted = held.groupBy("seg").agg(F.sum("n").alias("n")).select("seg", "n", F.monotonically_increasing_id().alias("id"))
     encoded = materialise(spark, _encode(counted, files), "segments", "zstd")
-    weights = encoded.where("same").select("id", "n")
+    good = encoded.where("same")
+    weights = good.select("id", "seg", "n")
     if encoded.where("not same").limit(1).count():  # documents without tokens lend no counts
-        bad = held.join(encoded.where("not same").select("seg"), "seg").select("block", "seg")
-        again = _cut(rows.join(bad.select("block").distinct(), "block", "left_semi"), pattern)
-        bad_rows = again.join(bad, ["block", "seg"]).select("block", "row").distinct()
-        less = again.join(bad_rows, ["block", "row"], "left_semi").groupBy("seg").agg(F.count("*").alias("less"))
-        weights = materialise(spark, encoded.where("same").select("seg", "id", "n").join(less, "seg", "left").select("id", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")), "weights")
+        bad = held.join(encoded.where("not same").select("seg"), "seg").select("block", "code")
+        theirs = lists.join(bad.select("block").distinct(), "block", "left_semi").groupBy("block").cogroup(bad.groupBy("block")).applyInArrow(_without_tokens, "block long, code int, less long")
+        less = theirs.join(held.select("block", "code", "seg"), ["block", "code"]).groupBy("seg").agg(F.sum("less").alias("less"))
+        weights = materialise(spark, weights.join(less, "seg", "left").select("id", "seg", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")), "weights", "zstd")
     free_shuffles(spark)
     with joins_in_place(spark):
-        made = materialise(spark, group_texts(stretches(encoded.where("same").select("id", "a", "a_len", "b", "b_len"))), "aligned", "zstd")
-    free_shuffles(spark)
-    links = made.select("id", F.explode("pairs").alias("pair"))
-    by_pair = links.join(weights, "id").groupBy("pair").agg(F.sum("n").alias("count"), F.count("*").alias("rows"))
+        made = materialise(spark, group_texts(stretches(good.select("id", "a", "a_end", "b", "b_end"))).join(weights.repartition("id"), "id"), "aligned", "zstd")
+    discard(*([weights] if hasattr(weights, "_written_at") else []), encoded)
+    by_pair = made.select("n", F.explode("pairs").alias("pair")).groupBy("pair").agg(F.sum("n").alias("count"), F.count("*").alias("rows"))
     by_pair = materialise(spark, by_pair.withColumn("b", F.expr("pair & 4294967295")), "pairs")
     best = by_pair.groupBy("b").agg(F.max("count").alias("most"))  # a row per id of the vocabulary
     judged = by_pair.join(best, "b").select("pair", "rows", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
-    scores = join_split(links.withColumn("spread", F.col("id")), judged, "pair", "rows", F.col("spread")).groupBy("id").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    # two numbers to a column, as the shuffles ahead hold a row per block and segment; sums of the columns hold both sums
+    links = made.select("id", F.explode("pairs").alias("pair"))
+    scores = join_split(links, judged, "pair", "rows", F.col("id")).groupBy("id").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    # two numbers to a column, as the shuffles ahead hold a row per block and segment; sums over a document are made of the numbers themselves
     two = lambda high, low: F.shiftleft(high, 32) + F.col(low)
-    aligned = made.join(scores, "id").select("id", two("n_a", "n_b").alias("tokens"), two("n_groups", "n_best").alias("marks"), "count_sum", "groups")
-    known = materialise(spark, encoded.select("id", "seg").join(aligned, "id", "left").select("seg", "tokens", "marks", "count_sum", F.coalesce("groups", F.lit("")).alias("groups")), "known-segments", "zstd")
-    discard(*([weights] if hasattr(weights, "_written_at") else []), made, by_pair, encoded)
-    local = materialise(spark, held.select("block", "seg").join(known, "seg"), "local-segments", "zstd")
-    discard(held, known)
-
-    parts = _cut(rows.repartition("block"), pattern, "doc_id").join(local.repartition("block").hint("shuffle_hash"), ["block", "seg"], "left")
-    lost = F.col("seg").isNotNull() & F.col("groups").isNull()
-    text = F.when(lost, F.raise_error(F.lit("align: the rows of docs came in another order"))).otherwise(F.coalesce("groups", F.lit("")))
-    order = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    sums = [F.sum(c).alias(c) for c in ("tokens", "marks", "count_sum")]
-    per_row = parts.withColumn("text", text).groupBy("block", "row", "doc_id").agg(F.min(F.col("text") != "").alias("same"), *sums, order.alias("order"))
-    high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND((1 << 32) - 1))
-    numbers = {"n_a": high("tokens"), "n_b": low("tokens"), "n_groups": high("marks"), "n_links": high("tokens") + low("tokens") - high("marks"), "n_best": low("marks"), "count_sum": F.col("count_sum")}
-    groups = F.when(F.col("same"), F.array_join(F.transform("order", lambda x: x["text"]), ";")).otherwise("")
-    text = F.when(groups == "", "").otherwise(F.sha2(groups, 256)).alias("groups_sha256") if digests else groups.alias("groups")
-    with joins_in_place(spark):
-        out = materialise(spark, per_row.select("doc_id", *(F.when(F.col("same"), x).otherwise(0).cast("long").alias(c) for c, x in numbers.items()), text), "alignment")
-    discard(local)
-    return out
+    known = materialise(spark, made.drop("pairs", "n").join(scores, "id").select("seg", two("n_a", "n_b").alias("tokens"), two("n_groups", "n_best").alias("marks"), "count_sum", "groups"), "known-segments", "zstd")
+    discard(made, by_pair)
+    parts = []
+    for k in range(PASSES):
+        mine = F.pmod(F.shiftright("block", 32) + F.col("block"), F.lit(PASSES)) == k
+        local = held.where(mine).select("block", "code", "seg").join(known, "seg", "left").drop("seg")
+        parts.append(materialise(spark, lists.where(mine).groupBy("block").cogroup(local.groupBy("block")).applyInArrow(*_together(digests)), "alignment"))
+        free_shuffles(spark)
+    discard(cut, known)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def alignment_digests(docs: DataFrame) -> DataFrame:

@@ -104,3 +104,25 @@ def test_query_on_the_table(spark, sf):
     assert len(got) == len(docs)
     want = {r[0]: r for r in brute(short)}  # counts over the corpus need all texts; these do not
     assert all(got[i][:5] == want[i][:5] and got[i][7] == want[i][7] for i, _ in short)
+
+
+def test_segments_are_those_of_the_pattern():
+    import re
+
+    import pyarrow as pa
+
+    rows = [*texts(400), None, "", " ", "a　 b \tc\xa0\nd  e  f  g\x85 h​ i€ j"]
+    segs, offs = al.segments_of(pa.array(rows, pa.string()), " \n\t")
+    split, segs = re.compile(al.split_pattern(" \n\t")).split, segs.to_pylist()
+    assert [segs[i:j] for i, j in zip(offs[:-1], offs[1:], strict=True)] == [split(" " + t) if t else [] for t in rows]
+
+
+def test_blocks_are_bounded_by_bytes_and_no_join_is_held_whole(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 10)), pa.array(["x" * 100] * 9 + ["y" * 5000])], ["i", "t"]) for k in range(0, 50, 10)]
+    made = [t.to_pydict() for t in al._blocks(iter(batches), 6, 1000)]
+    assert [i for t in made for i in t["i"]] == list(range(50)) and max(len(t["i"]) for t in made) == 6
+    monkeypatch.setattr(al, "BLOCK_BYTES", 500)
+    rows = [(k, t) for k, t in enumerate(texts(60))]
+    assert run(spark, tmp_path, rows) == brute(rows)
