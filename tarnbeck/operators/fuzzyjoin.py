@@ -10,6 +10,9 @@ grams as a function of the shorter text's length: ``whole``, ``stretch`` and ``w
 Of two texts that share ``need`` grams, one is among any ``size - need + 1`` grams of the shorter one; its rarest are
 taken.  So the shorter text is listed by these, the other by all its grams, and only pairs that meet are scored.
 Texts so short that the bound falls under one gram are listed by their letters.
+
+Where one side is a dictionary of few texts, blocks of it go to the tasks instead, and each text of the other side is met with
+a block's index there: shared grams are counted in full, so few pairs are scored, and no pair is shuffled.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from operator import and_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +32,8 @@ from ..sources.files import through_files
 Need = Callable[[Column], Column]
 HOT_PAIRS = 100_000  # a gram with more pairs of listings is dealt out to so many parts of about this size
 MOST_PARTS = 1_024
+#: A side of so many different texts at most is met in blocks, of about so many texts and characters; each is sent to the tasks.
+FEW, BLOCK_TEXTS, BLOCK_CHARS = 16_384, 2_048, 1 << 20
 
 
 def whole(score: float) -> Need:
@@ -126,6 +132,69 @@ def _scorer(score: Callable[[str, str], float], least: float) -> Callable[[Itera
     return run
 
 
+class Block:
+    """An inverted index of some texts, each with a word at least, and the least number of grams to share by length."""
+
+    def __init__(self, texts: list[str], needs: list[int]):
+        self.texts, self.needs = texts, np.array(needs)
+        self.len, self.n = np.array([len(t) for t in texts]), np.array([_joined(t) for t in texts])
+        at: dict[str, list[int]] = {}
+        for k, t in enumerate(texts):
+            for g in bag(t):
+                at.setdefault(g, []).append(k)
+        self.at = {g: np.array(ks) for g, ks in at.items()}
+
+    def met(self, text: str, possible: Callable) -> np.ndarray:
+        """The places of the texts that share grams enough with ``text``, of possible lengths."""
+        n = _joined(text)
+        if n < 0 or not self.texts:
+            return np.zeros(0, int)
+        lists = [self.at[g] for g in bag(text) if g in self.at]
+        shared = np.bincount(np.concatenate(lists), minlength=len(self.texts)) if lists else np.zeros(len(self.texts), int)
+        return np.flatnonzero((shared >= self.needs[np.minimum(n, self.n)]) & possible(len(text), self.len))
+
+
+def _joined(text: str) -> int:
+    """The length of a text's distinct words joined; -1 without a word."""
+    own = set(text.split())
+    return sum(map(len, own)) + len(own) - 1
+
+
+def _dictionary(right: DataFrame) -> tuple[DataFrame, int] | None:
+    """The different texts of ``right`` that have a word, and in how many blocks they are met; None if they are not few."""
+    texts = right.toDF("t").where(F.col("t").isNotNull()).distinct()
+    n, size = texts.agg(F.count("*"), F.sum(F.length("t"))).first()
+    blocks = max(1, -(-n // BLOCK_TEXTS), -(-(size or 0) // BLOCK_CHARS))
+    return (texts, blocks) if n <= FEW and blocks <= -(-FEW // BLOCK_TEXTS) else None
+
+
+def alike_few(left: DataFrame, texts: DataFrame, blocks: int, need: Need, score: Callable[[str, str], float], least: float, possible: Callable | None = None) -> DataFrame:
+    """As ``alike``, for a side ``texts`` that ``_dictionary`` gives: each different text of ``left`` meets it block by block."""
+    spark = left.sparkSession
+    rows = left.toDF("t").where(F.col("t").isNotNull()).distinct()
+    if blocks > 1:
+        rows = through_files(rows, "parquet")
+    apart = possible or (lambda la, lb: True)
+    made = None
+    for b in range(blocks):
+        own = sorted(r["t"] for r in texts.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect() if r["t"].split())  # a block of the dictionary, sent to the tasks
+        longest = max(map(_joined, own), default=0)
+        needs = [r["need"] for r in spark.range(0, longest + 1, 1, 1).select("id", need(F.col("id")).alias("need")).orderBy("id").collect()]
+        pairs = rows.mapInPandas(_meeting(own, needs, score, least, apart), "a string, b string, score double")
+        made = pairs if made is None else made.unionByName(pairs)
+    return made
+
+
+def _meeting(texts: list[str], needs: list[int], score: Callable[[str, str], float], least: float, apart: Callable) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = Block(texts, needs)
+        for part in parts:
+            found = [(a, texts[k], s) for a in part["t"] for k in block.met(a, apart) if (s := score(a, texts[k])) >= least]
+            yield pd.DataFrame(found, columns=["a", "b", "score"])
+
+    return run
+
+
 def within(factor: float) -> Callable[[Column, Column], Column]:
     """Lengths no further apart than ``factor``."""
     return lambda la, lb: (la * factor >= lb) & (lb * factor >= la)
@@ -133,12 +202,17 @@ def within(factor: float) -> Callable[[Column, Column], Column]:
 
 def alike_ratio(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """Pairs with a plain ratio of ``least`` (over 66.7) at least."""
-    return alike(left, right, whole(_sure(least)), sim.ratio, least, within((200 - least) / least + 1e-9))
+    return _alike(left, right, whole(_sure(least)), sim.ratio, least, within((200 - least) / least + 1e-9))
 
 
 def alike_words(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """Pairs with a word-set ratio of ``least`` (over 66.7) at least."""
-    return alike(left, right, words(_sure(least)), sim.token_set_ratio, least)
+    return _alike(left, right, words(_sure(least)), sim.token_set_ratio, least)
+
+
+def _alike(left: DataFrame, right: DataFrame, need: Need, score: Callable[[str, str], float], least: float, possible: Callable | None = None) -> DataFrame:
+    few = _dictionary(right)
+    return alike_few(left, *few, need, score, least, possible) if few else alike(left, right, need, score, least, possible)
 
 
 def _sure(least: float) -> float:

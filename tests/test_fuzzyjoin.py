@@ -55,3 +55,22 @@ def test_interval_lookup_keeps_repeated_rows(spark):
     spans = spark.createDataFrame([(1, 0.0, 10.0, "a"), (1, 5.0, 6.0, "b")], "k int, s double, e double, who string")
     got = joins.interval_lookup(points, spans, ["k"], "at", "s", "e", "who", 4.0).collect()
     assert sorted(((r.k, r.at, tuple(r.within)) for r in got), key=str) == sorted([(1, 5.0, ("a", "b"))] * 3 + [(1, 99.0, ()), (2, None, ()), (None, 1.0, ())], key=str)
+
+
+@pytest.mark.parametrize("join,score,least", [(fj.alike_ratio, sim.ratio, 70.0), (fj.alike_words, sim.token_set_ratio, 75.0), (fj.alike_words, sim.token_set_ratio, 90.0)])
+@pytest.mark.parametrize("few,block", [(0, 2048), (16_384, 2048), (16_384, 2500)])
+def test_a_dictionary_of_few_texts_is_met_in_the_tasks(sides, join, score, least, few, block, monkeypatch):
+    """Alike on both ways, in one block or several; that with few texts has no exchange of pairs."""
+    monkeypatch.setattr(fj, "FEW", few)
+    if block == 2500:
+        monkeypatch.setattr(fj, "BLOCK_TEXTS", 25)
+    a, b, left, right = sides
+    made = join(left, right, least)
+    assert sorted((r.a, r.b) for r in made.collect()) == sorted((x, y) for x in a for y in b if x.split() and y.split() and score(x, y) >= least)
+    assert few == 0 or "Join" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_block_counts_shared_grams():
+    texts = ["the green salmon", "a green cat", "salmon the green"]
+    block = fj.Block(texts, [10] * 20)
+    assert list(block.met("the green salmon", lambda la, lb: True)) == [0, 2] and not len(block.met(" ", lambda la, lb: True))
