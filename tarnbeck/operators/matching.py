@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import FUNCTION_WORDS, LEAD_SKIP, RULES
 from ..functions import similarity as sim
 from ..functions import text as tx
+from ..sources.files import through_files
 from .dictionary import Dictionary
 from .fuzzyjoin import alike_ratio
 
@@ -40,15 +41,16 @@ def anchored_phrases(texts: DataFrame, text: str, phrases: DataFrame) -> DataFra
     A content word of the phrase is like one of the text (``RULES.word_similarity``), or the text opens with a "dont" that
     the phrase has.  Each pair of different words is scored once, however many texts have them.
     """
-    t = _normalized(texts, text)
-    of_text = t.select("text", F.explode(F.array_distinct(tx.words(F.col("t")))).alias("w"))
+    t = through_files(_normalized(texts, text).withColumn("id", F.monotonically_increasing_id()), "parquet")  # ids that last, so that no text is shuffled with its words
+    of_text = t.select("id", F.explode(F.array_distinct(tx.words(F.col("t")))).alias("w"))
     own = phrases.select("udk_id", "phrase", F.explode(F.array_distinct(tx.words(tx.normalize(F.col("phrase"))))).alias("w")).distinct()
     content = own.where(~F.col("w").isin(list(FUNCTION_WORDS)))
     same = alike_ratio(of_text.select("w"), content.select("w"), RULES.word_similarity).select(F.col("a").alias("w"), F.col("b").alias("of_phrase"))
-    by_word = of_text.join(same, "w").join(content.withColumnRenamed("w", "of_phrase"), "of_phrase").select("text", "udk_id", "phrase")
+    same = through_files(same.join(content.withColumnRenamed("w", "of_phrase"), "of_phrase").select("w", "udk_id", "phrase").distinct(), "parquet")  # written, so that Spark knows its size before it joins
+    by_word = of_text.join(same, "w").select("id", "udk_id", "phrase")
     opening = F.filter(tx.words(F.col("t")), lambda w: ~w.isin(list(LEAD_SKIP)))
-    dont = t.where(F.get(opening, F.lit(0)) == "dont").join(F.broadcast(own.where("w = 'dont'")), F.lit(True)).select("text", "udk_id", "phrase")  # phrases with one word, a part of the dictionary
-    return by_word.union(dont).distinct()
+    dont = t.where(F.get(opening, F.lit(0)) == "dont").join(F.broadcast(own.where("w = 'dont'")), F.lit(True)).select("id", "udk_id", "phrase")  # phrases with one word, a part of the dictionary
+    return by_word.union(dont).distinct().join(t.select("id", "text"), "id").select("text", "udk_id", "phrase")
 
 
 SCANNED = "text string, t string, place int, kind string, n_holding int, anchored boolean, words double, part double, covered double"

@@ -64,3 +64,12 @@ def test_large_dictionaries_are_met_in_blocks(spark, english):
     texts = spark.createDataFrame([("Oh help me, please do",), ("the soup was cold",), ("save",)], "x string")
     rows = lambda most: sorted((tuple(r) for r in mt.scan(texts, "x", english, 0.55, most).collect()), key=str)
     assert rows(1000) == rows(english.count() // 4) and rows(1000)
+
+
+def test_anchors_shuffle_no_text_by_word(spark):
+    texts = spark.createDataFrame([("Please save the doctor!",), ("the docter came",), ("nothing here",), ("Dont stay",), (None,)], "x string")
+    own = spark.createDataFrame([("A", "ring the doctor tonight", 1), ("B", "please dont go", 2)], "udk_id string, phrase string, ord int")
+    made = mt.anchored_phrases(texts, "x", own)
+    assert sorted((r.text, r.udk_id) for r in made.collect()) == [("Dont stay", "B"), ("Please save the doctor!", "A"), ("the docter came", "A")]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert all("text" not in x for x in plan.splitlines() if "Generate explode" in x)
