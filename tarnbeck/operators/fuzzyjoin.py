@@ -132,26 +132,55 @@ def _scorer(score: Callable[[str, str], float], least: float) -> Callable[[Itera
     return run
 
 
+#: Whether a text may be alike with each of a block's, by arrays: shared grams, lengths of both, lengths of their distinct
+#: words joined, and of the words they share joined.
+Bound = Callable[[np.ndarray, int, np.ndarray, int, np.ndarray, np.ndarray], np.ndarray]
+
+
+def ratio_bound(score: float) -> Bound:
+    near = within((200 - score) / score + 1e-9)
+    return lambda shared, la, lb, na, nb, common: near(la, lb) & (shared >= (1.5 * score / 100 - 1) * (la + lb) + 1 - 1e-9)
+
+
+def words_bound(score: float) -> Bound:
+    """As ``words``: all words are alike, or those shared make up enough of either side."""
+    near = within((200 - score) / score + 1e-9)
+    return lambda shared, la, lb, na, nb, common: near(na, nb) & (shared >= (1.5 * score / 100 - 1) * (na + nb) + 1 - 1e-9) | (common >= score / (200 - score) * np.minimum(na, nb) - 1e-9)
+
+
 class Block:
-    """An inverted index of some texts, each with a word at least, and the least number of grams to share by length."""
+    """An inverted index of some texts, each with a word at least, by grams and by words."""
 
-    def __init__(self, texts: list[str], needs: list[int]):
-        self.texts, self.needs = texts, np.array(needs)
-        self.len, self.n = np.array([len(t) for t in texts]), np.array([_joined(t) for t in texts])
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.len, self.n = np.array([len(t) for t in texts], int), np.array([_joined(t) for t in texts], int)
+        self.masks = [(sim._masks(t), len(t)) for t in texts]
+        self.grams, self.words = self._index(bag), self._index(lambda t: set(t.split()))
+
+    def _index(self, parts: Callable) -> dict[str, np.ndarray]:
         at: dict[str, list[int]] = {}
-        for k, t in enumerate(texts):
-            for g in bag(t):
+        for k, t in enumerate(self.texts):
+            for g in parts(t):
                 at.setdefault(g, []).append(k)
-        self.at = {g: np.array(ks) for g, ks in at.items()}
+        return {g: np.array(ks) for g, ks in at.items()}
 
-    def met(self, text: str, possible: Callable) -> np.ndarray:
-        """The places of the texts that share grams enough with ``text``, of possible lengths."""
+    def met(self, text: str, bound: Bound) -> list[int]:
+        """The places of the texts that may be alike with ``text``."""
         n = _joined(text)
         if n < 0 or not self.texts:
-            return np.zeros(0, int)
-        lists = [self.at[g] for g in bag(text) if g in self.at]
+            return []
+        lists = [self.grams[g] for g in bag(text) if g in self.grams]
         shared = np.bincount(np.concatenate(lists), minlength=len(self.texts)) if lists else np.zeros(len(self.texts), int)
-        return np.flatnonzero((shared >= self.needs[np.minimum(n, self.n)]) & possible(len(text), self.len))
+        common = np.full(len(self.texts), -1)
+        for w in set(text.split()):
+            if w in self.words:
+                common[self.words[w]] += len(w) + 1
+        return np.flatnonzero(bound(shared, len(text), self.len, n, self.n, common)).tolist()
+
+    def scores(self, text: str, places: list[int], score: Callable[[str, str], float]) -> list[float]:
+        if score is not sim.ratio:
+            return [score(text, self.texts[k]) for k in places]
+        return [s for at in range(0, len(places), 64) for s in sim.ratio_many(text, [self.masks[k] for k in places[at : at + 64]])]
 
 
 def _joined(text: str) -> int:
@@ -168,28 +197,24 @@ def _dictionary(right: DataFrame) -> tuple[DataFrame, int] | None:
     return (texts, blocks) if n <= FEW and blocks <= -(-FEW // BLOCK_TEXTS) else None
 
 
-def alike_few(left: DataFrame, texts: DataFrame, blocks: int, need: Need, score: Callable[[str, str], float], least: float, possible: Callable | None = None) -> DataFrame:
+def alike_few(left: DataFrame, texts: DataFrame, blocks: int, bound: Bound, score: Callable[[str, str], float], least: float) -> DataFrame:
     """As ``alike``, for a side ``texts`` that ``_dictionary`` gives: each different text of ``left`` meets it block by block."""
-    spark = left.sparkSession
     rows = left.toDF("t").where(F.col("t").isNotNull()).distinct()
     if blocks > 1:
         rows = through_files(rows, "parquet")
-    apart = possible or (lambda la, lb: True)
     made = None
     for b in range(blocks):
         own = sorted(r["t"] for r in texts.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect() if r["t"].split())  # a block of the dictionary, sent to the tasks
-        longest = max(map(_joined, own), default=0)
-        needs = [r["need"] for r in spark.range(0, longest + 1, 1, 1).select("id", need(F.col("id")).alias("need")).orderBy("id").collect()]
-        pairs = rows.mapInPandas(_meeting(own, needs, score, least, apart), "a string, b string, score double")
+        pairs = rows.mapInPandas(_meeting(own, bound, score, least), "a string, b string, score double")
         made = pairs if made is None else made.unionByName(pairs)
     return made
 
 
-def _meeting(texts: list[str], needs: list[int], score: Callable[[str, str], float], least: float, apart: Callable) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _meeting(texts: list[str], bound: Bound, score: Callable[[str, str], float], least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = Block(texts, needs)
+        block = Block(texts)
         for part in parts:
-            found = [(a, texts[k], s) for a in part["t"] for k in block.met(a, apart) if (s := score(a, texts[k])) >= least]
+            found = [(a, texts[k], s) for a in part["t"] if (places := block.met(a, bound)) for k, s in zip(places, block.scores(a, places, score), strict=True) if s >= least]
             yield pd.DataFrame(found, columns=["a", "b", "score"])
 
     return run
@@ -202,17 +227,18 @@ def within(factor: float) -> Callable[[Column, Column], Column]:
 
 def alike_ratio(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """Pairs with a plain ratio of ``least`` (over 66.7) at least."""
-    return _alike(left, right, whole(_sure(least)), sim.ratio, least, within((200 - least) / least + 1e-9))
+    few = _dictionary(right)
+    if few:
+        return alike_few(left, *few, ratio_bound(_sure(least)), sim.ratio, least)
+    return alike(left, right, whole(_sure(least)), sim.ratio, least, within((200 - least) / least + 1e-9))
 
 
 def alike_words(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """Pairs with a word-set ratio of ``least`` (over 66.7) at least."""
-    return _alike(left, right, words(_sure(least)), sim.token_set_ratio, least)
-
-
-def _alike(left: DataFrame, right: DataFrame, need: Need, score: Callable[[str, str], float], least: float, possible: Callable | None = None) -> DataFrame:
     few = _dictionary(right)
-    return alike_few(left, *few, need, score, least, possible) if few else alike(left, right, need, score, least, possible)
+    if few:
+        return alike_few(left, *few, words_bound(_sure(least)), sim.token_set_ratio, least)
+    return alike(left, right, words(_sure(least)), sim.token_set_ratio, least)
 
 
 def _sure(least: float) -> float:

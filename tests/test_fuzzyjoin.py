@@ -70,7 +70,13 @@ def test_a_dictionary_of_few_texts_is_met_in_the_tasks(sides, join, score, least
     assert few == 0 or "Join" not in made._jdf.queryExecution().executedPlan().toString()
 
 
-def test_a_block_counts_shared_grams():
-    texts = ["the green salmon", "a green cat", "salmon the green"]
-    block = fj.Block(texts, [10] * 20)
-    assert list(block.met("the green salmon", lambda la, lb: True)) == [0, 2] and not len(block.met(" ", lambda la, lb: True))
+def test_a_block_rules_out_what_cannot_be_alike():
+    block = fj.Block(["the green salmon", "a green cat", "salmon the green " + "x" * 40])
+    assert block.met("the green salmon", fj.ratio_bound(85.0)) == [0] and block.met(" ", fj.ratio_bound(85.0)) == []
+    assert block.met("the green salmon", fj.words_bound(90.0)) == [0, 2]  # the third has all its words
+
+
+def test_one_text_against_many_at_once():
+    texts = ["", *some(5, 80), "x" * 300]
+    for t in texts:
+        assert sim.ratio_many(t, [(sim._masks(x), len(x)) for x in texts]) == [sim.ratio(t, x) for x in texts]
