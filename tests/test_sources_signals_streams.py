@@ -173,3 +173,13 @@ def test_gap_deadline_and_idempotent_sink(spark, tmp_path):
     batch = spark.createDataFrame([(1, "a"), (2, "b"), (1, "a")], "id long, v string")
     assert [deliver_once(batch, out, "id"), deliver_once(batch, out, "id")] == [2, 0]
     assert spark.read.parquet(out).count() == 2
+
+
+def test_roughness_is_judged_a_bounded_number_at_a_time(monkeypatch):
+    import pandas as pd
+
+    sounds = pd.Series([audio.tone(300, 0.2, am) for am in range(40, 80)] + [None, b""] + [audio.tone(200, 0.15, 60)])
+    together, seen, of = audio.roughness_batch(sounds), [], audio.roughness_of
+    monkeypatch.setattr(audio, "STACKED", 10_000)
+    monkeypatch.setattr(audio, "roughness_of", lambda x, rate: seen.append(x.size) or of(x, rate))
+    assert np.allclose(audio.roughness_batch(sounds), together, equal_nan=True) and max(seen) <= 10_000 and len(seen) > 10
