@@ -183,3 +183,15 @@ def test_roughness_is_judged_a_bounded_number_at_a_time(monkeypatch):
     monkeypatch.setattr(audio, "STACKED", 10_000)
     monkeypatch.setattr(audio, "roughness_of", lambda x, rate: seen.append(x.size) or of(x, rate))
     assert np.allclose(audio.roughness_batch(sounds), together, equal_nan=True) and max(seen) <= 10_000 and len(seen) > 10
+
+
+def test_sdr_is_one_evaluation_of_the_sound(spark, sf):
+    from tarnbeck.plans import queries
+
+    df = queries()["si_sdr"](spark, sf)
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    e = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").limit(20).collect()}
+    got = {r.vec_id: r.db for r in df.where(F.col("vec_id").isin(list(e))).collect()}
+    for i, x in e.items():
+        pcm = audio.to_pcm(np.tile(np.asarray(x, np.float64) * 3, 50))
+        assert abs(got[i] - audio.si_sdr(audio.add_noise(pcm, 10.0, "traffic"), pcm)) < 1e-4
