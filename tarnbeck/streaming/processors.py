@@ -1,13 +1,15 @@
 """Stateful operators for streams of frames, hits and checks, on ``applyInPandasWithState`` and watermarks.
 
 Each takes and returns a DataFrame (streaming or not tied to a sink); state is per key and bounded by
-what is waiting or inside a window.
+what is waiting or inside a window.  ``reorder`` (without a deadline) and ``drain`` hold the state of many keys together, in
+``BUCKETS`` groups by the key's hash, as a call of Python for each key and batch takes longer than its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,15 +17,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import RULES
 
+BUCKETS = 2_048
+
+
+def _bucketed(rows: DataFrame, key: str):
+    """Grouped by the key's hash; null keys are a group of their own, so that columns of numbers stay whole numbers."""
+    return rows.withColumn("_bucket", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).cast("int")).groupBy("_bucket")
+
 
 def reorder(frames: DataFrame, key: str, seq: str, body: str, deadline_ms: int = 0) -> DataFrame:
     """``key, seq, body, gap_expired``: frames in order of number from 0, each once.
 
     A frame that comes early waits for those before it; one that was released already is dropped.  With
     ``deadline_ms`` a gap that lasts that long (processing time) is given up: what waits is released and
-    marked, up to the next gap.
+    marked, up to the next gap; each key has a timer then, and so a state of its own.
     """
     fields = dict(frames.dtypes)
+    if not deadline_ms:
+        return _reorder_many(frames.select(key, seq, body), key, seq, body)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         expect, seqs, bodies = state.get if state.exists else (0, [], [])
@@ -48,8 +59,40 @@ def reorder(frames: DataFrame, key: str, seq: str, body: str, deadline_ms: int =
 
     rows = f"{key} {fields[key]}, {seq} long, {body} {fields[body]}, gap_expired boolean"
     kept = f"expect long, seqs array<long>, bodies array<{fields[body]}>"
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if deadline_ms else GroupStateTimeout.NoTimeout
-    return frames.select(key, seq, body).groupBy(key).applyInPandasWithState(step, rows, kept, "append", timeout)
+    return frames.select(key, seq, body).groupBy(key).applyInPandasWithState(step, rows, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _reorder_many(frames: DataFrame, key: str, seq: str, body: str) -> DataFrame:
+    """``reorder`` for the keys of a bucket at once: of sorted numbers from the expected one on, those in place by their rank go."""
+    fields = dict(frames.dtypes)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, expects, *held = (list(x) for x in state.get) if state.exists else ([], [], [], [], [])
+        new = pd.concat([b[[key, seq, body]] for b in batches])
+        new = new[new[seq].notna()]
+        names = keys + held[0] + new[key].tolist()
+        codes, _ = pd.factorize(pd.Series(names, dtype=object), use_na_sentinel=False)
+        n = int(codes.max(initial=-1)) + 1
+        expect = np.zeros(n, np.int64)
+        expect[codes[: len(keys)]] = expects
+        first = np.full(n, -1)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]  # a place where the key's name stands
+        rows = pd.DataFrame({"c": codes[len(keys) :], "s": np.array(held[1] + new[seq].tolist(), np.int64)})
+        bodies = np.empty(len(rows), object)
+        bodies[:] = held[2] + new[body].tolist()
+        rows = rows[rows["s"].to_numpy() >= expect[rows["c"]]].drop_duplicates().sort_values(["c", "s"])  # what waits comes first, and stays
+        c, s = rows["c"].to_numpy(), rows["s"].to_numpy()
+        goes = s - rows.groupby("c").cumcount().to_numpy() == expect[c]
+        expect += np.bincount(c[goes], minlength=n)
+        name = lambda at: [names[first[x]] for x in at]
+        mine, stays = bodies[rows.index], ~goes
+        state.update((name(range(n)), expect.tolist(), name(c[stays]), s[stays].tolist(), mine[stays].tolist()))
+        if goes.any():
+            yield pd.DataFrame({key: name(c[goes]), seq: s[goes], body: mine[goes], "gap_expired": False})
+
+    rows = f"{key} {fields[key]}, {seq} long, {body} {fields[body]}, gap_expired boolean"
+    kept = f"keys array<{fields[key]}>, expects array<long>, wait_keys array<{fields[key]}>, seqs array<long>, bodies array<{fields[body]}>"
+    return _bucketed(frames, key).applyInPandasWithState(step, rows, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def finalize(segments: DataFrame, key: str, start: str, end: str, total: str) -> DataFrame:
@@ -102,31 +145,35 @@ def escalate(hits: DataFrame, key: str, at: str, order: str, phrase: str, window
 def drain(rows: DataFrame, key: str, order: list[str], row_id: str) -> DataFrame:
     """``key, row_id, delivered_by, attempts``: alerts when they are delivered, at once or by a later heartbeat.
 
-    ``rows`` have ``alert, sent, beat, up`` (booleans).  The state is each key's waiting alerts with their attempts.
+    ``rows`` have ``alert, sent, beat, up`` (booleans).  The state is the waiting alerts of a bucket's keys with their attempts.
     """
     fields = dict(rows.dtypes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = dict(zip(*(list(x) for x in state.get), strict=True)) if state.exists else {}
+        beats: dict = {}  # heartbeats of each key, from those of this batch
+        waiting: dict = {}  # by key: an alert with its attempts, less the heartbeats when it began to wait
+        for owner, a, n in zip(*state.get, strict=True) if state.exists else ():
+            waiting.setdefault(owner, {})[a] = n
         out = []
-        for r in pd.concat(list(batches)).sort_values(order).itertuples(index=False):
-            me = int(getattr(r, row_id))
-            if r.beat and waiting:
-                waiting = {a: n + 1 for a, n in waiting.items()}
-                if r.up:
-                    out += [(k[0], a, me, n) for a, n in waiting.items()]
-                    waiting = {}
-            if r.alert and r.sent:
-                out.append((k[0], me, me, 1))
-            elif r.alert:
-                waiting[me] = 1
-        state.update((list(waiting), list(waiting.values())))
+        every = pd.concat(list(batches)).sort_values(order)
+        for owner, me, alert, sent, beat, up in zip(*(every[c].tolist() for c in (key, row_id, "alert", "sent", "beat", "up")), strict=True):
+            owner = None if owner != owner else owner  # a null key of a numeric kind
+            if beat and waiting.get(owner):
+                beats[owner] = beats.get(owner, 0) + 1
+                if up:
+                    out += [(owner, a, int(me), n + beats[owner]) for a, n in waiting.pop(owner).items()]
+            if alert and sent:
+                out.append((owner, int(me), int(me), 1))
+            elif alert:
+                waiting.setdefault(owner, {})[int(me)] = 1 - beats.get(owner, 0)
+        left = [(owner, a, n + beats.get(owner, 0)) for owner, own in waiting.items() for a, n in own.items()]
+        state.update(tuple(map(list, zip(*left))) if left else ([], [], []))
         if out:
             yield pd.DataFrame(out, columns=[key, row_id, "delivered_by", "attempts"])
 
     columns = [key, *[c for c in order if c != row_id], row_id, "alert", "sent", "beat", "up"]
     kind = f"{key} {fields[key]}, {row_id} long, delivered_by long, attempts long"
-    return rows.select(*columns).groupBy(key).applyInPandasWithState(step, kind, "ids array<long>, tries array<long>", "append", GroupStateTimeout.NoTimeout)
+    return _bucketed(rows.select(*columns), key).applyInPandasWithState(step, kind, f"owners array<{fields[key]}>, ids array<long>, tries array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def recent_context(rows: DataFrame, key: str, at: str, order: str, text: str, span: float) -> DataFrame:

@@ -195,3 +195,32 @@ def test_sdr_is_one_evaluation_of_the_sound(spark, sf):
     for i, x in e.items():
         pcm = audio.to_pcm(np.tile(np.asarray(x, np.float64) * 3, 50))
         assert abs(got[i] - audio.si_sdr(audio.add_noise(pcm, 10.0, "traffic"), pcm)) < 1e-4
+
+
+def test_streams_call_python_by_bucket_and_not_by_key(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(p, "BUCKETS", 3)
+    r = random.Random(4)
+    frames_ = [(k, s, f"{k}.{s}") for k in [None, *range(40)] for s in range(8) for _ in range(r.choice([0, 1, 1, 1, 2]))]
+    r.shuffle(frames_)
+    df = spark.createDataFrame(frames_, "k long, seq long, body string")
+    stream = lambda f, rows, **o: through_stream(rows, f, **o)
+    made = stream(lambda s: p.reorder(s, "k", "seq", "body"), df)
+    want = [(k, s, f"{k}.{s}", False) for k in {k for k, *_ in frames_} for s in range(8) if all((k, x, f"{k}.{x}") in frames_ for x in range(s + 1))]
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(want, key=str) and len(want) > 100
+
+    rows = [(r.choice([None, *range(12)]), float(i), i, *(r.random() < x for x in (0.5, 0.4, 0.5, 0.3))) for i in range(400)]
+    waiting, out = {}, []
+    for k, _, i, alert, sent, beat, up in rows:
+        if beat and waiting.get(k):
+            waiting[k] = {a: n + 1 for a, n in waiting[k].items()}
+            if up:
+                out += [(k, a, i, n) for a, n in waiting.pop(k).items()]
+        if alert and sent:
+            out.append((k, i, i, 1))
+        elif alert:
+            waiting.setdefault(k, {})[i] = 1
+    df = spark.createDataFrame(rows, "k long, t double, i long, alert boolean, sent boolean, beat boolean, up boolean")
+    got = stream(lambda s: p.drain(s, "k", ["t", "i"], "i"), df, order=F.col("t"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(out, key=str)
